@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tremorloom.llm import bpe, fingerprints, media, mixing
+from tremorloom.llm import bpe, fingerprints, jaccard, media, mixing
 from tremorloom.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.component_report(table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
 
@@ -25,5 +29,5 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op6_fingerprints": op6_fingerprints, "op9_media": op9_media}
+QUERIES = {"op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op5_jaccard": op5_jaccard, "op6_fingerprints": op6_fingerprints, "op9_media": op9_media}
 ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE}
