@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tremorloom.llm import bpe, fingerprints, jaccard, media, mixing
+from tremorloom.llm import bpe, fingerprints, jaccard, media, mixing, substrings
 from tremorloom.llm.common import table
 
 
@@ -25,9 +25,13 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op5_jaccard": op5_jaccard, "op6_fingerprints": op6_fingerprints, "op9_media": op9_media}
+QUERIES = {"op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op5_jaccard": op5_jaccard, "op6_fingerprints": op6_fingerprints, "op7_substrings": op7_substrings, "op9_media": op9_media}
 ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE}
