@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tremorloom.llm import bpe, fingerprints, jaccard, lines, media, mixing, substrings
+from tremorloom.llm import bpe, fingerprints, jaccard, language, lines, media, mixing, quality, substrings
 from tremorloom.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.component_report(table(spark, sf_dir, "documents"))
 
@@ -33,9 +37,13 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_report(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_lines": op1_lines, "op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op5_jaccard": op5_jaccard, "op6_fingerprints": op6_fingerprints, "op7_substrings": op7_substrings, "op9_media": op9_media}
+QUERIES = {"op1_lines": op1_lines, "op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard, "op6_fingerprints": op6_fingerprints, "op7_substrings": op7_substrings, "op8_language": op8_language, "op9_media": op9_media}
 ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE}
