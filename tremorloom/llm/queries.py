@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tremorloom.llm import bpe, fingerprints, jaccard, language, lines, media, mixing, quality, substrings
+from tremorloom.llm import bpe, chat, fingerprints, jaccard, language, lines, media, mixing, quality, substrings
 from tremorloom.llm.common import table
 
 
@@ -45,5 +45,9 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_lines": op1_lines, "op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard, "op6_fingerprints": op6_fingerprints, "op7_substrings": op7_substrings, "op8_language": op8_language, "op9_media": op9_media}
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.recovered(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"op1_lines": op1_lines, "op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard, "op6_fingerprints": op6_fingerprints, "op7_substrings": op7_substrings, "op8_language": op8_language, "op9_media": op9_media, "op10_chat": op10_chat}
 ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE}
