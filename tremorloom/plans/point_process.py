@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremorloom.functions import geo, identity, kernels
-from tremorloom.operators import causal, forecast, oplog, scoring, state
+from tremorloom.operators import causal, forecast, oplog, particles, scoring, state
 from tremorloom.operators import catalog as catalogs
 from tremorloom.operators import features as feats
 from tremorloom.operators import grid as grids
@@ -529,3 +529,35 @@ def region_delivery_join(spark, sf_dir):
 @query("month_shards", "SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS rows, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM lineitem GROUP BY ALL")
 def month_shards(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("rows"), F.sum("l_quantity").alias("quantity"))
+
+
+_GRAPH = f", sec AS ({_SECTIONS} WHERE s_suppkey <= 100), sg AS (SELECT *, (section * 53 % 180)::DOUBLE AS strike, section % 2 AS model FROM sec)"
+
+
+@query(
+    "section_coupling",
+    CAT + _GRAPH + """ SELECT a.section AS src, b.section AS dst, round(exp(-0.5::DOUBLE * ((a.sx - b.sx) ** 2 + (a.sy - b.sy) ** 2) / 2.25::DOUBLE) * (0.3::DOUBLE + 0.7::DOUBLE * cos(radians(a.strike - b.strike)) ** 2), 8) AS weight
+      FROM sg a JOIN sg b ON a.model = b.model AND a.section <> b.section AND (a.sx - b.sx) ** 2 + (a.sy - b.sy) ** 2 <= 9""",
+)
+def section_coupling(spark, sf_dir):
+    s = sections(spark, sf_dir).withColumns({"strike": (F.col("section") * 53 % 180).cast("double"), "model": F.col("section") % 2})
+    return particles.coupling(s, 1.5, 0.3, 3.0).select("src", "dst", r("weight").alias("weight"))
+
+
+@query("loading_vector", CAT + _GRAPH + ", c AS (SELECT section, model, sx - avg(sx) OVER (PARTITION BY model) AS c FROM sg) SELECT section, round(c / sqrt(avg(c * c) OVER (PARTITION BY model)), 8) + 0.0 AS loading FROM c")
+def loading_vector(spark, sf_dir):
+    s = sections(spark, sf_dir).withColumn("model", F.col("section") % 2)
+    return particles.centred_loading(s, ["model"], "sx").select("section", r("loading").alias("loading"))
+
+
+@query(
+    "history_hash",
+    CAT + "SELECT day, sha256(string_agg(h, '' ORDER BY cell)) AS identity FROM (SELECT day, cell, sha256(string_agg(us || ',' || event_id, ';' ORDER BY us, event_id)) AS h FROM cat GROUP BY ALL) GROUP BY ALL",
+)
+def history_hash(spark, sf_dir):
+    """Order-dependent identity of each day of history, hashed cell by cell and then day by day, so no task holds a history."""
+    item = F.struct("us", "event_id", F.concat_ws(",", F.col("us").cast("string"), F.col("event_id").cast("string")).alias("t"))
+    cells_ = cat(spark, sf_dir).groupBy("day", "cell").agg(F.sort_array(F.collect_list(item)).alias("s"))
+    hashed = cells_.select("day", "cell", F.sha2(F.array_join(F.transform("s", lambda x: x["t"]), ";"), 256).alias("h"))
+    days = hashed.groupBy("day").agg(F.sort_array(F.collect_list(F.struct("cell", "h"))).alias("s"))
+    return days.select("day", F.sha2(F.array_join(F.transform("s", lambda x: x["h"]), ""), 256).alias("identity"))

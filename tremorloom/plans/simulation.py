@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tremorloom.functions import special
-from tremorloom.operators import scoring, simulate
+from tremorloom.operators import particles, scoring, simulate
 from tremorloom.plans.point_process import BETA, LAST, M0, P, cat, _forecast
 from tremorloom.plans.registry import query
 
@@ -35,3 +35,13 @@ def bpt_overdue(spark, sf_dir):
 @query("temporal_integral")
 def temporal_integral(spark, sf_dir):
     return spark.range(1, 101).select((F.col("id") / 10).alias("upper")).withColumn("integral", special.temporal_integral_column(F.lit(0.0), F.col("upper"), P))
+
+
+@query("particle_assimilation")
+def particle_assimilation(spark, sf_dir):
+    """Eight particles over the cells of one row of the grid, driven by the purchases of its cells."""
+    c = cat(spark, sf_dir).where("region = 'purchase' AND y = 0")
+    rows = c.select("day", F.col("us").alias("order"), F.col("mag").alias("magnitude"), "x").toPandas()  # one region's row of cells
+    rows["probability"], rows["weights"] = 0.8, [list(0.7 * (np.arange(10) == x)) for x in rows.pop("x")]
+    states = spark.range(80).select(F.floor(F.col("id") / 10).alias("particle"), (F.col("id") % 10).cast("int").alias("section"), F.sin("id").alias("margin"))
+    return particles.assimilate(states, rows, np.linspace(-0.01, 0.01, 10), 0.2, 0.02, 0.75, 0.0)

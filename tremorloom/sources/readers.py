@@ -14,7 +14,7 @@ def event_text(spark: SparkSession, path: str) -> DataFrame:
 
     Columns are found by header name; rows that do not parse are dropped; a missing type is an earthquake.
     """
-    raw = spark.read.option("sep", "|").option("header", True).option("comment", None).csv(path)
+    raw = spark.read.option("sep", "|").option("header", True).csv(path)
     names = {}
     for c in raw.columns:
         plain = c.lower().strip().lstrip("#").strip()
