@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step takes at a time; a single longer text is taken alone and whole.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 
 #: The bytes that separate words, space and tab to carriage return.
 _SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)

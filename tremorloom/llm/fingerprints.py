@@ -54,7 +54,7 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def written(dense: np.ndarray, sketch: np.ndarray, count: np.ndarray) -> list[str]:
     a, b, c = dense.astype(">u8"), sketch.astype(">u2"), count.astype(">u4")
-    return [a[i].tobytes().hex() + b[i].tobytes().hex() + c[i].tobytes().hex() for i in range(len(a))]
+    return [a[i].tobytes().hex() + b[i].tobytes().hex() + c[i : i + 1].tobytes().hex() for i in range(len(a))]
 
 
 def read(fingerprints: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
