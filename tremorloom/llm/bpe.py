@@ -45,9 +45,11 @@ WITH RECURSIVE bytes_at AS (
 SELECT w, tokens FROM state WHERE list_min(pair_ranks) = {_NONE}
 """
 _DECODE = """
-SELECT e.w, any_value(e.ids) AS ids, string_agg(v.spelled, '' ORDER BY e.p) AS spelled
-FROM (SELECT w, array_to_string(tokens, ' ') AS ids, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS p FROM encoded) e
-JOIN vocabulary v ON v.id = e.t GROUP BY e.w
+SELECT e.w, array_to_string(e.tokens, ' ') AS ids, d.spelled
+FROM encoded e JOIN (
+  SELECT p.w, string_agg(v.spelled, '' ORDER BY p.p) AS spelled
+  FROM (SELECT w, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS p FROM encoded) p JOIN vocabulary v ON v.id = p.t GROUP BY p.w
+) d ON d.w = e.w
 """
 
 #: The same matches as the public pattern for texts without the characters of _odd(), in the faster module.
