@@ -131,7 +131,7 @@ def calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def labelled(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """(doc_id, text, label): labelled rows that may teach; doc_id groups whose labels disagree are left out."""
     single = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("low"), F.max(label).alias("high")).where("low = high").select("doc_id", F.col("low").cast("int").alias("label"))
-    return docs.where(~held_out("doc_id")).select("doc_id", "text").join(single, "doc_id")
+    return docs.where(~held_out("doc_id")).select("doc_id", "text").join(single.hint("shuffle_hash"), "doc_id")
 
 
 def held_out(doc_id: str):
