@@ -29,7 +29,7 @@ from tremorloom.llm.common import cut, partitions
 ROLES = ("system", "user", "assistant", "tool")
 #: The words that mark a speaker, by role.
 MARKERS = {"system": "system", "user": "user", "human": "user", "prompter": "user", "question": "user", "q": "user", "assistant": "assistant", "ai": "assistant", "bot": "assistant", "answer": "assistant", "a": "assistant", "gpt": "assistant", "model": "assistant", "tool": "tool", "function": "tool"}
-MARKER_ERROR = 1e-4
+MARKER_ERROR = 1e-8
 ALPHA = 1.0
 LENGTHS = (20, 60, 140, 300, 700, 1500)
 _MARK = re.compile(r"^\s*(?:[<\[*#]{0,3}\s*)([A-Za-z]+)\s*[>\]*]{0,3}\s*:\s*")
