@@ -17,7 +17,7 @@ def event_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 def daily_counts(events: DataFrame, delay: str = "7 days", slide: str | None = None, length: str = "1 day") -> DataFrame:
     """Events by region and day (or sliding window); a window closes when the watermark, its settling delay, has passed."""
     window = F.window("ts", length, slide) if slide else F.window("ts", length)
-    return events.withWatermark("ts", delay).groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("w.start", "w.end", "event_type", "n", "total")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("w.start", "w.end", "event_type", "n", "total")
 
 
 def carried_state(days: DataFrame, half_life: float) -> DataFrame:
