@@ -19,7 +19,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorloom.llm.common import cut, mixed, partitions, run_hashes, text_steps, words
@@ -56,7 +56,9 @@ def anchors_of(h: np.ndarray, first: np.ndarray, window: int, seed: int) -> tupl
     if not len(at):
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none
     pick, owner = chosen[at], text[at]
-    heads = np.flatnonzero(np.concatenate(([True], (pick[1:] != pick[:-1]) | (owner[1:] != owner[:-1]))))
+    # windows in a row with equal anchors are one stretch, also where words repeat and the anchor moves
+    value = runs[pick]
+    heads = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1]))))
     start = at[heads]
     count = np.diff(np.append(heads, len(at)))
     place = pick[heads]
@@ -116,9 +118,10 @@ def _window_table(rows: DataFrame, window: int) -> DataFrame:
 def repeat_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """(doc, row_hash, spans): for each row with repeats the word spans [first, last) that windows of smaller ids cover."""
     spark = docs.sparkSession
+    same = Window.partitionBy("anchor")
     anchors = anchor_table(docs, window, seed).repartition(partitions(spark), "anchor")
-    seen = anchors.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), (F.min("stretch") != F.max("stretch")).alias("various")).where("low < high").select("anchor", "various")
-    shared = cut(anchors.join(seen.hint("shuffle_hash"), "anchor"))
+    seen = anchors.select("*", F.min("doc").over(same).alias("low"), F.max("doc").over(same).alias("high"), (F.min("stretch").over(same) != F.max("stretch").over(same)).alias("various"))
+    shared = cut(seen.where("low < high").drop("low", "high"))
     owners = shared.groupBy("anchor", "stretch").agg(F.min("doc").alias("owner"))
     judged = shared.join(owners, ["anchor", "stretch"])
     whole = judged.where("owner < doc").select("doc", "row_hash", "start", (F.col("start") + F.col("windows") - 1 + window).alias("end"))
