@@ -23,9 +23,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the lines that others, or its own earlier lines, already have; n_chars follows the text."""
-    kept = lines.without_repeated_lines(docs)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Documents without the lines that others, or their own earlier lines, already have; n_chars follows the text.
+
+    A document all of whose lines go, such as an exact copy, goes too; one that was blank from the start stays.
+    """
+    kept = lines.without_repeated_lines(docs).where("NOT (coalesce(lines_removed, 0) > 0 AND btrim(text, ' \\t\\r\\n') = '')")
+    return kept.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ def test_stages_chain(spark, folder):
         assert docs.columns == columns, name
         sizes.append(docs.count())
         if name == "lines":
-            assert sizes[-1] == before.count()
+            assert {1, 2, 20, 21, 22} <= {r["doc_id"] for r in docs.collect()} and not {3, 7} & {r["doc_id"] for r in docs.collect()}
             seen = {}
             for r in docs.where("text IS NOT NULL AND doc_id IS NOT NULL").collect():
                 for line in r["text"].split("\n"):
