@@ -7,21 +7,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremorloom.llm.common import cut
+from tremorloom.llm.common import cut, partitions
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root) of every id in edges(a, b): distributed union-find by contraction, pointers and all kept in tables."""
+    """(id, root) of every id in edges(a, b): distributed union-find by contraction, pointers and all kept in tables.
+
+    In each round every id points to the least id beside it, and the edges are drawn again between what is pointed to.
+    """
     steps: list[DataFrame] = []
     while True:
         edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if edges.isEmpty():
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = cut(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("root")))
+        parent = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("root"))
         steps.append(parent)
         left = parent.select(F.col("id").alias("a"), F.col("root").alias("ra"))
         right = parent.select(F.col("id").alias("b"), F.col("root").alias("rb"))
@@ -34,33 +37,45 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(out)
 
 
-def bucket_links(members: DataFrame, similarity: Callable[[DataFrame], DataFrame], least: float, rounds: int = 2) -> DataFrame:
+def shared_buckets(keys: DataFrame, *more: str) -> DataFrame:
+    """(key, id, more, low) of the keys that more than one id has; low is the least of them. keys: (key, id, more). One shuffle."""
+    bucket = Window.partitionBy("key")
+    spread = keys.repartition(partitions(keys.sparkSession), "key").select("key", "id", *more, F.min("id").over(bucket).alias("low"), F.max("id").over(bucket).alias("high"))
+    return spread.where("low <> high").select("key", "id", *more, "low")
+
+
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members with their component as root, of those keys whose members are in more than one."""
+    rooted = members.drop("root").join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    return cut(rooted.join(mixed, "key", "left_semi"))
+
+
+def bucket_links(members: DataFrame, similarity: Callable[[DataFrame], DataFrame], least: float, rounds: int = 1) -> DataFrame:
     """Links (a, b) that join the same ids as all pairs of every bucket with a similarity of least or more would.
 
-    members: (key, id), distinct. similarity: pairs (a, b) -> (a, b, s) with s a similarity whose complement is a metric.
-    In each round every bucket compares its members with one pivot, so a bucket of g members costs g comparisons. A bucket
-    whose members are connected is finished. In what remains, only members of different components are compared, and only
-    where their distances to every pivot differ by 1 - least or less: else the triangle inequality rules the link out.
+    members: distinct (key, id, low) as from shared_buckets. similarity: pairs (a, b) -> (a, b, s) with s a similarity whose
+    complement is a metric. First every id is compared with one leader, the least of its buckets' least ids; then, in each
+    round, every bucket that is not yet connected compares its members with one pivot, so a bucket of g members costs g
+    comparisons. In what remains, only members of different components are compared, and only where their distances to every
+    pivot differ by 1 - least or less: else the triangle inequality rules the link out.
     """
     far = 1.0 - least
-    links = None
+    led = members.groupBy("id").agg(F.min("low").alias("a")).where("a <> id").select("a", F.col("id").alias("b"))
+    links = cut(similarity(led).where(F.col("s") >= least).select("a", "b"))
+    members = _open(members.drop("low"), links)
     pivots = []
     for r in range(rounds):
-        chosen = members.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(r))).alias("pivot"), F.count("*").alias("n")).where("n > 1")
-        mine = members.join(chosen.select("key", "pivot"), "key")
-        pairs = mine.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        known = cut(similarity(pairs))
-        found = known.where(F.col("s") >= least).select("a", "b")
-        links = cut(found if links is None else links.unionByName(found))
-        place = known.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1.0 - F.col("s")).alias(f"d{r}"))
-        placed = mine.join(place, ["pivot", "id"], "left").withColumn(f"d{r}", F.coalesce(f"d{r}", F.lit(0.0))).drop("pivot")
-        pivots.append(f"d{r}")
-        roots = components(links)
-        rooted = placed.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        members = cut(rooted.join(open_, "key", "left_semi"))
         if members.isEmpty():
             return links
+        chosen = members.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(r))).alias("pivot"))
+        mine = members.join(chosen, "key")
+        known = cut(similarity(mine.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()))
+        links = cut(links.unionByName(known.where(F.col("s") >= least).select("a", "b")))
+        pivots.append(f"d{r}")
+        place = known.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1.0 - F.col("s")).alias(pivots[-1]))
+        placed = mine.join(place, ["pivot", "id"], "left").withColumn(pivots[-1], F.coalesce(pivots[-1], F.lit(0.0))).drop("pivot")
+        members = _open(placed, links)
     # what no pivot has settled: pairs of different components at like distances, met by bins of the first distance
     near = F.floor(F.col(pivots[0]) / far).cast("int")
     left = members.select("key", near.alias("bin"), F.col("id").alias("a"), F.col("root").alias("ra"), *[F.col(p).alias(f"a{p}") for p in pivots])

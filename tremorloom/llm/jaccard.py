@@ -23,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorloom.llm.common import cut, mixed, partitions, text_steps, words
-from tremorloom.llm.graph import bucket_links, components
+from tremorloom.llm.graph import bucket_links, components, shared_buckets
 
 GRAM = 5
 #: Similarity as a fraction of integers: 100 * intersection >= 80 * union.
@@ -87,13 +87,13 @@ class Bands:
             self.parts.append(parts)
             self.apart.append(apart)
 
-    def keys(self, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Join keys of each set and the set that each belongs to."""
+    def keys(self, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Join keys of each set, the set that each belongs to, and its band with the number of keys that a similar set shares."""
         sizes = np.diff(first)
         self.upto(int(sizes.max(initial=1)))
         last = np.array(self.last)
         own = np.searchsorted(last, sizes)
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for below in (0, 1):
             # as the larger set of a pair a document also joins the band below, if a similar set fits there
             band = own - below
@@ -106,10 +106,10 @@ class Bands:
                 at = np.repeat(first[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 out.append(self._keys_in(int(b), rows, n, tokens[at]))
         if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate([k for k, _ in out]), np.concatenate([r for _, r in out])
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def _keys_in(self, band: int, rows: np.ndarray, n: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _keys_in(self, band: int, rows: np.ndarray, n: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts, apart = self.parts[band], self.apart[band]
         spread = mixed(tokens ^ np.uint64(band * 2 + 1))
         slot = np.repeat(np.arange(len(rows)), n) * parts + ((spread >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
@@ -124,7 +124,9 @@ class Bands:
             place, word = np.concatenate((place, empty)), np.concatenate((word, np.zeros(len(empty), np.uint64)))
         with np.errstate(over="ignore"):
             key = mixed(word + mixed((place % parts).astype(np.uint64) + np.uint64((band + 1) << 32)))
-        return key.view(np.int64), rows[place // parts]
+        # at most `apart` of a set's full parts differ from a similar set's, so it shares the rest
+        needed = np.maximum(full - apart, 1) + (band << 32)
+        return key.view(np.int64), rows[place // parts], needed[place // parts]
 
 
 def set_table(docs: DataFrame, gram: int = GRAM) -> DataFrame:
@@ -144,17 +146,30 @@ def set_table(docs: DataFrame, gram: int = GRAM) -> DataFrame:
 
 
 def sketch_keys(docs: DataFrame, gram: int = GRAM) -> DataFrame:
-    """(key, id) of every part of every set; id is the class of the set."""
-    fields = pa.schema([("key", pa.int64()), ("id", pa.int64())])
+    """(key, id, needed) of every part of every set; id is the class of the set, needed holds its band and least shared keys."""
+    fields = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("needed", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands()
         for batch in batches:
             for _, _, tokens, first in token_sets(batch.column("text"), gram):
-                key, row = bands.keys(tokens, first)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(class_of(tokens, first)[row])], schema=fields)
+                key, row, needed = bands.keys(tokens, first)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(class_of(tokens, first)[row]), pa.array(needed)], schema=fields)
 
-    return docs.select("text").mapInArrow(run, "key long, id long")
+    return docs.select("text").mapInArrow(run, "key long, id long, needed long")
+
+
+def candidates(keys: DataFrame, passes: int = 2) -> DataFrame:
+    """(key, id, low) of the keys that sets share, without the sets that share fewer keys than any similar pair would.
+
+    A passage that many texts have makes them share a few parts; the count rules them out before anything is compared.
+    """
+    members = shared_buckets(keys, "needed").distinct()
+    for _ in range(passes):
+        each = Window.partitionBy("id", "needed")
+        enough = members.withColumn("n", F.count("*").over(each)).where(F.col("n") >= F.col("needed").bitwiseAND(F.lit((1 << 32) - 1)))
+        members = shared_buckets(enough.select("key", "id", "needed"), "needed")
+    return members.select("key", "id", "low")
 
 
 def _compare(rows: DataFrame, gram: int) -> DataFrame:
@@ -184,9 +199,7 @@ def _compare(rows: DataFrame, gram: int) -> DataFrame:
 
 def links(docs: DataFrame, sets: DataFrame, gram: int = GRAM) -> DataFrame:
     """Links (a, b) between classes that connect what all pairs of the similarity join would connect."""
-    keys = sketch_keys(docs, gram).repartition(partitions(docs.sparkSession), "key")
-    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
-    members = cut(keys.join(shared.hint("shuffle_hash"), "key", "left_semi").distinct())
+    members = cut(candidates(sketch_keys(docs, gram)))
     named = sets.where("class IS NOT NULL").groupBy("class").agg(F.min_by(F.struct("doc_id", "row_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("r"))
     wanted = members.select("id").distinct().join(named, F.col("id") == F.col("class")).select("id", F.col("r.doc_id").alias("rep"), F.col("r.row_hash").alias("row_hash"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text")
