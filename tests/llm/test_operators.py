@@ -138,6 +138,18 @@ def test_lines(docs):
         assert any(g["n_removed"] == removed and g["n_lines"] == len((r[1] or "").split("\n")) for g in got[r[0]]), r
 
 
+def test_lines_with_repeated_shingles(spark):
+    """Lines of like shingle sets are found however often they repeat them."""
+    texts = [c * n for c in "-=*~#+_.oxyz" for n in (80, 200, 700, 3000)]
+    texts += [unit * n for unit in ("ha ", "+--", "na na hey ", "| a | b ") for n in (40, 90, 400, 1500)]
+    sets = [frozenset(t.strip()[i : i + lines.SHINGLE] for i in range(len(t.strip()) - lines.SHINGLE + 1)) for t in texts]
+    root = union(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, line string")
+    assert {r["doc_id"] for r in lines.band_keys(table.withColumnRenamed("doc_id", "id")).select(F.col("id").alias("doc_id")).distinct().collect()} == set(range(len(texts)))
+    got = {r["doc_id"]: r["n_removed"] for r in lines.line_report(table.withColumnRenamed("line", "text")).collect()}
+    assert got == {i: int(root.index(root[i]) < i) for i in range(len(texts))}
+
+
 def test_lines_keep_other_columns(docs):
     kept = lines.without_repeated_lines(docs.withColumn("lines_removed", F.lit("mine")).withColumn("key", F.lit(1)))
     assert set(kept.columns) == {"doc_id", "text", "lang", "source", "n_chars", "key", "lines_removed"}

@@ -62,19 +62,26 @@ def _hash_at(code: Column, place: Column) -> Column:
     return F.xxhash64(F.substring(code, place * 4 - 3, F.lit(4 * SHINGLE)))
 
 
+def _shingles(code: Column) -> Column:
+    """Distinct shingle hashes of a line, all of them."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), _count(code)), lambda i: _hash_at(code, i)))
+
+
 def shingle_rows(lines: DataFrame) -> DataFrame:
     """(id, level, h): the shingles of every line that its signature is taken over.
 
     Level l takes the shingles whose hash ends in l zero bits, the same ones in any line. A line belongs to the level that
-    leaves SIGNED to 2 * SIGNED of its shingles, and also to the next one if a similar line can: so similar lines share one.
+    leaves SIGNED to 2 * SIGNED of its distinct shingles, and also to the next one if a similar line can: so similar lines
+    share one, however often each repeats its shingles. Of fewer than 2 * SIGNED distinct shingles all are taken.
     """
-    coded = lines.select("id", _codes(F.col("line")).alias("code"))
-    sized = coded.select("id", "code", _count(F.col("code")).alias("n")).withColumn("level", F.greatest(F.lit(0), F.floor(F.log2(F.col("n") / SIGNED))).cast("int"))
+    # the generators keep the optimizer from encoding and hashing a line again for each use
+    coded = lines.select("id", F.explode(F.array(_codes(F.col("line")))).alias("code"))
+    hashed = coded.select("id", F.explode(F.array(_shingles(F.col("code")))).alias("hashes")).withColumn("n", F.size("hashes"))
+    sized = hashed.withColumn("level", F.greatest(F.lit(0), F.floor(F.log2(F.col("n") / SIGNED))).cast("int"))
     also = (F.col("n") >= SIMILARITY * SIGNED * F.pow(F.lit(2.0), F.col("level") + 1)).alias("also")
-    placed = sized.select("id", "code", "level", also, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("place"))
-    hashed = placed.select("id", "level", "also", _hash_at(F.col("code"), F.col("place")).alias("h")).where("h & (shiftleft(1L, level) - 1) = 0")
+    taken = sized.select("id", "level", also, F.explode("hashes").alias("h")).where("h & (shiftleft(1L, level) - 1) = 0")
     both = F.when(F.col("also") & F.expr("h & (shiftleft(1L, level + 1) - 1) = 0"), F.array("level", F.col("level") + 1)).otherwise(F.array("level"))
-    return hashed.select("id", "h", F.explode(both).alias("level"))
+    return taken.select("id", "h", F.explode(both).alias("level"))
 
 
 def band_keys(lines: DataFrame) -> DataFrame:
@@ -85,11 +92,6 @@ def band_keys(lines: DataFrame) -> DataFrame:
     return signed.select("id", F.explode(F.array(*bands)).alias("key"))
 
 
-def _shingles(code: Column) -> Column:
-    """Distinct shingle hashes of a line, all of them."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), _count(code)), lambda i: _hash_at(code, i)))
-
-
 def _similarity(texts: DataFrame):
     def of(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
