@@ -236,6 +236,15 @@ def test_jaccard_components(docs):
     assert {1, 2, 20, 21, 22} <= ids and not {3, 7, 10} & ids
 
 
+def test_jaccard_keeps_one_row_of_each_component(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (1, a + " end"), (2, a), (None, a), (None, b), (None, b), (None, b + " end"), (3, c), (3, "one"), (4, ""), (4, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, str(n)) for n, (i, t) in enumerate(rows)], "doc_id long, text string, source string")
+    for n in (1, 5):
+        kept = [tuple(r) for r in jaccard.deduplicated(docs.repartition(n)).collect()]
+        assert sorted((r[0] or 0, (r[1] or "").replace(" end", "")) for r in kept) == sorted([(1, a), (0, b), (3, c), (3, "one"), (4, ""), (4, ""), (0, "")])
+
+
 def test_jaccard_random_near_copies(spark):
     rng = random.Random(11)
     rows = []

@@ -215,15 +215,21 @@ def links(docs: DataFrame, sets: DataFrame, gram: int = GRAM) -> DataFrame:
     return bucket_links(members, similarity, NUMERATOR / DENOMINATOR)
 
 
-def jaccard_components(docs: DataFrame, gram: int = GRAM) -> DataFrame:
-    """Per row: doc_id, row_hash, n_shingles and component_id, the least doc_id that links reach."""
+def _kept_rows(docs: DataFrame, gram: int) -> DataFrame:
+    """Per row: doc_id, row_hash, n_shingles, class and, of its component, the row that stays: the least doc_id, null last."""
     sets = cut(set_table(docs, gram))
     roots = components(links(docs, sets, gram))
-    least = sets.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("low"))
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_hash")
+    least = sets.where("class IS NOT NULL").groupBy("class").agg(F.min(order).alias("low"))
     rooted = least.join(roots, F.col("class") == F.col("id"), "left").select("class", "low", F.coalesce("root", "class").alias("root"))
-    group = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    named = cut(rooted.join(group, "root").select("class", "component"))
-    return sets.join(named, "class", "left").select("doc_id", "row_hash", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    group = rooted.groupBy("root").agg(F.min("low").alias("keeper"))
+    named = cut(rooted.join(group, "root").select("class", "keeper"))
+    return sets.join(named, "class", "left")
+
+
+def jaccard_components(docs: DataFrame, gram: int = GRAM) -> DataFrame:
+    """Per row: doc_id, row_hash, n_shingles and component_id, the least doc_id that links reach."""
+    return _kept_rows(docs, gram).select("doc_id", "row_hash", "n_shingles", F.coalesce("keeper.doc_id", "doc_id").alias("component_id"))
 
 
 def component_report(docs: DataFrame) -> DataFrame:
@@ -232,9 +238,15 @@ def component_report(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one with its component's id; of rows that share that id, one."""
-    found = jaccard_components(docs)
-    gone = found.where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"), F.col("row_hash").alias("gone_hash")).distinct()
+    """One row of each component: the one with its component's id, or without id if no row of it has one. Rows without shingles stay."""
+    mine = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("row_hash") == F.col("keeper.row_hash"))
+    found = _kept_rows(docs, GRAM).where("class IS NOT NULL").groupBy(F.col("doc_id").alias("id_"), F.col("row_hash").alias("hash_")).agg(F.bool_or(mine).alias("stays_"), F.count("*").alias("copies_"))
+    decided = cut(found.where("NOT stays_ OR copies_ > 1"))
+    here = lambda rows, those: rows["doc_id"].eqNullSafe(those["id_"]) & (rows["row_hash_"] == those["hash_"])
     rows = docs.withColumn("row_hash_", F.xxhash64("text"))
-    kept = rows.join(gone, rows["doc_id"].eqNullSafe(gone.gone_id) & (rows["row_hash_"] == gone.gone_hash), "left_anti")
-    return kept.select(docs.columns)
+    once = rows.join(decided, here(rows, decided), "left_anti").select(docs.columns)
+    repeated = decided.where("stays_")
+    copies = rows.join(repeated, here(rows, repeated), "left_semi").withColumn("all_", F.struct(*docs.columns))
+    # of rows with one id and one text, which may differ elsewhere, the same one whatever the order
+    one = copies.groupBy("doc_id", "row_hash_").agg(F.min("all_").alias("all_")).select("all_.*")
+    return once.unionByName(one)
