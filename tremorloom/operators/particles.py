@@ -36,6 +36,36 @@ def assimilate(states: DataFrame, events: pd.DataFrame, loading: np.ndarray, gai
     return states.groupBy("particle").applyInPandas(run, "particle long, day int, section int, margin double")
 
 
+def assimilate_regions(states: DataFrame, events: DataFrame, loading: np.ndarray, gain: float, release: float, exponent: float, reference: float) -> DataFrame:
+    """(region, particle, day, section, margin) after each day with events. states: (region, particle, section, margin), sections from 0.
+
+    events: (region, day, order, event_id, magnitude, probability, section, weight), each of one section; those without a
+    section or magnitude count for nothing but their day. As assimilate, but regions and particles meet their events by key:
+    nothing is collected or broadcast, and a task holds one region's events.
+    """
+    particles = states.select("region", "particle").distinct()
+    copies = events.join(particles, "region").select(F.col("region").alias("of"), F.col("particle").alias("by"), "day", "order", "event_id", "magnitude", "probability", F.col("section").alias("at"), "weight")
+
+    def run(s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        if s.empty:
+            return pd.DataFrame({"region": [], "particle": [], "day": [], "section": [], "margin": []})
+        margin = s.sort_values("section")["margin"].to_numpy(float)
+        out = []
+        for day, group in e.sort_values(["day", "order", "event_id"]).groupby("day"):
+            margin = margin + loading
+            known = group[group["at"].notna() & group["magnitude"].notna()]
+            lost = release * 10 ** (exponent * (known["magnitude"].to_numpy() - reference)) * known["weight"].to_numpy()
+            added = gain * known["probability"].to_numpy() * known["weight"].to_numpy()
+            for i, up, down in zip(known["at"].to_numpy(int), added, lost, strict=True):
+                margin[i] += up / (1 + np.exp(margin[i])) - down
+            margin = margin - margin.mean()
+            out.append(pd.DataFrame({"region": s["region"].iloc[0], "particle": s["particle"].iloc[0], "day": int(day), "section": np.arange(len(margin)), "margin": margin}))
+        return pd.concat(out) if out else pd.DataFrame({"region": [], "particle": [], "day": [], "section": [], "margin": []})
+
+    met = states.groupBy("region", "particle").cogroup(copies.groupBy("of", "by"))
+    return met.applyInPandas(run, "region string, particle long, day int, section int, margin double")
+
+
 def centred_loading(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """value centred and scaled to unit root mean square within keys."""
     from pyspark.sql import Window

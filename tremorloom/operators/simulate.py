@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tremorloom.functions.kernels import Parameters
 from tremorloom.functions.special import inverse_lower_gamma, lower_gamma, temporal_integral
@@ -71,3 +73,109 @@ def simulate(spark: SparkSession, history: np.ndarray, p: Parameters, reference:
                 yield pd.DataFrame({"catalog": int(i), "t": rows[:, 0], "x": rows[:, 1], "y": rows[:, 2], "mag": rows[:, 3], "is_root": rows[:, 4] > 0})
 
     return spark.range(0, simulations, 1, tasks).mapInPandas(run, "catalog long, t double, x double, y double, mag double, is_root boolean")
+
+
+#: Simulations of one event that a task takes at a time; events that it lays side by side, and delays that the table spans, in tau.
+BLOCK, SIDE, SPAN = 200, 1024, 50.0
+
+
+@lru_cache(maxsize=8)
+def _delay_table(p: Parameters) -> tuple[np.ndarray, np.ndarray]:
+    """Delays and the kernel's mass up to each, the same for every batch."""
+    grid = np.geomspace(p.c, SPAN * p.tau + p.c, 8192) - p.c
+    return grid, np.concatenate(([0.0], np.cumsum(temporal_integral(grid[:-1], grid[1:], p))))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """The 64-bit finaliser that spreads every input bit over the output."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
+def _keyed(key: np.ndarray, number: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mixed(key + _mixed(number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)))
+
+
+def _uniform(key: np.ndarray, draw: int) -> np.ndarray:
+    """Numbers in (0, 1) that depend on the key and the draw alone."""
+    return ((_keyed(key, np.full(len(key), draw, np.uint64)) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+
+def _arrivals(key: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Poisson counts as (row, number of the arrival), by exponential waiting times: exact for any mean."""
+    at = np.flatnonzero(mean > 0)
+    wait = np.zeros(len(at))
+    rows, numbers, j = [], [], 0
+    while len(at):
+        wait = wait - np.log(_uniform(key[at], 16 + j))
+        inside = wait <= mean[at]
+        at, wait = at[inside], wait[inside]
+        rows.append(at)
+        numbers.append(np.full(len(at), j))
+        j += 1
+    return (np.concatenate(rows), np.concatenate(numbers)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def descendants(catalog: np.ndarray, parents: np.ndarray, key: np.ndarray, p: Parameters, reference: float, beta: float, days: float, most: int = 20_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """All generations born in the next days: their catalogues and rows (t, x, y, magnitude). Every number drawn depends on keys alone."""
+    plane, (grid, mass) = math.pi / p.rho, _delay_table(p)
+    total = lambda t: np.interp(t, grid, mass)
+    catalogs, out, n = [], [], 0
+    while len(parents):
+        excess = parents[:, 3] - reference
+        scale = p.d * np.exp(p.gamma * excess)
+        low, high = total(np.maximum(0.0, -parents[:, 0])), total(days - parents[:, 0])
+        of, number = _arrivals(key, p.k0 * np.exp(p.a * excess) * plane * scale**-p.rho * (high - low))
+        if (n := n + len(of)) > most:
+            raise ValueError("the continuation grows beyond its cap; the parameters may be supercritical")
+        key = _keyed(key[of], number)
+        t = parents[of, 0] + np.interp(low[of] + _uniform(key, 0) * (high[of] - low[of]), mass, grid)
+        r = np.sqrt(scale[of] * (_uniform(key, 1) ** (-1 / p.rho) - 1))
+        turn = _uniform(key, 2) * 2 * np.pi
+        parents = np.column_stack((t, parents[of, 1] + r * np.cos(turn), parents[of, 2] + r * np.sin(turn), reference - np.log(_uniform(key, 3)) / beta))
+        catalog = catalog[of]
+        catalogs.append(catalog)
+        out.append(parents)
+    return (np.concatenate(catalogs), np.vstack(out)) if out else (np.zeros(0, np.int64), np.zeros((0, 4)))
+
+
+def continuations(history: DataFrame, p: Parameters, reference: float, beta: float, background: float, extent: float, days: float = 1.0, simulations: int = 1000, seed: int = 1) -> DataFrame:
+    """(catalog, t, x, y, mag, is_root) of all simulations of a history of any size, which stays distributed.
+
+    history: (event_id, age in days before issue, lon, lat, mag). Descendants of different events are independent, so each
+    event and block of simulations is a row of work, and what it draws depends on seed, simulation and event_id alone.
+    """
+    schema = "catalog long, t double, x double, y double, mag double, is_root boolean"
+
+    def frame(catalog: np.ndarray, rows: np.ndarray, root: bool) -> pd.DataFrame:
+        return pd.DataFrame({"catalog": catalog.astype(np.int64), "t": rows[:, 0], "x": rows[:, 1], "y": rows[:, 2], "mag": rows[:, 3], "is_root": root})
+
+    def triggered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), SIDE):
+                q = batch.iloc[at : at + SIDE]
+                sims = q["block"].to_numpy()[:, None] * BLOCK + np.arange(BLOCK)[None, :]
+                event, inside = np.repeat(np.arange(len(q)), BLOCK), (sims < simulations).ravel()
+                event, sims = event[inside], sims.ravel()[inside]
+                key = _keyed(_keyed(np.full(len(sims), seed, np.uint64), sims), q["event_id"].to_numpy(np.int64)[event])
+                parents = np.column_stack((-q["age"].to_numpy(), q["lon"], q["lat"], q["mag"]))[event]
+                yield frame(*descendants(sims, parents, key, p, reference, beta, days), False)
+
+    def rooted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in batch["id"]:
+                rng = np.random.default_rng([seed, int(i)])
+                n = rng.poisson(background * extent**2 * days)
+                rows = np.column_stack((rng.random(n) * days, rng.random(n) * extent, rng.random(n) * extent, reference + rng.exponential(1 / beta, n)))
+                sims = np.full(n, int(i))
+                yield frame(sims, rows, True)
+                yield frame(*descendants(sims, rows, rng.integers(0, 1 << 64, n, np.uint64), p, reference, beta, days), False)
+
+    spark = history.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((simulations - 1) // BLOCK))).alias("block")
+    work = history.where("age IS NOT NULL AND lon IS NOT NULL AND lat IS NOT NULL AND mag IS NOT NULL").select("event_id", "age", "lon", "lat", "mag", blocks).repartition(tasks, "event_id", "block")
+    return work.mapInPandas(triggered, schema).unionByName(spark.range(0, simulations, 1, min(tasks, simulations)).mapInPandas(rooted, schema))

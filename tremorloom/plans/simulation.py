@@ -14,9 +14,9 @@ from tremorloom.plans.registry import query
 @query("simulate_grid")
 def simulate_grid(spark, sf_dir):
     """Expected counts and occupancy of one day's continuations of the last week's catalogue."""
-    recent = cat(spark, sf_dir).where(F.col("day") > LAST - 7).select(((LAST + 1) * 86_400_000_000 - F.col("us")).alias("age"), "lon", "lat", "mag").toPandas()  # a week of one region
-    history = np.column_stack((recent["age"] / 86_400_000_000, recent["lon"], recent["lat"], recent["mag"]))
-    sims = simulate.simulate(spark, history[np.argsort(-history[:, 0])][:2000], P, M0, BETA, P.mu, 10.0, simulations=200)
+    age = (((LAST + 1) * 86_400_000_000 - F.col("us")) / 86_400_000_000).alias("age")
+    recent = cat(spark, sf_dir).where(F.col("day") > LAST - 7).select("event_id", age, "lon", "lat", "mag")
+    sims = simulate.continuations(recent, P, M0, BETA, P.mu, 10.0, simulations=200)
     inside = sims.where("x >= 0 AND x < 10 AND y >= 0 AND y < 10").withColumn("cell", (F.floor("y") * 10 + F.floor("x")).cast("int"))
     return scoring.occupancy(inside, 200, [0.0, 1.0])
 
@@ -39,9 +39,8 @@ def temporal_integral(spark, sf_dir):
 
 @query("particle_assimilation")
 def particle_assimilation(spark, sf_dir):
-    """Eight particles over the cells of one row of the grid, driven by the purchases of its cells."""
-    c = cat(spark, sf_dir).where("region = 'purchase' AND y = 0")
-    rows = c.select("day", F.col("us").alias("order"), F.col("mag").alias("magnitude"), "x").toPandas()  # one region's row of cells
-    rows["probability"], rows["weights"] = 0.8, [list(0.7 * (np.arange(10) == x)) for x in rows.pop("x")]
-    states = spark.range(80).select(F.floor(F.col("id") / 10).alias("particle"), (F.col("id") % 10).cast("int").alias("section"), F.sin("id").alias("margin"))
-    return particles.assimilate(states, rows, np.linspace(-0.01, 0.01, 10), 0.2, 0.02, 0.75, 0.0)
+    """Eight particles of every region over all cells of the grid, driven by the region's events in their cells."""
+    events = cat(spark, sf_dir).select("region", "day", F.col("us").alias("order"), "event_id", F.col("mag").alias("magnitude"), F.lit(0.8).alias("probability"), F.col("cell").alias("section"), F.lit(0.7).alias("weight"))
+    grid = spark.range(800).select(F.floor(F.col("id") / 100).alias("particle"), (F.col("id") % 100).cast("int").alias("section"), F.sin("id").alias("margin"))
+    states = events.select("region").distinct().crossJoin(F.broadcast(grid))  # eight particles by a fixed grid
+    return particles.assimilate_regions(states, events, np.linspace(-0.01, 0.01, 100), 0.2, 0.02, 0.75, 0.0)
