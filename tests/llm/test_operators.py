@@ -325,6 +325,25 @@ def test_media(docs):
     assert full.where("size(pair_codes) <> size(pair_times)").count() == 0 and full.schema["media"].dataType.simpleString() == "binary"
 
 
+def test_short_texts_have_their_own_pairs():
+    code = lambda t: media.pairs(media.payload(t)[0])[0].tobytes()
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    texts = {" ".join(word() for _ in range(n)) for n in (8, 16, 30) for _ in range(60)}
+    assert max(map(len, texts)) > 128 and min(map(len, texts)) < 64
+    assert len({code(t) for t in texts}) >= 0.98 * len(texts)
+    assert all(map(code, [*texts, "a", "two words"])) and not code("") and not code(None)
+
+
+def test_every_byte_is_in_the_fingerprint():
+    """Noise around any place of a text, frame borders too, is seen."""
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(1024))
+    base = media.pairs(text.encode())[0].tobytes()
+    for at in range(0, 1024 - 8, 4):
+        assert media.pairs((text[:at] + "~ ~ ~ ~ " + text[at + 8 :]).encode())[0].tobytes() != base, at
+
+
 def test_peaks_find_a_tone():
     t = np.arange(2048)
     tone = (128 + 100 * np.sin(2 * np.pi * 40 / media.FRAME * t)).astype(np.uint8)

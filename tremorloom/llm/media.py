@@ -4,7 +4,9 @@ Each text becomes a payload of whole 64-byte blocks, is stored as 8-bit mono sam
 the wave module, and described by a constellation: the strongest bins of each short-time Fourier frame, paired with
 peaks of the following frames and kept as arrays coded by time. Nothing crosses rows, so no shuffle is needed.
 
-Null and empty texts give one zero block and a fingerprint without pairs; equal texts give equal values; repeated rows
+Frames overlap, and silence before and after lets every byte be met by frames at different places of the window, so any text has
+several frames. Texts of one or two words may still share their few peaks. Null and empty texts, and texts of zero bytes alone,
+are silence and give a fingerprint without pairs, the first two over one zero block; equal texts give equal values; repeated rows
 stay repeated; columns besides those named are left out of the result of media_digest and kept by with_media.
 """
 
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 
 BLOCK = 64
 RATE = 8000
-FRAME = 256
-HOP = 256
+FRAME = 128
+HOP = 32
 PEAKS = 2
 FAN_OUT = 2
 #: Frames that one Fourier step takes; whole signals are covered step by step.
@@ -55,15 +57,21 @@ def from_wav(stored: bytes) -> bytes:
 
 
 def peaks(samples: bytes) -> np.ndarray:
-    """Rows (frames) of the strongest bins, ascending; the last frame is padded with silence."""
+    """Rows (frames) of the strongest bins, ascending; samples are centred, and zeros at the end count as silence."""
     x = np.frombuffer(samples, np.uint8)
-    frames = max(1, -(-(len(x) - FRAME) // HOP) + 1)
-    x = np.concatenate((x, np.full(FRAME + (frames - 1) * HOP - len(x), 128, np.uint8)))
+    heard = np.flatnonzero(x)
+    if not len(heard):
+        return np.zeros((0, PEAKS), np.int64)
+    heard = x[: heard[-1] + 1]
+    around = FRAME - HOP
+    frames = -(-(len(x) + 2 * around - FRAME) // HOP) + 1
+    x = np.zeros(FRAME + (frames - 1) * HOP, np.float32)
+    x[around : around + len(heard)] = heard - np.float32(heard.mean())
     out = []
     for at in range(0, frames, STEP_FRAMES):
         to = min(at + STEP_FRAMES, frames)
         part = x[at * HOP : (to - 1) * HOP + FRAME]
-        view = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP].astype(np.float32) - 128
+        view = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
         level = np.abs(np.fft.rfft(view * _WINDOW, axis=1))[:, 1:].astype(np.float32)
         best = np.argpartition(level, -PEAKS, axis=1)[:, -PEAKS:]
         out.append(np.sort(best, axis=1) + 1)
