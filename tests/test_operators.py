@@ -168,6 +168,17 @@ def test_particles_by_region_equal_the_broadcast_ones(spark):
     assert len(a) and np.allclose(a, b, rtol=0, atol=1e-9)
 
 
+def test_a_busy_block_is_dealt_into_parts(spark, monkeypatch):
+    c = cat(spark, DATA)
+    whole = {r["event_id"]: r for r in causal.prior_intensity(c, P, M0).collect()}
+    monkeypatch.setattr(causal, "BLOCK_ROWS", 40)
+    rows = c.select("event_id", "us", F.col("us").alias("o"), "lat", "lon", "mag", F.lit(0).alias("block"))
+    for side in causal.block_pairs(rows, 0, 0, 0):
+        assert side.groupBy("a", "ap", "b", "bp").count().agg(F.max("count")).first()[0] <= 80
+    for r in causal.prior_intensity(c, P, M0).collect():
+        assert r["n_prior"] == whole[r["event_id"]]["n_prior"] and r["triggered"] == pytest.approx(whole[r["event_id"]]["triggered"], rel=1e-9, abs=1e-15)
+
+
 def test_log_operators(spark):
     stored = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "b"), (3, "c")], "k int, v string")

@@ -13,6 +13,8 @@ its first copy. Every document stays, even one whose lines all go, with an empty
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +34,10 @@ def bare(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
 
 
-def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc, line) of the distinct lines of each text that are not blank."""
+def lines_of(docs: DataFrame, text: str = "text", more: Sequence[Column] = ()) -> DataFrame:
+    """(doc, more, line) of the distinct lines of each text that are not blank."""
     found = F.array_distinct(F.transform(F.split(F.col(text), "\n"), bare))
-    return docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.explode(found).alias("line")).where("line <> ''")
+    return docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), *more, F.explode(found).alias("line")).where("line <> ''")
 
 
 def id_of(line: Column) -> Column:
@@ -125,23 +127,28 @@ def keepers(docs: DataFrame) -> DataFrame:
     return rooted.join(leaders, "root", "left").where("docs > 1 OR root IS NOT NULL").select("id", keeper.alias("keeper"))
 
 
+def gone_lines(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """(doc_, row_, gone_): the ids of the lines that go, for each doc and hash of a text, so that an array holds a text's own lines however many rows share a doc_id."""
+    placed = lines_of(docs.select("doc_id", "text"), more=[F.xxhash64("text").alias("row")]).withColumn("id", id_of(F.col("line"))).select("doc", "row", "id")
+    gone = placed.join(decided, "id").where("keeper IS NULL OR keeper <> doc")
+    return gone.groupBy(F.col("doc").alias("doc_"), F.col("row").alias("row_")).agg(F.collect_set("id").alias("gone_"))
+
+
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with columns lines_removed and text, from which the repeated lines are gone."""
     names = [c for c in docs.columns if c not in ("text", "lines_removed")]
     rows = docs.select(*names, "text", F.coalesce("doc_id", F.lit(_LAST)).alias("doc_"), F.xxhash64("text").alias("row_"))
-    decided = cut(keepers(docs))
-    placed = lines_of(docs.select("doc_id", "text")).withColumn("id", id_of(F.col("line"))).select("doc", "id")
-    gone = placed.join(decided, "id").where("keeper IS NULL OR keeper <> doc").select("doc", "id")
-    perdoc = gone.groupBy("doc").agg(F.collect_set("id").alias("gone_"))
-    joined = rows.join(perdoc, F.col("doc_") == F.col("doc"), "left")
-    parts = F.sort_array(F.transform(F.split("text", "\n"), lambda x, i: F.struct(bare(x).alias("bare"), i.alias("i"), x.alias("line"))))
-    sorted_rows = joined.withColumn("parts_", parts).withColumn("gone_", F.coalesce("gone_", F.array().cast("array<bigint>")))
-    # equal lines lie side by side, so a copy that is not the first follows its like
-    first = lambda x, i: (i == 0) | (F.get(F.col("parts_"), i - 1)["bare"] != x["bare"])
-    stays = F.filter("parts_", lambda x, i: (x["bare"] == "") | (first(x, i) & ~F.array_contains("gone_", id_of(x["bare"]))))
+    joined = rows.join(gone_lines(docs, cut(keepers(docs))), ["doc_", "row_"], "left")
+    # a mark for each gone id goes before the lines of that id, so after sorting a line that follows its like goes
+    marks = F.transform(F.coalesce("gone_", F.array().cast("array<bigint>")), lambda g: F.struct(g.alias("id"), F.lit(-1).alias("i"), F.lit("").alias("line")))
+    parts = F.transform(F.split("text", "\n"), lambda x, i: F.struct(id_of(bare(x)).alias("id"), i.alias("i"), x.alias("line")))
+    sorted_rows = joined.withColumn("parts_", F.sort_array(F.concat(marks, parts)))
+    first = lambda x, i: (i == 0) | (F.get(F.col("parts_"), i - 1)["id"] != x["id"])
+    stays = F.filter("parts_", lambda x, i: (x["i"] >= 0) & ((bare(x["line"]) == "") | first(x, i)))
     ordered = F.sort_array(F.transform(stays, lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line"))))
     cleaned = sorted_rows.withColumn("stays_", ordered)
-    return cleaned.select(*names, F.array_join(F.transform("stays_", lambda x: x["line"]), "\n").alias("text"), (F.size("parts_") - F.size("stays_")).cast("long").alias("lines_removed"))
+    removed = F.size(F.split("text", "\n")) - F.size("stays_")
+    return cleaned.select(*names, F.array_join(F.transform("stays_", lambda x: x["line"]), "\n").alias("text"), removed.cast("long").alias("lines_removed"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:

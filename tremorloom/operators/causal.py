@@ -1,8 +1,10 @@
 """Causal joins: sums over strictly earlier events, computed without all pairs in one place.
 
 Targets and sources are cut into time blocks. A target block meets every source block that is not later, as an equi-join on
-block pairs; inside a pair the kernels are evaluated on whole arrays. A pair costs block size squared and no row per pair of
-events is ever shuffled: sources are shuffled once for each target block they precede, or only within the horizon if one is set.
+block pairs; inside a pair the kernels are evaluated on whole arrays. A block of more than BLOCK_ROWS events is dealt into parts of
+about so many, and each part of one block meets each part of the other, so no task holds more of a busy day. A pair costs part
+size squared and no row per pair of events is ever shuffled: sources are shuffled once for each part of a target block that they
+precede, or only within the horizon if one is set.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from tremorloom.functions.kernels import Parameters
 
 DAY_US = 86_400_000_000.0
+#: Events of a part of a block, on average.
+BLOCK_ROWS = 16_384
 
 
 def sequenced(cat: DataFrame) -> DataFrame:
@@ -25,6 +29,18 @@ def sequenced(cat: DataFrame) -> DataFrame:
     return cat.withColumn("_r", rank).join(F.broadcast(before), "day").withColumn("seq", F.col("offset") + F.col("_r") - 1).drop("_r", "offset")
 
 
+def block_pairs(rows: DataFrame, low: int, high: int, reach: int) -> tuple[DataFrame, DataFrame]:
+    """Targets and sources by (a, ap, b, bp): block and part of the sources, block and part of the targets. rows have their block."""
+    parts = rows.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    dealt = rows.join(F.broadcast(parts), "block").withColumn("part", F.pmod(F.xxhash64("event_id"), F.col("parts")).cast("int"))  # a row a block
+    met = F.broadcast(parts.select(F.col("block").alias("other"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other_part")))
+    sources = dealt.withColumn("other", F.explode(F.sequence(F.col("block"), F.least(F.col("block") + reach, F.lit(high))))).join(met, "other")
+    targets = dealt.withColumn("other", F.explode(F.sequence(F.greatest(F.col("block") - reach, F.lit(low)), F.col("block")))).join(met, "other")
+    left = targets.select(F.col("other").alias("a"), F.col("other_part").alias("ap"), F.col("block").alias("b"), F.col("part").alias("bp"), "event_id", "us", "o", "lat", "lon", "mag")
+    right = sources.select(F.col("block").alias("a"), F.col("part").alias("ap"), F.col("other").alias("b"), F.col("other_part").alias("bp"), *[F.col(c).alias(f"s_{c}") for c in ("us", "o", "lat", "lon", "mag")])
+    return left, right
+
+
 def prior_intensity(cat: DataFrame, p: Parameters, reference: float, block_days: int = 5, horizon_days: int | None = None, ties: bool = False) -> DataFrame:
     """(event_id, n_prior, triggered): per event the number of earlier sources and the triggered rate that they add.
 
@@ -37,16 +53,13 @@ def prior_intensity(cat: DataFrame, p: Parameters, reference: float, block_days:
     if extent[0] is None:
         return rows.select("event_id", F.lit(0).cast("long").alias("n_prior"), F.lit(0.0).alias("triggered"))
     reach = extent[1] - extent[0] if horizon_days is None else min(extent[1] - extent[0], -(-horizon_days // block_days))
-    sources = rows.withColumn("to", F.explode(F.sequence(F.col("block"), F.least(F.col("block") + reach, F.lit(extent[1])))))
-    targets = rows.withColumn("from_", F.explode(F.sequence(F.greatest(F.col("block") - reach, F.lit(extent[0])), F.col("block"))))
-    left = targets.select(F.col("from_").alias("a"), F.col("block").alias("b"), "event_id", "us", "o", "lat", "lon", "mag")
-    right = sources.select(F.col("block").alias("a"), F.col("to").alias("b"), *[F.col(c).alias(c) for c in ("us", "o", "lat", "lon", "mag")])
+    left, right = block_pairs(rows, extent[0], extent[1], reach)
 
     def pairs(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         n, rate = np.zeros(len(t), np.int64), np.zeros(len(t))
-        k = p.k0 * np.exp(p.a * (s["mag"].to_numpy() - reference))
-        scale = p.d * np.exp(p.gamma * (s["mag"].to_numpy() - reference))
-        so, sus, sx, sy = (s[c].to_numpy() for c in ("o", "us", "lon", "lat"))
+        k = p.k0 * np.exp(p.a * (s["s_mag"].to_numpy() - reference))
+        scale = p.d * np.exp(p.gamma * (s["s_mag"].to_numpy() - reference))
+        so, sus, sx, sy = (s[f"s_{c}"].to_numpy() for c in ("o", "us", "lon", "lat"))
         for at in range(0, len(t), 256):
             q = t.iloc[at : at + 256]
             earlier = so[None, :] < q["o"].to_numpy()[:, None]
@@ -57,8 +70,9 @@ def prior_intensity(cat: DataFrame, p: Parameters, reference: float, block_days:
             rate[at : at + 256] = np.where(earlier, value, 0.0).sum(axis=1)
         return pd.DataFrame({"event_id": t["event_id"], "n": n, "rate": rate})
 
-    parts = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(pairs, "event_id long, n long, rate double")
-    return parts.groupBy("event_id").agg(F.sum("n").alias("n_prior"), F.sum("rate").alias("triggered"))
+    key = ["a", "ap", "b", "bp"]
+    sums = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(pairs, "event_id long, n long, rate double")
+    return sums.groupBy("event_id").agg(F.sum("n").alias("n_prior"), F.sum("rate").alias("triggered"))
 
 
 def incremental_intensity(cat: DataFrame, since_day: int, p: Parameters, reference: float, **options) -> DataFrame:
