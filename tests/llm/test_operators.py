@@ -155,7 +155,7 @@ def test_lines_gone_are_held_for_a_text_not_an_id(spark):
     texts = ["\n".join(f"line {k % 90} of many that all repeat {k % 90}" for k in range(i, i + 3)) for i in range(200)]
     docs = spark.createDataFrame([*((1, t) for t in texts), *((None, t) for t in texts)], "doc_id long, text string")
     held = lines.gone_lines(docs.withColumn("key", F.lit(1)), lines.keepers(docs))
-    assert held.select(F.max(F.size("gone_"))).first()[0] <= 3
+    assert held.select(F.max(F.size("gone"))).first()[0] <= 3
     got = {(r["doc_id"], r["text"]) for r in lines.without_repeated_lines(docs).collect()}
     assert (None, "") in got and not {t for i, t in got if i is None and t}
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremorloom.llm.common import cut, partitions
+from tremorloom.llm.common import cut, partitions, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,10 +38,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_buckets(keys: DataFrame, *more: str) -> DataFrame:
-    """(key, id, more, low) of the keys that more than one id has; low is the least of them. keys: (key, id, more). One shuffle."""
+    """(key, id, more) of the keys that more than one id has. keys: (key, id, more). One shuffle."""
     bucket = Window.partitionBy("key")
     spread = keys.repartition(partitions(keys.sparkSession), "key").select("key", "id", *more, F.min("id").over(bucket).alias("low"), F.max("id").over(bucket).alias("high"))
-    return spread.where("low <> high").select("key", "id", *more, "low")
+    return spread.where("low <> high").select("key", "id", *more)
 
 
 def _open(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -51,37 +51,90 @@ def _open(members: DataFrame, links: DataFrame) -> DataFrame:
     return cut(rooted.join(mixed, "key", "left_semi"))
 
 
-def bucket_links(members: DataFrame, similarity: Callable[[DataFrame], DataFrame], least: float, rounds: int = 1) -> DataFrame:
-    """Links (a, b) that join the same ids as all pairs of every bucket with a similarity of least or more would.
+def _pivots(members: DataFrame, r: int) -> DataFrame:
+    """(id, pivot): for each id one other member of one of its buckets.
 
-    members: distinct (key, id, low) as from shared_buckets. similarity: pairs (a, b) -> (a, b, s) with s a similarity whose
-    complement is a metric. First every id is compared with one leader, the least of its buckets' least ids; then, in each
-    round, every bucket that is not yet connected compares its members with one pivot, so a bucket of g members costs g
-    comparisons. In what remains, only members of different components are compared, and only where their distances to every
-    pivot differ by 1 - least or less: else the triangle inequality rules the link out.
+    At first the member that meets most others, since the centre of a group of near copies is like more of them than any
+    other; then members by hash.
+    """
+    if r == 0:
+        met = members.join(members.groupBy("key").agg(F.count("*").alias("g")), "key").groupBy("id").agg(F.sum("g").alias("weight"))
+    else:
+        met = members.select("id").distinct().select("id", F.xxhash64("id", F.lit(r)).alias("weight"))
+    weighed = members.select("key", "id").join(met, "id")
+    heads = weighed.groupBy("key").agg(F.max(F.struct("weight", "id")).alias("head"))
+    chosen = members.select("key", "id").join(heads, "key").groupBy("id").agg(F.max("head").alias("head"))
+    return chosen.select("id", F.col("head.id").alias("pivot")).where("id <> pivot")
+
+
+def rare_prefix(tokens: DataFrame, least: float) -> DataFrame:
+    """(key, id, n, place): the tokens of each set that a set as like it as least must share one of.
+
+    tokens: distinct (id, n, token), n the size of the set. In any one order of all tokens, two sets with a Jaccard similarity
+    of least or more share a token among the first n - ceil(least n) + 1 of each. Rare tokens go first, so a passage that many
+    sets have makes no bucket unless the sets have nearly nothing else. A token of one set alone takes its place and goes.
+    """
+    common = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    mine = Window.partitionBy("id")
+    ranked = tokens.join(common, "token").withColumn("place", F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("c", "token")))
+    prefix = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    return shared_buckets(prefix.select(F.col("token").alias("key"), "id", "n", "place"), "n", "place")
+
+
+def _unsettled_pairs(members: DataFrame, least: float, pivots: int) -> DataFrame:
+    """Pairs (a, b) of different components in a bucket that sizes, places and distances to common pivots allow.
+
+    The members of a bucket's largest component are not paired with each other: only those outside it meet all the rest.
     """
     far = 1.0 - least
-    led = members.groupBy("id").agg(F.min("low").alias("a")).where("a <> id").select("a", F.col("id").alias("b"))
-    links = cut(similarity(led).where(F.col("s") >= least).select("a", "b"))
-    members = _open(members.drop("low"), links)
-    pivots = []
+    sizes = members.groupBy("key", "root").agg(F.count("*").alias("g")).groupBy("key").agg(F.max(F.struct("g", "root")).alias("main"))
+    marked = members.join(sizes.select("key", F.col("main.root").alias("main")), "key")
+    sides = ["id", "root", "n", "place", *[f"{x}{r}" for r in range(pivots) for x in ("p", "lo", "hi")]]
+    left = marked.where("root <> main").select("key", "main", *[F.col(c).alias(f"a_{c}") for c in sides])
+    right = members.select("key", *[F.col(c).alias(f"b_{c}") for c in sides])
+    overlap = (F.col("a_n") + F.col("b_n")) * (least / (1.0 + least)) - 1e-6
+    # the first token that two sets share has all that they share behind it, in both
+    alike = (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("main")) | (F.col("a_id") < F.col("b_id")))
+    alike &= (F.col("a_n") - F.col("a_place") + 1 >= overlap) & (F.col("b_n") - F.col("b_place") + 1 >= overlap)
+    for r in range(pivots):
+        within = (F.col(f"a_lo{r}") - F.col(f"b_hi{r}") <= far + 1e-9) & (F.col(f"b_lo{r}") - F.col(f"a_hi{r}") <= far + 1e-9)
+        alike &= (F.col(f"a_p{r}") != F.col(f"b_p{r}")) | within
+    return left.join(right, "key").where(alike).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+
+
+def bucket_links(members: DataFrame, distance: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], least: float, rounds: int = 2) -> DataFrame:
+    """Links (a, b) that join the same ids as all pairs of every bucket with a Jaccard similarity of least or more would.
+
+    members: (key, id) of shared buckets. distance: pairs (a, b) -> (a, b, lo, hi), bounds of 1 - similarity that are equal
+    where it is known; it has to be known where it is 1 - least or less. tokens: (id) -> (id, n, token), the sets themselves.
+    First every id is compared with one member of its buckets. The ids of buckets that stay in several components are dealt
+    again by the rare part of their sets, exactly (rare_prefix), and again compared with one pivot each, in some rounds. Of what
+    then remains in one bucket and in different components, pairs are compared only if sizes, places and the triangle
+    inequality allow a link.
+    """
+    spark = members.sparkSession
+    far = 1.0 - least + 1e-9
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        return cut(distance(pairs.select(F.col("pivot").alias("a"), F.col("id").alias("b"))))
+
+    links = compared(_pivots(members, 0)).where(F.col("hi") <= far).select("a", "b")
+    members = _open(members, links)
+    if members.isEmpty():
+        return links
+    members = cut(rare_prefix(tokens(members.select("id").distinct()), least))
+    release(spark)
+    members = _open(members, links)
     for r in range(rounds):
         if members.isEmpty():
             return links
-        chosen = members.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(r))).alias("pivot"))
-        mine = members.join(chosen, "key")
-        known = cut(similarity(mine.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()))
-        links = cut(links.unionByName(known.where(F.col("s") >= least).select("a", "b")))
-        pivots.append(f"d{r}")
-        place = known.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1.0 - F.col("s")).alias(pivots[-1]))
-        placed = mine.join(place, ["pivot", "id"], "left").withColumn(pivots[-1], F.coalesce(pivots[-1], F.lit(0.0))).drop("pivot")
+        chosen = cut(_pivots(members, r))
+        known = compared(chosen)
+        links = cut(links.unionByName(known.where(F.col("hi") <= far).select("a", "b")))
+        place = known.select(F.col("b").alias("id"), F.col("a").alias(f"p{r}"), F.col("lo").alias(f"lo{r}"), F.col("hi").alias(f"hi{r}"))
+        # an id that is its own pivot is at distance 0
+        placed = members.join(place, "id", "left").withColumns({f"p{r}": F.coalesce(f"p{r}", "id"), f"lo{r}": F.coalesce(f"lo{r}", F.lit(0.0)), f"hi{r}": F.coalesce(f"hi{r}", F.lit(0.0))})
         members = _open(placed, links)
-    # what no pivot has settled: pairs of different components at like distances, met by bins of the first distance
-    near = F.floor(F.col(pivots[0]) / far).cast("int")
-    left = members.select("key", near.alias("bin"), F.col("id").alias("a"), F.col("root").alias("ra"), *[F.col(p).alias(f"a{p}") for p in pivots])
-    right = members.select("key", F.explode(F.array(near - 1, near, near + 1)).alias("bin"), F.col("id").alias("b"), F.col("root").alias("rb"), *[F.col(p).alias(f"b{p}") for p in pivots])
-    alike = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
-    for p in pivots:
-        alike &= F.abs(F.col(f"a{p}") - F.col(f"b{p}")) <= far + 1e-9
-    pairs = left.join(right, ["key", "bin"]).where(alike).select("a", "b").distinct()
-    return links.unionByName(similarity(pairs).where(F.col("s") >= least).select("a", "b"))
+        release(spark)
+    pairs = _unsettled_pairs(members, least, rounds)
+    return links.unionByName(distance(pairs).where(F.col("hi") <= far).select("a", "b"))

@@ -8,8 +8,10 @@ by the pigeonhole principle. A part is kept as the XOR digest of the positions t
 join keys. A document so sparse that too few of its parts have tokens emits its empty parts as well, so no pair is lost.
 
 Documents with equal sets form a class that is joined once. Candidates of a key are compared by graph.bucket_links, which
-needs no pairs of a whole bucket, and every link is verified on the exact sets, read again from the texts. Large groups of
-comparisons with one document are salted.
+needs no pairs of a whole bucket: what it has not linked it deals again by the positions of the widest sketch, in which every
+token has its own. A comparison first takes the Hamming distance of two bit sketches, a lower bound of the symmetric
+difference; only where that allows a link are the exact sets compared, read again from the texts. Large groups of comparisons
+with one document are salted.
 
 Texts that are null, empty or only spaces have an empty set and no links. Texts of fewer than GRAM words have one token.
 Rows with the same doc_id are separate documents; equal rows are equal sets. doc_id may be null: such a row links, and its
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremorloom.llm.common import cut, mixed, partitions, text_steps, words
+from tremorloom.llm.common import cut, mixed, partitions, release, text_steps, words
 from tremorloom.llm.graph import bucket_links, components, shared_buckets
 
 GRAM = 5
@@ -62,6 +64,24 @@ def class_of(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
         return mixed(a ^ mixed(b + np.diff(first).astype(np.uint64))).view(np.int64)
 
 
+def bit_sketches(tokens: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Parity sketch of each set: as many bits as the least power of two that is 64 and the size or more, each flipped by its tokens."""
+    sizes = np.diff(first)
+    width = np.left_shift(1, np.maximum(6, np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)))
+    base = np.concatenate(([0], np.cumsum(width)))
+    place = np.repeat(base[:-1], sizes) + (mixed(tokens ^ np.uint64(0x2545F4914F6CDD1D)) & np.repeat(width - 1, sizes).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=base[-1]) & 1).astype(np.uint8)).tobytes()
+    return [packed[i:j] for i, j in zip(base[:-1] >> 3, base[1:] >> 3, strict=True)]
+
+
+def hamming(x: bytes, y: bytes) -> int:
+    """Hamming distance of two parity sketches; the wider is folded to the narrower, as its positions are taken modulo its width."""
+    if len(x) < len(y):
+        x, y = y, x
+    wide, narrow = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(wide.reshape(-1, len(narrow)), axis=0) ^ narrow).sum())
+
+
 class Bands:
     """Size bands: their last size, the largest difference of a similar pair whose smaller set is in the band, and their parts."""
 
@@ -130,17 +150,16 @@ class Bands:
 
 
 def set_table(docs: DataFrame, gram: int = GRAM) -> DataFrame:
-    """(doc_id, row_hash, n_shingles, class) of every row; class is null for an empty set."""
-    schema = "doc_id long, row_hash long, n_shingles long, class long"
-    fields = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64())])
+    """(doc_id, row_hash, n_shingles, class, sketch) of every row; class is null for an empty set."""
+    schema = "doc_id long, row_hash long, n_shingles long, class long, sketch binary"
+    fields = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, tokens, first in token_sets(batch.column("text"), gram):
                 n = np.diff(first)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, to - at).cast(pa.int64()), batch.column("row_hash").slice(at, to - at), pa.array(n, pa.int64()), pa.array(class_of(tokens, first), pa.int64(), mask=n == 0)], schema=fields
-                )
+                name = pa.array(class_of(tokens, first), pa.int64(), mask=n == 0)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at).cast(pa.int64()), batch.column("row_hash").slice(at, to - at), pa.array(n, pa.int64()), name, pa.array(bit_sketches(tokens, first), pa.binary())], schema=fields)
 
     return docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text").mapInArrow(run, schema)
 
@@ -160,7 +179,7 @@ def sketch_keys(docs: DataFrame, gram: int = GRAM) -> DataFrame:
 
 
 def candidates(keys: DataFrame, passes: int = 2) -> DataFrame:
-    """(key, id, low) of the keys that sets share, without the sets that share fewer keys than any similar pair would.
+    """(key, id) of the keys that sets share, without the sets that share fewer keys than any similar pair would.
 
     A passage that many texts have makes them share a few parts; the count rules them out before anything is compared.
     """
@@ -169,7 +188,7 @@ def candidates(keys: DataFrame, passes: int = 2) -> DataFrame:
         each = Window.partitionBy("id", "needed")
         enough = members.withColumn("n", F.count("*").over(each)).where(F.col("n") >= F.col("needed").bitwiseAND(F.lit((1 << 32) - 1)))
         members = shared_buckets(enough.select("key", "id", "needed"), "needed")
-    return members.select("key", "id", "low")
+    return members.select("key", "id")
 
 
 def _compare(rows: DataFrame, gram: int) -> DataFrame:
@@ -197,28 +216,66 @@ def _compare(rows: DataFrame, gram: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, s double")
 
 
+def _within_reach(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b, lo, near): the least distance that the sketches leave each pair, and whether the pair may be similar."""
+    fields = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("lo", pa.float64()), ("near", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.asarray(batch.column("na")) + np.asarray(batch.column("nb"))
+            apart = np.array([hamming(x, y) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)], np.int64)
+            # a symmetric difference of d leaves a Jaccard similarity of (sizes - d) / (sizes + d) at most
+            near = DENOMINATOR * (sizes - apart) >= NUMERATOR * (sizes + apart)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(2.0 * apart / (sizes + apart)), pa.array(near)], schema=fields)
+
+    side = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long, lo double, near boolean")
+
+
+def _tokens_of(texts: DataFrame, gram: int) -> DataFrame:
+    """(id, n, token) of texts(id, text)."""
+    fields = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("token", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column("id"))
+            for at, to, tokens, first in token_sets(batch.column("text"), gram):
+                n = np.diff(first)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at:to], n)), pa.array(np.repeat(n, n)), pa.array(tokens.view(np.int64))], schema=fields)
+
+    return texts.mapInArrow(run, "id long, n long, token long")
+
+
 def links(docs: DataFrame, sets: DataFrame, gram: int = GRAM) -> DataFrame:
     """Links (a, b) between classes that connect what all pairs of the similarity join would connect."""
+    spark = docs.sparkSession
     members = cut(candidates(sketch_keys(docs, gram)))
-    named = sets.where("class IS NOT NULL").groupBy("class").agg(F.min_by(F.struct("doc_id", "row_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("r"))
-    wanted = members.select("id").distinct().join(named, F.col("id") == F.col("class")).select("id", F.col("r.doc_id").alias("rep"), F.col("r.row_hash").alias("row_hash"))
+    release(spark)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")
+    named = sets.join(members.select(F.col("id").alias("class")).distinct(), "class", "left_semi").groupBy("class").agg(F.min_by(F.struct("doc_id", "row_hash", "n_shingles", "sketch"), order).alias("r"))
+    wanted = cut(named.select(F.col("class").alias("id"), F.col("r.doc_id").alias("rep"), F.col("r.row_hash").alias("hash"), F.col("r.n_shingles").alias("n"), F.col("r.sketch").alias("sketch")))
     rows = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text")
-    texts = cut(rows.join(wanted, (rows.doc_id.eqNullSafe(wanted.rep)) & (rows.row_hash == wanted.row_hash)).select("id", "text").dropDuplicates(["id"]))
-
-    def similarity(pairs: DataFrame) -> DataFrame:
-        counted = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("salts"))
-        salted = pairs.join(counted, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    texts = cut(rows.join(wanted, (rows.doc_id.eqNullSafe(wanted.rep)) & (rows.row_hash == wanted.hash)).select("id", "text").dropDuplicates(["id"]))
+    release(spark)
+
+    def distance(pairs: DataFrame) -> DataFrame:
+        reach = cut(_within_reach(pairs, wanted))
+        near = reach.where("near").select("a", "b")
+        counted = near.groupBy("a").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("salts"))
+        salted = near.join(counted, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
         others = salted.select("a", "salt", F.lit(True).alias("other"), F.col("b").alias("id")).join(texts, "id")
         heads = counted.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("other"), F.col("a").alias("id")).join(texts, "id")
-        return _compare(others.unionByName(heads), gram)
+        exact = _compare(others.unionByName(heads), gram).select("a", "b", (1.0 - F.col("s")).alias("lo"))
+        return exact.withColumn("hi", F.col("lo")).unionByName(reach.where("NOT near").select("a", "b", "lo", F.lit(1.0).alias("hi")))
 
-    return bucket_links(members, similarity, NUMERATOR / DENOMINATOR)
+    return bucket_links(members, distance, lambda ids: _tokens_of(texts.join(ids, "id", "left_semi"), gram), NUMERATOR / DENOMINATOR)
 
 
 def _kept_rows(docs: DataFrame, gram: int) -> DataFrame:
     """Per row: doc_id, row_hash, n_shingles, class and, of its component, the row that stays: the least doc_id, null last."""
     sets = cut(set_table(docs, gram))
     roots = components(links(docs, sets, gram))
+    release(docs.sparkSession)
     order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_hash")
     least = sets.where("class IS NOT NULL").groupBy("class").agg(F.min(order).alias("low"))
     rooted = least.join(roots, F.col("class") == F.col("id"), "left").select("class", "low", F.coalesce("root", "class").alias("root"))
@@ -240,13 +297,14 @@ def component_report(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each component: the one with its component's id, or without id if no row of it has one. Rows without shingles stay."""
     mine = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("row_hash") == F.col("keeper.row_hash"))
-    found = _kept_rows(docs, GRAM).where("class IS NOT NULL").groupBy(F.col("doc_id").alias("id_"), F.col("row_hash").alias("hash_")).agg(F.bool_or(mine).alias("stays_"), F.count("*").alias("copies_"))
-    decided = cut(found.where("NOT stays_ OR copies_ > 1"))
-    here = lambda rows, those: rows["doc_id"].eqNullSafe(those["id_"]) & (rows["row_hash_"] == those["hash_"])
-    rows = docs.withColumn("row_hash_", F.xxhash64("text"))
-    once = rows.join(decided, here(rows, decided), "left_anti").select(docs.columns)
-    repeated = decided.where("stays_")
-    copies = rows.join(repeated, here(rows, repeated), "left_semi").withColumn("all_", F.struct(*docs.columns))
+    found = _kept_rows(docs, GRAM).where("class IS NOT NULL").groupBy("doc_id", "row_hash").agg(F.bool_or(mine).alias("stays"), F.count("*").alias("copies"))
+    decided = cut(found.where("NOT stays OR copies > 1"))
+    release(docs.sparkSession)
+    # the row is carried as one column, so no name of it can clash
+    rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("row_hash"), F.struct(*docs.columns).alias("given"))
+    here = lambda those: rows["doc_id"].eqNullSafe(those["doc_id"]) & (rows["row_hash"] == those["row_hash"])
+    once = rows.join(decided, here(decided), "left_anti")
+    repeated = decided.where("stays")
     # of rows with one id and one text, which may differ elsewhere, the same one whatever the order
-    one = copies.groupBy("doc_id", "row_hash_").agg(F.min("all_").alias("all_")).select("all_.*")
-    return once.unionByName(one)
+    one = rows.join(repeated, here(repeated), "left_semi").groupBy("doc_id", "row_hash").agg(F.min("given").alias("given"))
+    return once.select("given").unionByName(one.select("given")).select("given.*")

@@ -3,30 +3,32 @@
 Lines are compared without the blanks around them. Equal lines become one class first. Each class's signature is taken over
 its character shingles: a shingle is hashed once, and HASHES minima over the hash XOR-ed with different constants stand for
 as many permutations. Of long lines a part of the shingles, chosen by hash and so alike in all lines, is enough for this.
-BANDS bands of ROWS minima give the candidate keys; at a Jaccard similarity of 0.8 a pair shares one with probability 0.98. Candidates are verified on their exact sets of shingles, by graph.bucket_links, and linked lines are
-joined by graph.components. Of each component the line of the least doc_id stays, in that document's order the first.
+BANDS bands of ROWS minima give the candidate keys; at a Jaccard similarity of 0.8 a pair shares one with probability 0.99.
+Candidates are verified on their exact sets of shingles, by graph.bucket_links, and linked lines are joined by
+graph.components. Of each component the line of the least doc_id stays, in that document's order the first.
 
 A line of fewer than SHINGLE characters is one shingle. Blank lines always stay. Null and empty texts stay as they are.
 Rows with equal doc_id, and rows with a null doc_id, which come last, are treated alike: of a repeated line each of them keeps
-its first copy. Every document stays, even one whose lines all go, with an empty text. Other columns stay unchanged.
+its first copy. Every document stays, even one whose lines all go, with an empty text. Other columns, whatever their names,
+stay unchanged; only lines_removed is replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremorloom.llm.common import cut
+from tremorloom.llm.common import cut, release
 from tremorloom.llm.graph import bucket_links, components, shared_buckets
 
 SHINGLE = 8
 ROWS, BANDS = 4, 10
 HASHES = ROWS * BANDS
 SIMILARITY = 0.8
-#: Shingles that a signature is taken over, at least, where a line has them.
-SIGNED = 64
+#: Different words of a line that keep all its shingles in the signature; twice as many keep half of them, and so on.
+SIGNED_WORDS = 10
 _LAST = (1 << 63) - 1
 
 
@@ -41,7 +43,12 @@ def lines_of(docs: DataFrame, text: str = "text", more: Sequence[Column] = ()) -
 
 
 def id_of(line: Column) -> Column:
-    return F.xxhash64(line, F.md5(line))
+    return F.xxhash64(line)
+
+
+def check_of(line: Column) -> Column:
+    """A second hash: lines are the same only if both agree, so that no line goes for a chance match of one."""
+    return F.xxhash64(F.lit(1), line)
 
 
 def _seed(i: int) -> int:
@@ -51,37 +58,27 @@ def _seed(i: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _codes(line: Column) -> Column:
-    # four bytes a character, so a shingle is cut out at a known byte
-    return F.encode(line, "UTF-32")
-
-
-def _count(code: Column) -> Column:
-    return F.greatest(F.lit(1), (F.octet_length(code) / 4).cast("int") - SHINGLE + 1)
-
-
-def _hash_at(code: Column, place: Column) -> Column:
-    return F.xxhash64(F.substring(code, place * 4 - 3, F.lit(4 * SHINGLE)))
-
-
-def _shingles(code: Column) -> Column:
-    """Distinct shingle hashes of a line, all of them."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), _count(code)), lambda i: _hash_at(code, i)))
+def shingle_hashes(lines: DataFrame, *keep: str) -> DataFrame:
+    """(keep, h): a hash of every shingle of every line, repeated ones too."""
+    # four bytes a character, so a shingle is cut out at a known byte; the generator keeps a line from being encoded for each
+    coded = lines.select(*keep, F.explode(F.array(F.encode("line", "UTF-32"))).alias("code"))
+    places = F.greatest(F.lit(1), (F.octet_length("code") / 4).cast("int") - SHINGLE + 1)
+    placed = coded.select(*keep, "code", F.explode(F.sequence(F.lit(1), places)).alias("place"))
+    return placed.select(*keep, F.xxhash64(F.substring("code", F.col("place") * 4 - 3, F.lit(4 * SHINGLE))).alias("h"))
 
 
 def shingle_rows(lines: DataFrame) -> DataFrame:
     """(id, level, h): the shingles of every line that its signature is taken over.
 
-    Level l takes the shingles whose hash ends in l zero bits, the same ones in any line. A line belongs to the level that
-    leaves SIGNED to 2 * SIGNED of its distinct shingles, and also to the next one if a similar line can: so similar lines
-    share one, however often each repeats its shingles. Of fewer than 2 * SIGNED distinct shingles all are taken.
+    Level l takes the shingles whose hash ends in l zero bits, the same ones in any line. A line's level follows from the
+    number of its different words, not from its length, so lines that repeat the same shingles more or less often share one;
+    a line near a border also belongs to the next level, where a similar line may be.
     """
-    # the generators keep the optimizer from encoding and hashing a line again for each use
-    coded = lines.select("id", F.explode(F.array(_codes(F.col("line")))).alias("code"))
-    hashed = coded.select("id", F.explode(F.array(_shingles(F.col("code")))).alias("hashes")).withColumn("n", F.size("hashes"))
-    sized = hashed.withColumn("level", F.greatest(F.lit(0), F.floor(F.log2(F.col("n") / SIGNED))).cast("int"))
-    also = (F.col("n") >= SIMILARITY * SIGNED * F.pow(F.lit(2.0), F.col("level") + 1)).alias("also")
-    taken = sized.select("id", "level", also, F.explode("hashes").alias("h")).where("h & (shiftleft(1L, level) - 1) = 0")
+    words = F.size(F.array_distinct(F.split("line", " ")))
+    sized = lines.select("id", "line", words.alias("words")).withColumn("level", F.greatest(F.lit(0), F.floor(F.log2(F.col("words") / SIGNED_WORDS))).cast("int"))
+    also = (F.col("words") >= SIMILARITY * SIGNED_WORDS * F.pow(F.lit(2.0), F.col("level") + 1)).alias("also")
+    hashed = shingle_hashes(sized.select("id", "level", also, "line"), "id", "level", "also")
+    taken = hashed.where("h & (shiftleft(1L, level) - 1) = 0")
     both = F.when(F.col("also") & F.expr("h & (shiftleft(1L, level + 1) - 1) = 0"), F.array("level", F.col("level") + 1)).otherwise(F.array("level"))
     return taken.select("id", "h", F.explode(both).alias("level"))
 
@@ -94,61 +91,85 @@ def band_keys(lines: DataFrame) -> DataFrame:
     return signed.select("id", F.explode(F.array(*bands)).alias("key"))
 
 
-def _similarity(texts: DataFrame):
+def _shingles(line: Column) -> Column:
+    """The set of a line's shingles as text; a match of no width at every character that has enough after it."""
+    every = F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
+    return F.when(F.size(every) > 0, every).otherwise(F.array(line))
+
+
+def _distance(texts: DataFrame):
     def of(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
         b = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-        # the generator keeps the optimizer from encoding a line again for each of its shingles
-        codes = F.explode(F.array(F.struct(_codes(F.col("x")).alias("x"), _codes(F.col("y")).alias("y")))).alias("c")
-        sets = pairs.join(a, "a").join(b, "b").select("a", "b", codes).select("a", "b", F.explode(F.array(F.struct(_shingles(F.col("c.x")).alias("x"), _shingles(F.col("c.y")).alias("y")))).alias("s"))
+        # the generator keeps the optimizer from cutting a line up again for each use
+        sets = pairs.join(a, "a").join(b, "b").select("a", "b", F.explode(F.array(F.struct(_shingles(F.col("x")).alias("x"), _shingles(F.col("y")).alias("y")))).alias("s"))
         both = F.size(F.array_intersect("s.x", "s.y"))
-        return sets.select("a", "b", (both / (F.size("s.x") + F.size("s.y") - both)).alias("s"))
+        far = 1.0 - both / (F.size("s.x") + F.size("s.y") - both)
+        return sets.select("a", "b", far.alias("lo")).withColumn("hi", F.col("lo"))
+
+    return of
+
+
+def _tokens(texts: DataFrame):
+    def of(ids: DataFrame) -> DataFrame:
+        found = shingle_hashes(texts.join(ids, "id", "left_semi"), "id").distinct()
+        return found.select("id", F.count("*").over(Window.partitionBy("id")).alias("n"), F.col("h").alias("token"))
 
     return of
 
 
-def line_roots(lines: DataFrame) -> DataFrame:
-    """(id, root) of the classes of equal lines that have links. lines: (doc, line, id)."""
-    classes = lines.groupBy("id").agg(F.first("line").alias("line"))
+def line_roots(docs: DataFrame) -> DataFrame:
+    """(id, check, root) of the classes of equal lines that have links."""
+    classes = lines_of(docs).select(id_of(F.col("line")).alias("id"), "line").groupBy("id").agg(F.min("line").alias("line"))
     members = cut(shared_buckets(band_keys(classes)))
-    wanted = members.select("id").distinct()
-    texts = cut(lines.select("id", "line").join(wanted.hint("shuffle_hash"), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")))
-    return components(bucket_links(members, _similarity(texts), SIMILARITY))
+    release(docs.sparkSession)
+    texts = cut(classes.join(members.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"))
+    release(docs.sparkSession)
+    roots = components(bucket_links(members, _distance(texts), _tokens(texts), SIMILARITY))
+    return texts.select("id", check_of(F.col("line")).alias("check")).join(roots, "id")
 
 
 def keepers(docs: DataFrame) -> DataFrame:
-    """(id, keeper): each class of equal lines and the doc that keeps it, null if a line like it stays instead."""
-    lines = lines_of(docs).withColumn("id", id_of(F.col("line")))
-    owners = cut(lines.groupBy("id").agg(F.min("doc").alias("owner"), F.count("*").alias("docs")))
-    rooted = owners.join(line_roots(lines), "id", "left")
+    """(id, check, keeper): each class of equal lines and the doc that keeps it, null if a line like it stays instead."""
+    roots = cut(line_roots(docs))
+    release(docs.sparkSession)
+    lines = lines_of(docs).select("doc", id_of(F.col("line")).alias("id"), check_of(F.col("line")).alias("check"))
+    owners = lines.groupBy("id", "check").agg(F.min("doc").alias("owner"), F.count("*").alias("docs"))
+    # a line that one document alone has, with none like it, needs no decision
+    rooted = cut(owners.join(roots, ["id", "check"], "left").where("docs > 1 OR root IS NOT NULL"))
     leaders = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min_by("id", F.struct("owner", "id")).alias("leader"))
     keeper = F.when(F.col("leader").isNull() | (F.col("leader") == F.col("id")), F.col("owner"))
-    # a line that one document alone has, with none like it, needs no decision
-    return rooted.join(leaders, "root", "left").where("docs > 1 OR root IS NOT NULL").select("id", keeper.alias("keeper"))
+    return rooted.join(leaders, "root", "left").select("id", "check", keeper.alias("keeper"))
 
 
 def gone_lines(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """(doc_, row_, gone_): the ids of the lines that go, for each doc and hash of a text, so that an array holds a text's own lines however many rows share a doc_id."""
-    placed = lines_of(docs.select("doc_id", "text"), more=[F.xxhash64("text").alias("row")]).withColumn("id", id_of(F.col("line"))).select("doc", "row", "id")
-    gone = placed.join(decided, "id").where("keeper IS NULL OR keeper <> doc")
-    return gone.groupBy(F.col("doc").alias("doc_"), F.col("row").alias("row_")).agg(F.collect_set("id").alias("gone_"))
+    """(doc, text_hash, gone): the lines that go, for each doc and hash of a text, so that an array holds a text's own lines however many rows share a doc_id."""
+    placed = lines_of(docs.select("doc_id", "text"), more=[F.xxhash64("text").alias("text_hash")])
+    placed = placed.select("doc", "text_hash", id_of(F.col("line")).alias("id"), check_of(F.col("line")).alias("check"))
+    gone = placed.join(decided, ["id", "check"]).where("keeper IS NULL OR keeper <> doc")
+    return gone.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("id", "check")).alias("gone"))
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with columns lines_removed and text, from which the repeated lines are gone."""
     names = [c for c in docs.columns if c not in ("text", "lines_removed")]
-    rows = docs.select(*names, "text", F.coalesce("doc_id", F.lit(_LAST)).alias("doc_"), F.xxhash64("text").alias("row_"))
-    joined = rows.join(gone_lines(docs, cut(keepers(docs))), ["doc_", "row_"], "left")
-    # a mark for each gone id goes before the lines of that id, so after sorting a line that follows its like goes
-    marks = F.transform(F.coalesce("gone_", F.array().cast("array<bigint>")), lambda g: F.struct(g.alias("id"), F.lit(-1).alias("i"), F.lit("").alias("line")))
-    parts = F.transform(F.split("text", "\n"), lambda x, i: F.struct(id_of(bare(x)).alias("id"), i.alias("i"), x.alias("line")))
-    sorted_rows = joined.withColumn("parts_", F.sort_array(F.concat(marks, parts)))
-    first = lambda x, i: (i == 0) | (F.get(F.col("parts_"), i - 1)["id"] != x["id"])
-    stays = F.filter("parts_", lambda x, i: (x["i"] >= 0) & ((bare(x["line"]) == "") | first(x, i)))
+    gone = gone_lines(docs, cut(keepers(docs)))
+    release(docs.sparkSession)
+    # the row is carried as one column, so no name of it can clash
+    rows = docs.select(F.struct(*docs.columns).alias("given"), F.col("text"), F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("text_hash"))
+    joined = rows.select("given", "doc", "text_hash").join(gone, ["doc", "text_hash"], "left").withColumn("text", F.col("given.text"))
+    named = lambda x: (id_of(x).alias("id"), check_of(x).alias("check"))
+    # a mark for each gone line goes before the lines that equal it, so after sorting a line that follows its like goes
+    marks = F.transform(F.coalesce("gone", F.array().cast("array<struct<id:bigint,check:bigint>>")), lambda g: F.struct(g["id"].alias("id"), g["check"].alias("check"), F.lit(-1).alias("i"), F.lit("").alias("line")))
+    parts = F.transform(F.split("text", "\n"), lambda x, i: F.struct(*named(bare(x)), i.alias("i"), x.alias("line")))
+    sorted_rows = joined.withColumn("parts", F.sort_array(F.concat(marks, parts)))
+    before = lambda i: F.get(F.col("parts"), i - 1)
+    first = lambda x, i: (i == 0) | (before(i)["id"] != x["id"]) | (before(i)["check"] != x["check"])
+    stays = F.filter("parts", lambda x, i: (x["i"] >= 0) & ((bare(x["line"]) == "") | first(x, i)))
     ordered = F.sort_array(F.transform(stays, lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line"))))
-    cleaned = sorted_rows.withColumn("stays_", ordered)
-    removed = F.size(F.split("text", "\n")) - F.size("stays_")
-    return cleaned.select(*names, F.array_join(F.transform("stays_", lambda x: x["line"]), "\n").alias("text"), removed.cast("long").alias("lines_removed"))
+    cleaned = sorted_rows.withColumn("stays", ordered)
+    removed = F.size(F.split("text", "\n")) - F.size("stays")
+    return cleaned.select(*[F.col("given").getField(c).alias(c) for c in names], F.array_join(F.transform("stays", lambda x: x["line"]), "\n").alias("text"), removed.cast("long").alias("lines_removed"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
