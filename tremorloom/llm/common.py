@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,7 +57,9 @@ def release(spark: SparkSession) -> None:
     Spark removes them once the driver has collected its garbage, which it else does every half hour.
     """
     gc.collect()
+    time.sleep(1.2)  # the gateway tells the JVM once a second which objects Python has let go of
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)  # and the cleaner works beside the driver
 
 
 def partitions(spark: SparkSession) -> int:

@@ -44,9 +44,9 @@ def shared_buckets(keys: DataFrame, *more: str) -> DataFrame:
     return spread.where("low <> high").select("key", "id", *more)
 
 
-def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """members with their component as root, of those keys whose members are in more than one."""
-    rooted = members.drop("root").join(components(links), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = members.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     return cut(rooted.join(mixed, "key", "left_semi"))
 
@@ -102,14 +102,15 @@ def _unsettled_pairs(members: DataFrame, least: float, pivots: int) -> DataFrame
     return left.join(right, "key").where(alike).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
 
 
-def bucket_links(members: DataFrame, distance: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], least: float, rounds: int = 2) -> DataFrame:
+def bucket_links(members: DataFrame, distance: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], least: float, direct: int = 1, rounds: int = 1) -> DataFrame:
     """Links (a, b) that join the same ids as all pairs of every bucket with a Jaccard similarity of least or more would.
 
     members: (key, id) of shared buckets. distance: pairs (a, b) -> (a, b, lo, hi), bounds of 1 - similarity that are equal
     where it is known; it has to be known where it is 1 - least or less. tokens: (id) -> (id, n, token), the sets themselves.
-    First every id is compared with one member of its buckets. The ids of buckets that stay in several components are dealt
-    again by the rare part of their sets, exactly (rare_prefix), and again compared with one pivot each, in some rounds. Of what
-    then remains in one bucket and in different components, pairs are compared only if sizes, places and the triangle
+    First every id is compared with one member of its buckets. Where a bucket then is in several components, one of `direct`
+    members or fewer is compared pair by pair, which costs each member so many comparisons at most. The ids of larger ones are
+    dealt again by the rare part of their sets, exactly (rare_prefix), and again compared with one pivot each, in some rounds.
+    Of what then remains in one bucket and in different components, pairs are compared only if sizes, places and the triangle
     inequality allow a link.
     """
     spark = members.sparkSession
@@ -119,22 +120,30 @@ def bucket_links(members: DataFrame, distance: Callable[[DataFrame], DataFrame],
         return cut(distance(pairs.select(F.col("pivot").alias("a"), F.col("id").alias("b"))))
 
     links = compared(_pivots(members, 0)).where(F.col("hi") <= far).select("a", "b")
-    members = _open(members, links)
+    roots = components(links)
+    members = _open(members, roots)
+    if direct > 1 and not members.isEmpty():
+        sizes = members.groupBy("key").agg(F.count("*").alias("g"))
+        few = members.join(sizes.where(F.col("g") <= direct).select("key"), "key", "left_semi")
+        side = lambda x: few.select("key", F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
+        pairs = side("a").join(side("b"), "key").where("a < b AND root_a <> root_b").select("a", "b").distinct()
+        links = cut(links.unionByName(distance(pairs).where(F.col("hi") <= far).select("a", "b")))
+        roots = components(links)
+        members = _open(members.join(sizes.where(F.col("g") > direct).select("key"), "key", "left_semi"), roots)
     if members.isEmpty():
         return links
     members = cut(rare_prefix(tokens(members.select("id").distinct()), least))
     release(spark)
-    members = _open(members, links)
+    members = _open(members, roots)
     for r in range(rounds):
         if members.isEmpty():
             return links
-        chosen = cut(_pivots(members, r))
-        known = compared(chosen)
+        known = compared(_pivots(members, r))
         links = cut(links.unionByName(known.where(F.col("hi") <= far).select("a", "b")))
         place = known.select(F.col("b").alias("id"), F.col("a").alias(f"p{r}"), F.col("lo").alias(f"lo{r}"), F.col("hi").alias(f"hi{r}"))
         # an id that is its own pivot is at distance 0
         placed = members.join(place, "id", "left").withColumns({f"p{r}": F.coalesce(f"p{r}", "id"), f"lo{r}": F.coalesce(f"lo{r}", F.lit(0.0)), f"hi{r}": F.coalesce(f"hi{r}", F.lit(0.0))})
-        members = _open(placed, links)
-        release(spark)
+        members = _open(placed, components(links))
+    release(spark)
     pairs = _unsettled_pairs(members, least, rounds)
     return links.unionByName(distance(pairs).where(F.col("hi") <= far).select("a", "b"))

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremorloom.llm.common import cut, release
+from tremorloom.llm.common import cut, partitions, release
 from tremorloom.llm.graph import bucket_links, components, shared_buckets
 
 SHINGLE = 8
@@ -29,6 +29,10 @@ HASHES = ROWS * BANDS
 SIMILARITY = 0.8
 #: Different words of a line that keep all its shingles in the signature; twice as many keep half of them, and so on.
 SIGNED_WORDS = 10
+#: Words of 64 bits of a line's parity sketch, a power of two.
+SKETCH = 8
+#: Members of a bucket that are compared pair by pair; the rest of a larger bucket is dealt again, see graph.bucket_links.
+DIRECT = 16
 _LAST = (1 << 63) - 1
 
 
@@ -91,21 +95,32 @@ def band_keys(lines: DataFrame) -> DataFrame:
     return signed.select("id", F.explode(F.array(*bands)).alias("key"))
 
 
-def _shingles(line: Column) -> Column:
-    """The set of a line's shingles as text; a match of no width at every character that has enough after it."""
-    every = F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
-    return F.when(F.size(every) > 0, every).otherwise(F.array(line))
+def sketched(lines: DataFrame) -> DataFrame:
+    """(id, n, w0, w1, ...): for each line the size of its set of shingles and a parity sketch of SKETCH words of 64 bits."""
+    spread = lines.repartition(partitions(lines.sparkSession), "id")
+    shingles = shingle_hashes(spread, "id").groupBy("id", "h").agg(F.first(F.shiftrightunsigned("h", 40)).alias("place"))
+    bit = F.expr("shiftleft(1L, cast(place & 63 AS int))")
+    words = [F.bit_xor(F.when(F.shiftright("place", 6).bitwiseAND(F.lit(SKETCH - 1)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(SKETCH)]
+    return shingles.groupBy("id").agg(F.count("*").alias("n"), *words)
 
 
-def _distance(texts: DataFrame):
+def _distance(texts: DataFrame, sketches: DataFrame):
+    """Bounds of the Jaccard distance of pairs: sketches first, and the sets themselves where these leave a link possible."""
+    side = lambda x: sketches.select(*[F.col(c).alias(f"{c}_{x}") for c in sketches.columns]).withColumnRenamed(f"id_{x}", x)
+    line = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"))
+
     def of(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
-        b = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-        # the generator keeps the optimizer from cutting a line up again for each use
-        sets = pairs.join(a, "a").join(b, "b").select("a", "b", F.explode(F.array(F.struct(_shingles(F.col("x")).alias("x"), _shingles(F.col("y")).alias("y")))).alias("s"))
-        both = F.size(F.array_intersect("s.x", "s.y"))
-        far = 1.0 - both / (F.size("s.x") + F.size("s.y") - both)
-        return sets.select("a", "b", far.alias("lo")).withColumn("hi", F.col("lo"))
+        apart = sum((F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(1, SKETCH)), F.bit_count(F.col("w0_a").bitwiseXOR(F.col("w0_b"))))
+        sizes = F.col("n_a") + F.col("n_b")
+        # sketches differ in as many bits as the sets do in shingles, at most
+        lo = 2.0 * apart / (sizes + apart)
+        reach = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", lo.alias("lo")))
+        near = reach.where(F.col("lo") <= 1.0 - SIMILARITY + 1e-9).select("a", "b")
+        both = near.join(line("a"), "a").join(line("b"), "b").repartition(partitions(pairs.sparkSession), "a", "b")
+        each = both.select("a", "b", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("line_a").alias("line")), F.struct(F.lit(2).alias("side"), F.col("line_b").alias("line")))).alias("s")).select("a", "b", "s.*")
+        met = shingle_hashes(each, "a", "b", "side").groupBy("a", "b", "h").agg(F.bit_or("side").alias("sides"))
+        exact = met.groupBy("a", "b").agg((1.0 - F.avg(F.when(F.col("sides") == 3, 1.0).otherwise(0.0))).alias("lo"))
+        return exact.withColumn("hi", F.col("lo")).unionByName(reach.where(F.col("lo") > 1.0 - SIMILARITY + 1e-9).withColumn("hi", F.lit(1.0)))
 
     return of
 
@@ -125,7 +140,8 @@ def line_roots(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     texts = cut(classes.join(members.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"))
     release(docs.sparkSession)
-    roots = components(bucket_links(members, _distance(texts), _tokens(texts), SIMILARITY))
+    sketches = cut(sketched(texts))
+    roots = components(bucket_links(members, _distance(texts, sketches), _tokens(texts), SIMILARITY, DIRECT))
     return texts.select("id", check_of(F.col("line")).alias("check")).join(roots, "id")
 
 
