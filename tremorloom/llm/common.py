@@ -54,8 +54,11 @@ def cut(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files and checkpoints that nothing refers to any more, so that disk holds one step's and not all.
 
-    Spark removes them once the driver has collected its garbage, which it else does every half hour.
+    Spark removes them once the driver has collected its garbage, which it else does every half hour. A local session, as in
+    tests, goes on without waiting for that.
     """
+    if spark.sparkContext.master.startswith("local["):
+        return
     gc.collect()
     time.sleep(1.2)  # the gateway tells the JVM once a second which objects Python has let go of
     spark.sparkContext._jvm.System.gc()
