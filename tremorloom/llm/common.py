@@ -59,10 +59,11 @@ def release(spark: SparkSession) -> None:
     """
     if spark.sparkContext.master.startswith("local["):
         return
-    gc.collect()
-    time.sleep(1.2)  # the gateway tells the JVM once a second which objects Python has let go of
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)  # and the cleaner works beside the driver
+    for _ in range(2):  # what the first round frees holds more
+        gc.collect()
+        time.sleep(1.2)  # the gateway tells the JVM once a second which objects Python has let go of
+        spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)  # the cleaner works beside the driver
 
 
 def partitions(spark: SparkSession) -> int:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorloom.llm.common import cut, partitions, release
@@ -67,6 +67,10 @@ def _pivots(members: DataFrame, r: int) -> DataFrame:
     return chosen.select("id", F.col("head.id").alias("pivot")).where("id <> pivot")
 
 
+#: Columns of each id, and a lower bound of the distance of two ids over these columns with the endings _a and _b.
+Sketch = tuple[DataFrame, Column]
+
+
 def rare_prefix(tokens: DataFrame, least: float) -> DataFrame:
     """(key, id, n, place): the tokens of each set that a set as like it as least must share one of.
 
@@ -81,32 +85,40 @@ def rare_prefix(tokens: DataFrame, least: float) -> DataFrame:
     return shared_buckets(prefix.select(F.col("token").alias("key"), "id", "n", "place"), "n", "place")
 
 
-def _unsettled_pairs(members: DataFrame, least: float, pivots: int) -> DataFrame:
+def _unsettled_pairs(members: DataFrame, least: float, pivots: int, sketch: Sketch | None) -> DataFrame:
     """Pairs (a, b) of different components in a bucket that sizes, places and distances to common pivots allow.
 
     The members of a bucket's largest component are not paired with each other: only those outside it meet all the rest.
     """
     far = 1.0 - least
     sizes = members.groupBy("key", "root").agg(F.count("*").alias("g")).groupBy("key").agg(F.max(F.struct("g", "root")).alias("main"))
+    members = _with_sketch(members, sketch)
     marked = members.join(sizes.select("key", F.col("main.root").alias("main")), "key")
-    sides = ["id", "root", "n", "place", *[f"{x}{r}" for r in range(pivots) for x in ("p", "lo", "hi")]]
-    left = marked.where("root <> main").select("key", "main", *[F.col(c).alias(f"a_{c}") for c in sides])
-    right = members.select("key", *[F.col(c).alias(f"b_{c}") for c in sides])
-    overlap = (F.col("a_n") + F.col("b_n")) * (least / (1.0 + least)) - 1e-6
+    sides = [c for c in members.columns if c != "key"]
+    left = marked.where("root <> main").select("key", "main", *[F.col(c).alias(f"{c}_a") for c in sides])
+    right = members.select("key", *[F.col(c).alias(f"{c}_b") for c in sides])
+    overlap = (F.col("n_a") + F.col("n_b")) * (least / (1.0 + least)) - 1e-6
     # the first token that two sets share has all that they share behind it, in both
-    alike = (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("main")) | (F.col("a_id") < F.col("b_id")))
-    alike &= (F.col("a_n") - F.col("a_place") + 1 >= overlap) & (F.col("b_n") - F.col("b_place") + 1 >= overlap)
+    alike = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("id_a") < F.col("id_b")))
+    alike &= (F.col("n_a") - F.col("place_a") + 1 >= overlap) & (F.col("n_b") - F.col("place_b") + 1 >= overlap)
     for r in range(pivots):
-        within = (F.col(f"a_lo{r}") - F.col(f"b_hi{r}") <= far + 1e-9) & (F.col(f"b_lo{r}") - F.col(f"a_hi{r}") <= far + 1e-9)
-        alike &= (F.col(f"a_p{r}") != F.col(f"b_p{r}")) | within
-    return left.join(right, "key").where(alike).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+        within = (F.col(f"lo{r}_a") - F.col(f"hi{r}_b") <= far + 1e-9) & (F.col(f"lo{r}_b") - F.col(f"hi{r}_a") <= far + 1e-9)
+        alike &= (F.col(f"p{r}_a") != F.col(f"p{r}_b")) | within
+    if sketch is not None:
+        alike &= sketch[1] <= far + 1e-9
+    return left.join(right, "key").where(alike).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def _with_sketch(members: DataFrame, sketch: Sketch | None) -> DataFrame:
+    return members if sketch is None else members.join(sketch[0], "id")
 
 
-def bucket_links(members: DataFrame, distance: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], least: float, direct: int = 1, rounds: int = 1) -> DataFrame:
+def bucket_links(members: DataFrame, distance: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], least: float, direct: int = 1, rounds: int = 2, sketch: Sketch | None = None) -> DataFrame:
     """Links (a, b) that join the same ids as all pairs of every bucket with a Jaccard similarity of least or more would.
 
     members: (key, id) of shared buckets. distance: pairs (a, b) -> (a, b, lo, hi), bounds of 1 - similarity that are equal
     where it is known; it has to be known where it is 1 - least or less. tokens: (id) -> (id, n, token), the sets themselves.
+    sketch, if given, keeps pairs that cannot be similar from being made at all.
     First every id is compared with one member of its buckets. Where a bucket then is in several components, one of `direct`
     members or fewer is compared pair by pair, which costs each member so many comparisons at most. The ids of larger ones are
     dealt again by the rare part of their sets, exactly (rare_prefix), and again compared with one pivot each, in some rounds.
@@ -125,8 +137,12 @@ def bucket_links(members: DataFrame, distance: Callable[[DataFrame], DataFrame],
     if direct > 1 and not members.isEmpty():
         sizes = members.groupBy("key").agg(F.count("*").alias("g"))
         few = members.join(sizes.where(F.col("g") <= direct).select("key"), "key", "left_semi")
-        side = lambda x: few.select("key", F.col("id").alias(x), F.col("root").alias(f"root_{x}"))
-        pairs = side("a").join(side("b"), "key").where("a < b AND root_a <> root_b").select("a", "b").distinct()
+        few = _with_sketch(few, sketch)
+        side = lambda x: few.select("key", *[F.col(c).alias(f"{c}_{x}") for c in few.columns if c != "key"])
+        alike = (F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b"))
+        if sketch is not None:
+            alike &= sketch[1] <= far
+        pairs = side("a").join(side("b"), "key").where(alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
         links = cut(links.unionByName(distance(pairs).where(F.col("hi") <= far).select("a", "b")))
         roots = components(links)
         members = _open(members.join(sizes.where(F.col("g") > direct).select("key"), "key", "left_semi"), roots)
@@ -145,5 +161,5 @@ def bucket_links(members: DataFrame, distance: Callable[[DataFrame], DataFrame],
         placed = members.join(place, "id", "left").withColumns({f"p{r}": F.coalesce(f"p{r}", "id"), f"lo{r}": F.coalesce(f"lo{r}", F.lit(0.0)), f"hi{r}": F.coalesce(f"hi{r}", F.lit(0.0))})
         members = _open(placed, components(links))
     release(spark)
-    pairs = _unsettled_pairs(members, least, rounds)
+    pairs = _unsettled_pairs(members, least, rounds, sketch)
     return links.unionByName(distance(pairs).where(F.col("hi") <= far).select("a", "b"))

@@ -28,11 +28,11 @@ ROWS, BANDS = 4, 10
 HASHES = ROWS * BANDS
 SIMILARITY = 0.8
 #: Different words of a line that keep all its shingles in the signature; twice as many keep half of them, and so on.
-SIGNED_WORDS = 10
+SIGNED_WORDS = 5
 #: Words of 64 bits of a line's parity sketch, a power of two.
-SKETCH = 8
+SKETCH = 16
 #: Members of a bucket that are compared pair by pair; the rest of a larger bucket is dealt again, see graph.bucket_links.
-DIRECT = 16
+DIRECT = 128
 _LAST = (1 << 63) - 1
 
 
@@ -41,9 +41,9 @@ def bare(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, text: str = "text", more: Sequence[Column] = ()) -> DataFrame:
-    """(doc, more, line) of the distinct lines of each text that are not blank."""
-    found = F.array_distinct(F.transform(F.split(F.col(text), "\n"), bare))
-    return docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), *more, F.explode(found).alias("line")).where("line <> ''")
+    """(doc, more, line) of the lines of each text that are not blank, repeated ones too."""
+    found = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), *more, F.explode(F.split(F.col(text), "\n")).alias("line"))
+    return found.withColumn("line", bare(F.col("line"))).where("line <> ''")
 
 
 def id_of(line: Column) -> Column:
@@ -96,12 +96,23 @@ def band_keys(lines: DataFrame) -> DataFrame:
 
 
 def sketched(lines: DataFrame) -> DataFrame:
-    """(id, n, w0, w1, ...): for each line the size of its set of shingles and a parity sketch of SKETCH words of 64 bits."""
+    """(id, most, w0, w1, ...): the most shingles that each line can have, and SKETCH words of bits that its shingles set."""
     spread = lines.repartition(partitions(lines.sparkSession), "id")
-    shingles = shingle_hashes(spread, "id").groupBy("id", "h").agg(F.first(F.shiftrightunsigned("h", 40)).alias("place"))
+    place = shingle_hashes(spread, "id").select("id", F.shiftrightunsigned("h", 40).alias("place"))
     bit = F.expr("shiftleft(1L, cast(place & 63 AS int))")
-    words = [F.bit_xor(F.when(F.shiftright("place", 6).bitwiseAND(F.lit(SKETCH - 1)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(SKETCH)]
-    return shingles.groupBy("id").agg(F.count("*").alias("n"), *words)
+    words = [F.bit_or(F.when(F.shiftright("place", 6).bitwiseAND(F.lit(SKETCH - 1)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(SKETCH)]
+    return place.groupBy("id").agg(F.count("*").alias("most"), *words)
+
+
+def _apart() -> Column:
+    """Least Jaccard distance that the sketches of a line a and a line b leave.
+
+    A bit that one of them alone has stands for a shingle that the other has not, so the sets differ in as many shingles at
+    least; and the fewer shingles there are, the farther they are apart.
+    """
+    bits = [F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(SKETCH)]
+    apart = sum(bits[1:], bits[0])
+    return 2.0 * apart / (F.col("most_a") + F.col("most_b") + apart)
 
 
 def _distance(texts: DataFrame, sketches: DataFrame):
@@ -110,11 +121,7 @@ def _distance(texts: DataFrame, sketches: DataFrame):
     line = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"))
 
     def of(pairs: DataFrame) -> DataFrame:
-        apart = sum((F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(1, SKETCH)), F.bit_count(F.col("w0_a").bitwiseXOR(F.col("w0_b"))))
-        sizes = F.col("n_a") + F.col("n_b")
-        # sketches differ in as many bits as the sets do in shingles, at most
-        lo = 2.0 * apart / (sizes + apart)
-        reach = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", lo.alias("lo")))
+        reach = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _apart().alias("lo")))
         near = reach.where(F.col("lo") <= 1.0 - SIMILARITY + 1e-9).select("a", "b")
         both = near.join(line("a"), "a").join(line("b"), "b").repartition(partitions(pairs.sparkSession), "a", "b")
         each = both.select("a", "b", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("line_a").alias("line")), F.struct(F.lit(2).alias("side"), F.col("line_b").alias("line")))).alias("s")).select("a", "b", "s.*")
@@ -141,7 +148,7 @@ def line_roots(docs: DataFrame) -> DataFrame:
     texts = cut(classes.join(members.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"))
     release(docs.sparkSession)
     sketches = cut(sketched(texts))
-    roots = components(bucket_links(members, _distance(texts, sketches), _tokens(texts), SIMILARITY, DIRECT))
+    roots = components(bucket_links(members, _distance(texts, sketches), _tokens(texts), SIMILARITY, DIRECT, sketch=(sketches, _apart())))
     return texts.select("id", check_of(F.col("line")).alias("check")).join(roots, "id")
 
 
@@ -150,9 +157,9 @@ def keepers(docs: DataFrame) -> DataFrame:
     roots = cut(line_roots(docs))
     release(docs.sparkSession)
     lines = lines_of(docs).select("doc", id_of(F.col("line")).alias("id"), check_of(F.col("line")).alias("check"))
-    owners = lines.groupBy("id", "check").agg(F.min("doc").alias("owner"), F.count("*").alias("docs"))
-    # a line that one document alone has, with none like it, needs no decision
-    rooted = cut(owners.join(roots, ["id", "check"], "left").where("docs > 1 OR root IS NOT NULL"))
+    owners = lines.groupBy("id", "check").agg(F.min("doc").alias("owner"), F.count("*").alias("copies"))
+    # a line that is there once, with none like it, needs no decision
+    rooted = cut(owners.join(roots, ["id", "check"], "left").where("copies > 1 OR root IS NOT NULL"))
     leaders = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min_by("id", F.struct("owner", "id")).alias("leader"))
     keeper = F.when(F.col("leader").isNull() | (F.col("leader") == F.col("id")), F.col("owner"))
     return rooted.join(leaders, "root", "left").select("id", "check", keeper.alias("keeper"))
