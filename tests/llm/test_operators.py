@@ -184,13 +184,27 @@ def test_bpe_round_trip(docs):
 
 
 def test_bpe_memo_generations(monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO", 5)
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 1500)
     c = bpe.Codec(PATH, bpe.PATTERN)
     for _ in range(3):
         for text in ("alpha beta gamma delta epsilon zeta eta theta", "iota kappa alpha lambda beta"):
             assert [b for _, b in c.documents([text])] == [text.encode()]
 
 
+def test_bpe_long_words_and_many_wide_ones():
+    """A blob of letters, a long run of blanks and words of many bytes are encoded as the public library does, in bounded memory."""
+    import tiktoken
+
+    rng = random.Random(9)
+    public = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+    blob = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40_000))
+    wide = " ".join("".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(60)) for _ in range(6_000))
+    with bpe.codec(PATH) as mine:
+        for text in (blob, "a" * 30_000, " " * 20_000 + "x", "ab " + blob[:600] + " cd", wide):
+            ids, back = next(mine.documents([text]))
+            assert [int(x) for x in ids.split()] == public.encode_ordinary(text) and back == text.encode()
+
+
 def test_mixing_against_sorting(docs):
     got = mixing.mix_report(docs).collect()
     rows = corpus()

@@ -5,26 +5,35 @@ token-position rows join the merge table, and a recursive query contracts each w
 pair is left. Decoding joins token-position rows with the vocabulary and aggregates the bytes in order. Documents never
 leave their partition, so nothing is shuffled; the only shared data is the vocabulary file, whose path is a parameter.
 
+A word of more than LONG bytes, such as a blob of letters, would be copied whole in each round of the query. It contracts the
+same pairs in the same order from a heap instead, and is decoded like the others.
+
 Null and empty texts have no tokens. Repeated rows stay repeated and agree. Texts are encoded whole, whatever their length.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pretokens kept in each of two generations of a task's memo; the older generation goes when the younger is full.
-MEMO = 450_000
-#: Words that one recursive query takes, and the memory that it may use.
-WORDS_PER_QUERY = 32_000
+#: Bytes of pretokens and ids kept in each of two generations of a task's memo; the older one goes when the younger is full.
+MEMO_BYTES = 16_000_000
+#: Words, and bytes of words, that one recursive query takes, and the memory that it may use.
+WORDS_PER_QUERY, BYTES_PER_QUERY = 32_000, 300_000
 MEMORY = "256MB"
+#: Bytes of a word above which it is contracted from a heap.
+LONG = 512
 _NONE = 99_999_999
 
 _ENCODE = f"""
@@ -56,6 +65,7 @@ FROM encoded e JOIN (
 _PLAIN = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:s|t|re|ve|m|ll|d)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
+@cache
 def _odd() -> frozenset[str]:
     """Characters that the two regular-expression modules class differently or that the plain pattern can't tell apart."""
     import regex
@@ -89,6 +99,7 @@ class Codec:
         self.plain = pattern == PATTERN
         self.young: dict[str, tuple[str, str]] = {}
         self.old: dict[str, tuple[str, str]] = {}
+        self.held = 0
         pairs = [(self.ranks[t[:i]] * 65536 + self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         self.db.register("merge_rows", pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int64())}))
@@ -103,12 +114,13 @@ class Codec:
 
     def _encode(self, words: list[bytes]) -> None:
         """Fill table encoded with the token ids of some words; a word that is a token itself is that token."""
+        long = [(i, self._contracted(x)) for i, x in enumerate(words) if len(x) > LONG and x not in self.ranks]
         self.db.execute("CREATE OR REPLACE TABLE encoded (w BIGINT, tokens BIGINT[])")
-        known = [(i, [self.ranks[x]]) for i, x in enumerate(words) if x in self.ranks]
+        known = [(i, [self.ranks[x]]) for i, x in enumerate(words) if x in self.ranks] + long
         if known:
             self.db.register("known", pa.table({"w": pa.array([i for i, _ in known], pa.int64()), "tokens": pa.array([t for _, t in known], pa.list_(pa.int64()))}))
             self.db.execute("INSERT INTO encoded SELECT * FROM known")
-        rest = [i for i, x in enumerate(words) if x and x not in self.ranks]
+        rest = [i for i, x in enumerate(words) if 0 < len(x) <= LONG and x not in self.ranks]
         if not rest:
             return
         lengths = np.array([len(words[i]) for i in rest])
@@ -118,6 +130,34 @@ class Codec:
         self.db.register("positions", pa.table({"w": w, "p": p, "t": t}))
         self.db.execute(f"INSERT INTO encoded {_ENCODE}")
 
+    def _contracted(self, word: bytes) -> list[int]:
+        """Token ids of a long word: the leftmost pair of least rank first, from a heap of pairs of which stale ones are passed over."""
+        n = len(word)
+        tokens: list[int | None] = [self.by_byte[b] for b in word]
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+
+        def rank(i: int) -> int | None:
+            return self.ranks.get(self.bytes_of[tokens[i]] + self.bytes_of[tokens[after[i]]]) if after[i] < n else None
+
+        heap = [(r, i) for i in range(n) if (r := rank(i)) is not None]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            if tokens[i] is None or rank(i) != r:
+                continue
+            j = after[i]
+            tokens[i], tokens[j], after[i] = r, None, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for k in (before[i], i):
+                if k >= 0 and (new := rank(k)) is not None:
+                    heappush(heap, (new, k))
+        return [t for t in tokens if t is not None]
+
+    def close(self) -> None:
+        self.db.close()
+        self.young, self.old = {}, {}
+
     def _spell(self) -> Iterator[tuple[int, str, bytes]]:
         """Rows of encoded: number, ids in decimals, and the bytes that the ids give by ordered aggregation."""
         found = self.db.sql(_DECODE).to_arrow_table()
@@ -135,15 +175,27 @@ class Codec:
         return out
 
     def learn(self, words: set[str]) -> None:
-        """Encode words and decode their ids again, in bounded steps, into the young generation."""
-        todo = list(words)
-        for at in range(0, len(todo), WORDS_PER_QUERY):
-            part = todo[at : at + WORDS_PER_QUERY]
-            raw = [x.encode() for x in part]
-            self._encode(raw)
-            for i, ids, back in self._spell():
-                # a decoded copy of the word is not kept twice
-                self.young[part[i]] = ids, part[i] if back == raw[i] else back.decode("utf-8", "surrogateescape")
+        """Encode words and decode their ids again, in steps bounded in words and bytes, into the young generation."""
+        part: list[str] = []
+        raw: list[bytes] = []
+        size = 0
+        for x in words:
+            coded = x.encode()
+            if part and (len(part) == WORDS_PER_QUERY or size + len(coded) > BYTES_PER_QUERY):
+                self._learn(part, raw)
+                part, raw, size = [], [], 0
+            part.append(x)
+            raw.append(coded)
+            size += len(coded)
+        if part:
+            self._learn(part, raw)
+
+    def _learn(self, part: list[str], raw: list[bytes]) -> None:
+        self._encode(raw)
+        for i, ids, back in self._spell():
+            # a decoded copy of the word is not kept twice
+            self.young[part[i]] = ids, part[i] if back == raw[i] else back.decode("utf-8", "surrogateescape")
+            self.held += len(ids) + 2 * len(back) + 250
 
     def documents(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """For each text its ids, in decimals joined by spaces, and the bytes decoded from them."""
@@ -154,29 +206,32 @@ class Codec:
             if x not in young:
                 if x in old:
                     young[x] = old[x]
+                    self.held += len(old[x][0]) + 2 * len(x) + 250
                 else:
                     unknown.add(x)
         self.learn(unknown)
         for x in split:
             found = [young[w] for w in x]
             yield " ".join([a for a, _ in found]), "".join([b for _, b in found]).encode("utf-8", "surrogateescape")
-        if len(young) > MEMO:
-            self.old, self.young = young, {}
+        if self.held > MEMO_BYTES:
+            self.old, self.young, self.held = young, {}, 0
 
 
 #: Texts without these go to the plain pattern at once: control separators, raised digits, fractions, other scripts.
 _RARE = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
 #: Fixed value: the split that the vocabulary file belongs to.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_codecs: dict[tuple[str, str], Codec] = {}
 
 
-def codec(path: str, pattern: str = PATTERN) -> Codec:
-    """The codec of this Python worker; it outlives a task, so later tasks find its memo filled."""
-    if (path, pattern) not in _codecs:
-        _codecs.clear()
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+@contextmanager
+def codec(path: str, pattern: str = PATTERN) -> Iterator[Codec]:
+    """The codec of one task. It goes with the task: what a reused Python worker kept would be missing to the next query."""
+    mine = Codec(path, pattern)
+    try:
+        yield mine
+    finally:
+        mine.close()
+        gc.collect()
 
 
 #: Characters of text that one step takes; a longer text is a step of its own.
@@ -200,16 +255,16 @@ def with_tokens(df: DataFrame, path: str, text: str = "text", pattern: str = PAT
     schema = df.withColumns({"token_ids": F.array(F.lit(0)), "n_tokens": F.lit(0).cast("long"), "decoded": F.lit("")}).schema
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = codec(path, pattern)
-        for batch in batches:
-            at = 0
-            for step in _steps(batch.column(text).fill_null("").to_pylist()):
-                part = batch.slice(at, len(step))
-                at += len(step)
-                rows = list(mine.documents(step))
-                ids = [[int(x) for x in a.split()] for a, _ in rows]
-                new = {"token_ids": pa.array(ids, pa.list_(pa.int32())), "n_tokens": pa.array([len(x) for x in ids], pa.int64()), "decoded": pa.array([b.decode("utf-8", "replace") for _, b in rows])}
-                yield pa.RecordBatch.from_arrays([new[n] if n in new else part.column(n) for n in schema.names], schema.names)
+        with codec(path, pattern) as mine:
+            for batch in batches:
+                at = 0
+                for step in _steps(batch.column(text).fill_null("").to_pylist()):
+                    part = batch.slice(at, len(step))
+                    at += len(step)
+                    rows = list(mine.documents(step))
+                    ids = [[int(x) for x in a.split()] for a, _ in rows]
+                    new = {"token_ids": pa.array(ids, pa.list_(pa.int32())), "n_tokens": pa.array([len(x) for x in ids], pa.int64()), "decoded": pa.array([b.decode("utf-8", "replace") for _, b in rows])}
+                    yield pa.RecordBatch.from_arrays([new[n] if n in new else part.column(n) for n in schema.names], schema.names)
 
     return df.mapInArrow(add, schema)
 
@@ -219,14 +274,14 @@ def token_digest(df: DataFrame, path: str, text: str = "text", pattern: str = PA
     fields = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = codec(path, pattern)
-        for batch in batches:
-            rows = []
-            for step in _steps(batch.column(text).fill_null("").to_pylist()):
-                for ids, back in mine.documents(step):
-                    rows.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), list(fields)[1:], strict=True))], schema=fields)
+        with codec(path, pattern) as mine:
+            for batch in batches:
+                rows = []
+                for step in _steps(batch.column(text).fill_null("").to_pylist()):
+                    for ids, back in mine.documents(step):
+                        rows.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), list(fields)[1:], strict=True))], schema=fields)
 
     return df.select("doc_id", F.col(text)).mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -236,11 +291,11 @@ def decode_tokens(df: DataFrame, path: str, ids: str = "token_ids") -> DataFrame
     schema = df.withColumns({"decoded_bytes": F.lit(b"")}).schema
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = codec(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                new = pa.array(mine.decode([x or [] for x in part.column(ids).to_pylist()]), pa.binary())
-                yield pa.RecordBatch.from_arrays([new if n == "decoded_bytes" else part.column(n) for n in schema.names], schema.names)
+        with codec(path) as mine:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    part = batch.slice(at, 64)
+                    new = pa.array(mine.decode([x or [] for x in part.column(ids).to_pylist()]), pa.binary())
+                    yield pa.RecordBatch.from_arrays([new if n == "decoded_bytes" else part.column(n) for n in schema.names], schema.names)
 
     return df.mapInArrow(add, schema)

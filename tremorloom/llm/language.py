@@ -5,7 +5,7 @@ are the declared ones that MIN_SHARE of the declaring rows have, so at most 1 /
 comes from counts of (declared, best by text). Host: a prior smoothed hierarchically, host towards registered domain towards
 address suffix towards all rows, from grouped counts of the best language by text. The posterior multiplies them.
 
-A row with nothing but separators, or null, has no text evidence and goes by the rest; without a declared language, address or
+A row with nothing but separators, or null, has no text evidence, counts for no language, and goes by the rest; without a declared language, address or
 host that part is left out. With no declared language anywhere nothing can be told: language is null and the row is accepted.
 A row is rejected where no language reaches MIN_POSTERIOR. Ties go to the language first by code. Repeated rows agree.
 """
@@ -147,7 +147,7 @@ def identified(rows: DataFrame, ids: list[str]) -> DataFrame:
     n = len(known)
     domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
     suffix = F.regexp_extract("host", r"\.([^.]+)$", 1)
-    slim = cut(with_text_evidence(rows, text_model(rows, known), [*ids, "declared", "host"]).withColumns({"host": F.coalesce("host", F.lit("")), "best": _best("evidence")}))
+    slim = cut(with_text_evidence(rows, text_model(rows, known), [*ids, "declared", "host"]).withColumns({"host": F.coalesce("host", F.lit("")), "best": F.when(F.array_max("evidence") < 0, _best("evidence"))}))
     parts = slim.withColumns({"domain": domain, "suffix": suffix})
     counts = parts.groupBy("suffix", "domain", "host", "best").agg(F.count("*").alias("n"))
     counts = cut(counts)
@@ -158,7 +158,7 @@ def identified(rows: DataFrame, ids: list[str]) -> DataFrame:
     # likelihood of the declared language: at most n + 1 by n counts
     said = F.when(F.col("declared").isin(known), F.col("declared"))
     confusion = np.full((n, n + 1), DECLARED_PSEUDO)
-    for r in slim.groupBy(said.alias("said"), "best").count().collect():
+    for r in slim.where("best IS NOT NULL").groupBy(said.alias("said"), "best").count().collect():
         if r["said"] is not None:
             confusion[r["best"], known.index(r["said"])] += r["count"]
         else:
@@ -187,7 +187,8 @@ def language_report(docs: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
-    """The documents whose language is accepted, unchanged."""
-    row = F.xxhash64("doc_id", "text", "lang", "source").alias("row_")
-    refused = identified(document_evidence(docs, row), ["row_"]).where(~F.col("accepted")).select("row_").distinct()
-    return docs.withColumn("row_", row).join(refused, "row_", "left_anti").select(docs.columns)
+    """The documents whose language is accepted, unchanged, whatever their columns are called. Equal rows are judged alike."""
+    row = F.xxhash64("doc_id", "text", "lang", "source").alias("row")
+    refused = identified(document_evidence(docs, row), ["row"]).where(~F.col("accepted")).select("row").distinct()
+    # the row is carried as one column, so no name of it can clash
+    return docs.select(row, F.struct(*docs.columns).alias("given")).join(refused, "row", "left_anti").select("given.*")
