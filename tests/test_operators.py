@@ -231,3 +231,29 @@ def test_carried_state_equals_decayed_sum(spark, tmp_path):
     assert len(got) == 12
     for r in want:
         assert got[r["key"], r["day"]] == pytest.approx(r["s"])
+
+
+def test_decayed_sum_of_a_long_series(spark):
+    """Eight thousand days at a half-life of three: more than 2,600 half-lives, with a long silence."""
+    n = [float(i % 7 == 0) * (1 + i % 5) if not 2000 < i < 5500 else 0.0 for i in range(8000)]
+    days = spark.createDataFrame([("a", 100 + i, v) for i, v in enumerate(n)], "key string, day int, n double")
+    got = [r["s"] for r in state.decayed_sum(days, ["key"], "day", F.col("n"), 3.0, "s").orderBy("day").collect()]
+    want, r = 0.0, 0.5 ** (1 / 3)
+    for have, v in zip(got, n, strict=True):
+        assert have == pytest.approx(want, rel=1e-9, abs=1e-60)
+        want = want * r + v
+
+
+@pytest.mark.parametrize("many", [1, 3, 400])
+def test_nearest_sections_equal_all_pairs(spark, many):
+    """Clustered, equal and far sections, fewer than k too."""
+    rng = np.random.default_rng(many)
+    sections = [(i, *map(float, rng.normal(0, 1 if i % 3 else 40, 2).round(1))) for i in range(many)]
+    points = [(i, *map(float, rng.uniform(-60, 60, 2))) for i in range(30)]
+    got = grid.nearest(spark.createDataFrame(points, "point int, px double, py double"), spark.createDataFrame(sections, "section int, sx double, sy double"), 4)
+    have = {(r["point"], r["rank"]): r["section"] for r in got.collect()}
+    want = {}
+    for i, x, y in points:
+        near = sorted((math.sqrt((x - sx) ** 2 + (y - sy) ** 2), j) for j, sx, sy in sections)[:4]
+        want |= {(i, k + 1): j for k, (_, j) in enumerate(near)}
+    assert have == want

@@ -56,15 +56,38 @@ def latent(grid: DataFrame, size: int) -> DataFrame:
 
 
 def nearest(points: DataFrame, sections: DataFrame, k: int) -> DataFrame:
-    """The k nearest sections of each point, ties by section id. sections is a small dimension and is broadcast below a limit.
+    """The k nearest sections of each point, ties by section id, exactly and for any number of sections.
 
-    points: (point, px, py); sections: (section, sx, sy). The rank limit is pushed into the map side.
+    points: (point, px, py); sections: (section, sx, sy). Both are dealt to square cells; a point meets the sections of its own
+    cell and the eight around it, which hold all within a cell's width. Points that have k sections within that width are done;
+    for the others the width doubles, at most until it spans all points and sections.
     """
-    if sections.count() > 50_000:
-        raise ValueError("too many sections for a broadcast; bucket points and sections by cell first")
+    box = sections.agg(F.count("*"), F.min("sx"), F.max("sx"), F.min("sy"), F.max("sy")).first()
+    of = points.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
+    n, low_x, high_x, low_y, high_y = box
     d = F.sqrt(F.pow(F.col("px") - F.col("sx"), 2) + F.pow(F.col("py") - F.col("sy"), 2))
     w = Window.partitionBy("point").orderBy("distance", "section")
-    return points.crossJoin(F.broadcast(sections)).withColumn("distance", d).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("point", "section", "distance", "rank")
+    offsets = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    if not n or of[0] is None:
+        return points.join(sections, F.lit(False)).select("point", "section", d.alias("distance"), F.lit(0).alias("rank"))
+    span = max(high_x, of[1]) - min(low_x, of[0]) + max(high_y, of[3]) - min(low_y, of[2])  # no distance is longer
+    width = max(high_x - low_x, high_y - low_y, span / 100, 1e-9) * (k / n) ** 0.5
+    found, left = None, points
+    while True:
+        cell = lambda x, size=width: F.floor(F.col(x) / size)
+        around = sections.select("section", "sx", "sy", (cell("sx")).alias("cx"), (cell("sy")).alias("cy")).withColumn("dx", F.explode(offsets)).withColumn("dy", F.explode(offsets))
+        dealt = around.select("section", "sx", "sy", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
+        met = left.withColumns({"cx": cell("px"), "cy": cell("py")}).join(dealt, ["cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= width)
+        ranked = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("point", "section", "distance", "rank")
+        if width >= span:
+            return ranked if found is None else found.unionByName(ranked)
+        done = ranked.where(F.col("rank") == k).select("point").persist()
+        settled = ranked.join(done, "point", "left_semi")
+        found = settled if found is None else found.unionByName(settled)
+        left = left.join(done, "point", "left_anti")
+        if left.isEmpty():
+            return found
+        width *= 2
 
 
 def sparse_geometry(near: DataFrame, bandwidth: float, cutoff: float, prior_odds: float) -> DataFrame:

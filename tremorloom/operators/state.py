@@ -6,14 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Half-lives in a block of days: powers of two that far apart stay well inside a double.
+BLOCK = 300
+
+
 def decayed_sum(rows: DataFrame, keys: list[str], day: str, value: Column, half_life: float, name: str) -> DataFrame:
-    """rows with the state before the day: S <- r S + value with r = 2 ** (-1 / half_life), as a running sum of scaled terms."""
-    r = 0.5 ** (1.0 / half_life)
-    w = Window.partitionBy(*keys).orderBy(day)
-    origin = F.min(day).over(Window.partitionBy(*keys))
-    t = F.col(day) - origin
-    before = F.sum(value * F.pow(F.lit(r), -t)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn(name, F.coalesce(before * F.pow(F.lit(r), t - 1), F.lit(0.0)))
+    """rows with the state before the day: S <- r S + value with r = 2 ** (-1 / half_life), for series of any length.
+
+    Within a block of BLOCK half-lives it is a running sum of scaled terms; the block before is carried in whole. What is
+    older still has lost a factor of 2 ** BLOCK, which no double shows.
+    """
+    r = F.lit(0.5 ** (1.0 / half_life))
+    days = max(1, int(BLOCK * half_life))
+    since = F.col(day) - F.min(day).over(Window.partitionBy(*keys))
+    placed = rows.withColumns({"_v": value.cast("double"), "_block": F.floor(since / days), "_t": since % days})
+    earlier = Window.partitionBy(*keys, "_block").orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum(F.col("_v") * F.pow(r, -F.col("_t"))).over(earlier) * F.pow(r, F.col("_t") - 1), F.lit(0.0))
+    last = Window.partitionBy(*keys).orderBy("_block").rangeBetween(-1, -1)
+    carried = F.coalesce(F.sum(F.col("_v") * F.pow(r, days - 1 - F.col("_t"))).over(last) * F.pow(r, F.col("_t")), F.lit(0.0))
+    return placed.withColumns({"_within": within, "_carried": carried}).withColumn(name, F.col("_within") + F.col("_carried")).drop("_v", "_block", "_t", "_within", "_carried")
 
 
 def folded(rows: DataFrame, keys: list[str], day: str, columns: list[str], start: Column, step, schema: str) -> DataFrame:

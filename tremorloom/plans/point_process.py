@@ -129,14 +129,14 @@ _SECTIONS = "SELECT s_suppkey AS section, (s_suppkey * 37 % 100) / 10.0::DOUBLE
 
 
 def sections(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").where("s_suppkey <= 100").select(F.col("s_suppkey").alias("section"), ((F.col("s_suppkey") * 37 % 100) / 10.0).alias("sx"), ((F.col("s_suppkey") * 61 % 100) / 10.0).alias("sy"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("section"), ((F.col("s_suppkey") * 37 % 100) / 10.0).alias("sx"), ((F.col("s_suppkey") * 61 % 100) / 10.0).alias("sy"))
 
 
 def points(spark):
     return grid(spark).select(F.col("cell").alias("point"), (F.col("x") + 0.5).alias("px"), (F.col("y") + 0.5).alias("py"))
 
 
-_KNN = CAT + f""", sec AS ({_SECTIONS} WHERE s_suppkey <= 100), near AS (
+_KNN = CAT + f""", sec AS ({_SECTIONS}), near AS (
   SELECT * FROM (SELECT g.cell AS point, s.section, sqrt((g.x + 0.5 - sx) ** 2 + (g.y + 0.5 - sy) ** 2) AS distance,
     row_number() OVER (PARTITION BY g.cell ORDER BY sqrt((g.x + 0.5 - sx) ** 2 + (g.y + 0.5 - sy) ** 2), section) AS rank FROM grid g CROSS JOIN sec s) WHERE rank <= 4
 ), geom AS (
@@ -320,10 +320,11 @@ def occupancy_probability(spark, sf_dir):
     return scoring.occupancy(sims, 50, [1.0, 2.0]).select("threshold", "cell", r("expected").alias("expected"), r("probability").alias("probability"))
 
 
-@query("count_quantiles_zero_filled", CAT + "SELECT count(*) AS catalogs, count(*) FILTER (n = 0) AS empty, round(avg(n), 8) AS mean, round(var_pop(n), 8) AS variance, round(quantile_cont(n, 0.025), 8) AS q025, round(quantile_cont(n, 0.5), 8) AS q500, round(quantile_cont(n, 0.975), 8) AS q975 FROM (SELECT u.i, count(c.event_id) AS n FROM range(400) u(i) LEFT JOIN cat c ON c.user_id = u.i AND c.mag >= 2.5 GROUP BY ALL)")
+@query("count_quantiles_zero_filled", CAT + "SELECT count(*) AS catalogs, count(*) FILTER (n = 0) AS empty, round(avg(n), 8) AS mean, round(var_pop(n), 8) AS variance, round(quantile_cont(n, 0.025), 8) AS q025, round(quantile_cont(n, 0.5), 8) AS q500, round(quantile_cont(n, 0.975), 8) AS q975 FROM (SELECT user_id, count(*) FILTER (mag >= 2.5) AS n FROM cat GROUP BY ALL)")
 def count_quantiles_zero_filled(spark, sf_dir):
-    counts = cat(spark, sf_dir).where("mag >= 2.5").groupBy("user_id").agg(F.count("*").alias("n"))
-    q = scoring.count_quantiles(counts, spark.range(400).select(F.col("id").alias("user_id")), "user_id")
+    c = cat(spark, sf_dir)
+    counts = c.where("mag >= 2.5").groupBy("user_id").agg(F.count("*").alias("n"))
+    q = scoring.count_quantiles(counts, c.select("user_id").distinct(), "user_id")
     return q.select("catalogs", "empty", *[r(c).alias(c) for c in ("mean", "variance", "q025", "q500", "q975")])
 
 
@@ -338,12 +339,14 @@ def filtered_aggs(spark, sf_dir):
     return cat(spark, sf_dir).groupBy("day").agg(F.count_if(F.expr("region = 'click'")).alias("clicks"), F.max(F.when(F.col("region") == "purchase", F.col("mag"))).isNotNull().alias("bought"), F.count_distinct("user_id").alias("users"))
 
 
-def _decay_sql(half: float, value: str) -> str:
-    rho = 0.5 ** (1 / half)
-    return f"coalesce(sum({value} * pow({rho!r}, -(day - 19723))) OVER (PARTITION BY cell ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) * pow({rho!r}, day - 19723 - 1), 0)"
+def _decay_sql(first: str, half1: float, second: str, half2: float) -> str:
+    """Table s(cell, day, a, b): two decayed sums before each day, day by day, as SQL with a recursion."""
+    r1, r2 = 0.5 ** (1 / half1), 0.5 ** (1 / half2)
+    step = f"SELECT s.cell, s.day + 1, s.a * {r1!r}::DOUBLE + {first}, s.b * {r2!r}::DOUBLE + {second} FROM s JOIN dense d ON d.cell = s.cell AND d.day = s.day WHERE s.day < (SELECT max(day) FROM days)"
+    return CAT.replace("WITH cat0", "WITH RECURSIVE cat0") + f", s(cell, day, a, b) AS (SELECT cell, (SELECT min(day) FROM days), 0.0::DOUBLE, 0.0::DOUBLE FROM grid UNION ALL {step}) "
 
 
-@query("gamma_poisson_state", CAT + f"SELECT cell, day, round(e, 7) AS exposure, round(m, 7) AS mass, round(ln((m + 5) / (e + 5)), 7) AS log_frailty FROM (SELECT cell, day, {_decay_sql(20.0, '0.5::DOUBLE')} AS e, {_decay_sql(20.0, 'n')} AS m FROM dense)")
+@query("gamma_poisson_state", _decay_sql("0.5::DOUBLE", 20.0, "d.n", 20.0) + "SELECT cell, day, round(a, 7) AS exposure, round(b, 7) AS mass, round(ln((b + 5) / (a + 5)), 7) AS log_frailty FROM s")
 def gamma_poisson_state(spark, sf_dir):
     d = feats.spine(cat(spark, sf_dir), grid(spark))
     d = state.decayed_sum(d, ["cell"], "day", F.lit(0.5), 20.0, "exposure")
@@ -351,7 +354,7 @@ def gamma_poisson_state(spark, sf_dir):
     return d.select("cell", "day", r("exposure", 7).alias("exposure"), r("mass", 7).alias("mass"), r(kernels.log_frailty(F.col("exposure"), F.col("mass"), 5.0), 7).alias("log_frailty"))
 
 
-@query("ewma_trend", CAT + f"SELECT cell, day, round(fast - slow, 7) AS trend, round(greatest(fast - slow - 0.5, 0), 7) AS acceleration FROM (SELECT cell, day, {_decay_sql(3.0, 'n')} * {1 - 0.5 ** (1 / 3)!r} AS fast, {_decay_sql(15.0, 'n')} * {1 - 0.5 ** (1 / 15)!r} AS slow FROM dense)")
+@query("ewma_trend", _decay_sql("d.n", 3.0, "d.n", 15.0) + f"SELECT cell, day, round(fast - slow, 7) AS trend, round(greatest(fast - slow - 0.5, 0), 7) AS acceleration FROM (SELECT cell, day, a * {1 - 0.5 ** (1 / 3)!r} AS fast, b * {1 - 0.5 ** (1 / 15)!r} AS slow FROM s)")
 def ewma_trend(spark, sf_dir):
     d = feats.spine(cat(spark, sf_dir), grid(spark))
     for name, half in (("fast", 3.0), ("slow", 15.0)):
@@ -429,9 +432,9 @@ def feature_standardize_clip(spark, sf_dir):
     return t.crossJoin(F.broadcast(m)).select("cell", "day", r(F.least(F.greatest(z, F.lit(-3.0)), F.lit(3.0)), 7).alias("feature"))
 
 
-@query("missed_streaks", CAT + "SELECT region, CAST(min(day) AS INTEGER) AS first, CAST(max(day) AS INTEGER) AS last, count(*) AS length FROM (SELECT region, day, day - row_number() OVER (PARTITION BY region ORDER BY day) AS i FROM (SELECT DISTINCT region, day FROM cat WHERE mag >= 2.65 AND cell < 20)) GROUP BY region, i")
+@query("missed_streaks", CAT + "SELECT region, CAST(min(day) AS INTEGER) AS first, CAST(max(day) AS INTEGER) AS last, count(*) AS length FROM (SELECT region, day, day - row_number() OVER (PARTITION BY region ORDER BY day) AS i FROM (SELECT DISTINCT region, day FROM cat WHERE mag >= 2.35)) GROUP BY region, i")
 def missed_streaks(spark, sf_dir):
-    return state.runs(cat(spark, sf_dir).where("mag >= 2.65 AND cell < 20"), ["region"], "day")
+    return state.runs(cat(spark, sf_dir).where("mag >= 2.35"), ["region"], "day")
 
 
 @query("event_identity", "SELECT event_id, sha256(event_type || chr(10) || event_id || chr(10) || user_id) AS key FROM events")
@@ -486,9 +489,9 @@ def artifact_counts(spark, sf_dir):
     return oplog.artifact_counts(runs, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-@query("complete_days", CAT + "SELECT day FROM cat WHERE mag >= 2.6 GROUP BY day HAVING count(DISTINCT region) = 5")
+@query("complete_days", CAT + "SELECT day FROM cat WHERE mag >= 2.25 GROUP BY day HAVING count(DISTINCT region) = 5")
 def complete_days(spark, sf_dir):
-    return oplog.complete_days(cat(spark, sf_dir).where("mag >= 2.6"), "day", "region", 5)
+    return oplog.complete_days(cat(spark, sf_dir).where("mag >= 2.25"), "day", "region", 5)
 
 
 @query("incident_fold", "SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus, arg_min(o_orderpriority, o_orderkey) AS o_orderpriority, max(o_totalprice) AS o_totalprice, bool_or(o_orderstatus = 'F') AS settled, count(*) AS attempts FROM orders GROUP BY ALL")
@@ -531,7 +534,7 @@ def month_shards(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("rows"), F.sum("l_quantity").alias("quantity"))
 
 
-_GRAPH = f", sec AS ({_SECTIONS} WHERE s_suppkey <= 100), sg AS (SELECT *, (section * 53 % 180)::DOUBLE AS strike, section % 2 AS model FROM sec)"
+_GRAPH = f", sec AS ({_SECTIONS}), sg AS (SELECT *, (section * 53 % 180)::DOUBLE AS strike, section % 2 AS model FROM sec)"
 
 
 @query(
