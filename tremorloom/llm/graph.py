@@ -144,6 +144,7 @@ def bucket_links(members: DataFrame, distance: Callable[[DataFrame], DataFrame],
             alike &= sketch[1] <= far
         pairs = side("a").join(side("b"), "key").where(alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
         links = cut(links.unionByName(distance(pairs).where(F.col("hi") <= far).select("a", "b")))
+        release(spark)
         roots = components(links)
         members = _open(members.join(sizes.where(F.col("g") > direct).select("key"), "key", "left_semi"), roots)
     if members.isEmpty():
@@ -160,6 +161,6 @@ def bucket_links(members: DataFrame, distance: Callable[[DataFrame], DataFrame],
         # an id that is its own pivot is at distance 0
         placed = members.join(place, "id", "left").withColumns({f"p{r}": F.coalesce(f"p{r}", "id"), f"lo{r}": F.coalesce(f"lo{r}", F.lit(0.0)), f"hi{r}": F.coalesce(f"hi{r}", F.lit(0.0))})
         members = _open(placed, components(links))
-    release(spark)
+        release(spark)
     pairs = _unsettled_pairs(members, least, rounds, sketch)
     return links.unionByName(distance(pairs).where(F.col("hi") <= far).select("a", "b"))

@@ -123,7 +123,8 @@ def _distance(texts: DataFrame, sketches: DataFrame):
     def of(pairs: DataFrame) -> DataFrame:
         reach = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _apart().alias("lo")))
         near = reach.where(F.col("lo") <= 1.0 - SIMILARITY + 1e-9).select("a", "b")
-        both = near.join(line("a"), "a").join(line("b"), "b").repartition(partitions(pairs.sparkSession), "a", "b")
+        # dealt by b, so the counts of a pair's shingles need no further exchange
+        both = near.join(line("a"), "a").join(line("b").hint("shuffle_hash"), "b")
         each = both.select("a", "b", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("line_a").alias("line")), F.struct(F.lit(2).alias("side"), F.col("line_b").alias("line")))).alias("s")).select("a", "b", "s.*")
         met = shingle_hashes(each, "a", "b", "side").groupBy("a", "b", "h").agg(F.bit_or("side").alias("sides"))
         exact = met.groupBy("a", "b").agg((1.0 - F.avg(F.when(F.col("sides") == 3, 1.0).otherwise(0.0))).alias("lo"))
