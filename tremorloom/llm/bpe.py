@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of pretokens and ids kept in each of two generations of a task's memo; the older one goes when the younger is full.
-MEMO_BYTES = 16_000_000
+MEMO_BYTES = 48_000_000
 #: Words, and bytes of words, that one recursive query takes, and the memory that it may use.
 WORDS_PER_QUERY, BYTES_PER_QUERY = 32_000, 300_000
 MEMORY = "256MB"
