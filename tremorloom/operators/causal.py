@@ -9,16 +9,21 @@ precede, or only within the horizon if one is set.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorloom.functions.kernels import Parameters
+from tremorloom.functions.special import temporal_integral
 
 DAY_US = 86_400_000_000.0
 #: Events of a part of a block, on average.
-BLOCK_ROWS = 16_384
+BLOCK_ROWS = 8_192
+#: Targets and sources of one array step, so that its arrays stay in a core's cache.
+TILE = (32, 2_048)
 
 
 def sequenced(cat: DataFrame) -> DataFrame:
@@ -29,52 +34,150 @@ def sequenced(cat: DataFrame) -> DataFrame:
     return cat.withColumn("_r", rank).join(F.broadcast(before), "day").withColumn("seq", F.col("offset") + F.col("_r") - 1).drop("_r", "offset")
 
 
-def block_pairs(rows: DataFrame, low: int, high: int, reach: int) -> tuple[DataFrame, DataFrame]:
+def block_pairs(rows: DataFrame, low: int, high: int, reach: int, since: int | None = None, since_day: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Targets and sources by (a, ap, b, bp): block and part of the sources, block and part of the targets. rows have their block."""
     parts = rows.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
     dealt = rows.join(F.broadcast(parts), "block").withColumn("part", F.pmod(F.xxhash64("event_id"), F.col("parts")).cast("int"))  # a row a block
     met = F.broadcast(parts.select(F.col("block").alias("other"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other_part")))
     sources = dealt.withColumn("other", F.explode(F.sequence(F.col("block"), F.least(F.col("block") + reach, F.lit(high))))).join(met, "other")
-    targets = dealt.withColumn("other", F.explode(F.sequence(F.greatest(F.col("block") - reach, F.lit(low)), F.col("block")))).join(met, "other")
+    if since is not None:
+        sources = sources.where(F.col("other") >= since)
+    later = dealt if since_day is None else dealt.where(F.col("day") >= since_day)
+    targets = later.withColumn("other", F.explode(F.sequence(F.greatest(F.col("block") - reach, F.lit(low)), F.col("block")))).join(met, "other")
     left = targets.select(F.col("other").alias("a"), F.col("other_part").alias("ap"), F.col("block").alias("b"), F.col("part").alias("bp"), "event_id", "us", "o", "lat", "lon", "mag")
     right = sources.select(F.col("block").alias("a"), F.col("part").alias("ap"), F.col("other").alias("b"), F.col("other_part").alias("bp"), *[F.col(c).alias(f"s_{c}") for c in ("us", "o", "lat", "lon", "mag")])
-    return left, right
+    return spread(left), spread(right)
+
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows by their block pair, over more tasks than the bytes alone would get: a pair costs by its product."""
+    n = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "a", "ap", "b", "bp")
 
-def prior_intensity(cat: DataFrame, p: Parameters, reference: float, block_days: int = 5, horizon_days: int | None = None, ties: bool = False) -> DataFrame:
-    """(event_id, n_prior, triggered): per event the number of earlier sources and the triggered rate that they add.
 
-    Equal times do not trigger each other; with ties an event listed earlier at the same time does (needs column seq).
+def prior_sums(cat: DataFrame, p: Parameters, reference: float, block_days: int = 5, horizon_days: int | None = None, ties: bool = False, since_day: int | None = None, plane: bool = False) -> DataFrame:
+    """(event_id, n_prior, triggered, frozen, temporal): sums over the earlier sources of each event.
+
+    n_prior counts them, triggered is the rate that they add at the event's place, frozen the part of it from before the event's
+    day, and temporal, with plane, the rate that they add over the whole plane. Equal times do not trigger each other; with ties an event
+    listed earlier at the same time does (needs column seq). A source without magnitude counts and adds nothing. With since_day,
+    only events from that day on are targets, so an appended day meets the history once. Sources farther back than horizon_days
+    and a block are left out.
     """
     order = "seq" if ties else "us"
     block = F.floor(F.col("day") / block_days).cast("int")
-    rows = cat.select("event_id", "us", F.col(order).alias("o"), "lat", "lon", "mag", block.alias("block"))
+    rows = cat.select("event_id", "us", F.col(order).alias("o"), "lat", "lon", "mag", "day", block.alias("block"))
     extent = rows.agg(F.min("block"), F.max("block")).first()
+    nothing = [F.lit(0.0).alias(c) for c in ("triggered", "frozen", "temporal")]
     if extent[0] is None:
-        return rows.select("event_id", F.lit(0).cast("long").alias("n_prior"), F.lit(0.0).alias("triggered"))
+        return rows.select("event_id", F.lit(0).cast("long").alias("n_prior"), *nothing)
     reach = extent[1] - extent[0] if horizon_days is None else min(extent[1] - extent[0], -(-horizon_days // block_days))
-    left, right = block_pairs(rows, extent[0], extent[1], reach)
+    left, right = block_pairs(rows, extent[0], extent[1], reach, None if since_day is None else since_day // block_days, since_day)
 
     def pairs(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        n, rate = np.zeros(len(t), np.int64), np.zeros(len(t))
-        k = p.k0 * np.exp(p.a * (s["s_mag"].to_numpy() - reference))
-        scale = p.d * np.exp(p.gamma * (s["s_mag"].to_numpy() - reference))
+        t, s = t.sort_values("o", ignore_index=True), s.sort_values("s_o", ignore_index=True)
+        to, tus, tx, ty = (t[c].to_numpy() for c in ("o", "us", "lon", "lat"))
         so, sus, sx, sy = (s[f"s_{c}"].to_numpy() for c in ("o", "us", "lon", "lat"))
-        for at in range(0, len(t), 256):
-            q = t.iloc[at : at + 256]
-            earlier = so[None, :] < q["o"].to_numpy()[:, None]
-            dt = np.where(earlier, (q["us"].to_numpy()[:, None] - sus[None, :]) / DAY_US, 0.0)
-            r2 = (q["lon"].to_numpy()[:, None] - sx[None, :]) ** 2 + (q["lat"].to_numpy()[:, None] - sy[None, :]) ** 2
-            value = k * np.exp(-dt / p.tau) * (dt + p.c) ** -(1 + p.omega) * (r2 + scale) ** -(1 + p.rho)
-            n[at : at + 256] = earlier.sum(axis=1)
-            rate[at : at + 256] = np.where(earlier, value, 0.0).sum(axis=1)
-        return pd.DataFrame({"event_id": t["event_id"], "n": n, "rate": rate})
+        excess = s["s_mag"].to_numpy(dtype=float) - reference
+        known = ~np.isnan(excess)
+        log_k = np.where(known, math.log(p.k0) + p.a * excess, -np.inf)
+        log_scale = math.log(p.d) + p.gamma * np.where(known, excess, 0.0)
+        scale, log_mass = np.exp(log_scale), math.log(math.pi / p.rho) - p.rho * log_scale
+        issue = tus // int(DAY_US) * int(DAY_US)
+        sums = np.zeros((3, len(t)))
+        for i in range(0, len(t), TILE[0]):
+            q = slice(i, i + TILE[0])
+            for j in range(0, int(np.searchsorted(so, to[q][-1])), TILE[1]):
+                h = slice(j, j + TILE[1])
+                earlier = None if so[h][-1] < to[q][0] else so[None, h] < to[q, None]
+                dt = (tus[q, None] - sus[None, h]) / DAY_US
+                if earlier is not None:
+                    dt = np.where(earlier, dt, 0.0)
+                time = log_k[h] - dt / p.tau - (1 + p.omega) * np.log(dt + p.c)
+                if earlier is not None:
+                    time = np.where(earlier, time, -np.inf)
+                r2 = (tx[q, None] - sx[None, h]) ** 2 + (ty[q, None] - sy[None, h]) ** 2
+                value = np.exp(time - (1 + p.rho) * np.log(r2 + scale[h]))
+                sums[0, q] += value.sum(axis=1)
+                sums[1, q] += value.sum(axis=1) if sus[h].max() < issue[q].min() else np.where(sus[None, h] < issue[q, None], value, 0.0).sum(axis=1)
+                if plane:
+                    sums[2, q] += np.exp(time + log_mass[h]).sum(axis=1)
+        return pd.DataFrame({"event_id": t["event_id"], "n": np.searchsorted(so, to), "triggered": sums[0], "frozen": sums[1], "temporal": sums[2]})
 
     key = ["a", "ap", "b", "bp"]
-    sums = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(pairs, "event_id long, n long, rate double")
-    return sums.groupBy("event_id").agg(F.sum("n").alias("n_prior"), F.sum("rate").alias("triggered"))
+    sums = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(pairs, "event_id long, n long, triggered double, frozen double, temporal double")
+    return sums.groupBy("event_id").agg(F.sum("n").alias("n_prior"), *[F.sum(c).alias(c) for c in ("triggered", "frozen", "temporal")])
+
+
+def prior_intensity(cat: DataFrame, p: Parameters, reference: float, **options) -> DataFrame:
+    """(event_id, n_prior, triggered) of prior_sums: the number of earlier sources and the triggered rate that they add."""
+    return prior_sums(cat, p, reference, **options).select("event_id", "n_prior", "triggered")
 
 
 def incremental_intensity(cat: DataFrame, since_day: int, p: Parameters, reference: float, **options) -> DataFrame:
-    """prior_intensity of the events from since_day on only: the delta join of an appended day."""
-    return prior_intensity(cat, p, reference, **options).join(cat.where(F.col("day") >= since_day).select("event_id"), "event_id", "left_semi")
+    """prior_intensity of the events from since_day on only: the delta join of appended days, which meets no earlier target."""
+    return prior_intensity(cat, p, reference, since_day=since_day, **options)
+
+
+def compensator(cat: DataFrame, intervals: DataFrame, p: Parameters, reference: float) -> DataFrame:
+    """(id, from_history, from_inside): the expected number of events that sources trigger over the plane in each interval.
+
+    intervals: (id, start_us, end_us), half open. from_history is the part of the sources before the start, from_inside that of
+    the sources in the interval, each from its own time on. Both are 0 for an interval without such sources. Sources are dealt
+    by hash into parts of about BLOCK_ROWS and intervals by start into blocks; a part meets each block in a task of its own.
+    """
+    parts = cat.agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.lit(1))).first()[0]
+    blocks = intervals.agg(F.greatest(F.ceil(F.count("*") / TILE[0]), F.lit(1))).first()[0]
+    by_block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(parts)).cast("int")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = spread(intervals.select("id", "start_us", "end_us", by_block.alias("b"), numbers(parts).alias("a"), F.lit(0).alias("ap"), F.lit(0).alias("bp")))
+    sources = cat.where("mag IS NOT NULL").select("us", "mag", part.alias("a"), F.lit(0).alias("ap"), F.lit(0).alias("bp"))
+    right = spread(sources.select("*", numbers(blocks).alias("b")))
+
+    def masses(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        us, excess = s["us"].to_numpy(), s["mag"].to_numpy() - reference
+        mass = p.k0 * np.exp(p.a * excess) * math.pi / p.rho * (p.d * np.exp(p.gamma * excess)) ** -p.rho
+        out = []
+        for one, start, end in zip(t["id"], t["start_us"], t["end_us"], strict=True):
+            met = us < end
+            low, high = np.maximum((start - us[met]) / DAY_US, 0.0), (end - us[met]) / DAY_US
+            value, before = mass[met] * temporal_integral(low, high, p), us[met] < start
+            out.append((one, float(value[before].sum()), float(value[~before].sum())))
+        return pd.DataFrame(out, columns=["id", "from_history", "from_inside"])
+
+    key = ["a", "ap", "b", "bp"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(masses, "id long, from_history double, from_inside double")
+    return found.groupBy("id").agg(F.sum("from_history").alias("from_history"), F.sum("from_inside").alias("from_inside"))
+
+
+def daily_scores(cat: DataFrame, first_day: int, end_day: int, p: Parameters, reference: float, area: float, poisson_mu: float) -> DataFrame:
+    """A row for each day from first_day on, before end_day: log likelihoods of a frozen, a sequential and a Poisson lane.
+
+    The frozen lane knows the events before the day, the sequential lane also those of the day before each target. A day
+    without events has no log intensity, so its likelihood is minus the expected count.
+    """
+    days = cat.sparkSession.range(first_day, end_day).select(F.col("id"), (F.col("id") * int(DAY_US)).alias("start_us"), ((F.col("id") + 1) * int(DAY_US)).alias("end_us"))
+    sums = prior_sums(cat, p, reference, since_day=first_day)
+    logs = sums.join(cat.select("event_id", "day"), "event_id").groupBy("day").agg(F.count("*").alias("n"), F.sum(F.log(p.mu + F.col("frozen"))).alias("f"), F.sum(F.log(p.mu + F.col("triggered"))).alias("s"))
+    counts = cat.groupBy(F.col("day").cast("long").alias("id")).agg(F.count("*").alias("c")).unionByName(days.select("id", F.lit(0).cast("long").alias("c")))
+    counts = counts.groupBy("id").agg(F.sum("c").alias("c"))  # a row a day
+    history = counts.select("id", (F.sum("c").over(Window.orderBy("id")) - F.col("c")).alias("history"))
+    joined = days.select("id").join(history, "id").join(compensator(cat, days, p, reference), "id", "left").join(logs.withColumnRenamed("day", "id"), "id", "left").fillna(0)
+    frozen, poisson = p.mu * area + F.col("from_history"), F.lit(poisson_mu * area)
+    sequential = frozen + F.col("from_inside")
+    return joined.select(
+        F.col("id").cast("int").alias("day"), F.col("history").alias("history_events"), F.col("n").alias("target_events"),
+        frozen.alias("frozen_rate"), F.col("f").alias("frozen_log_sum"), (F.col("f") - frozen).alias("frozen_ll"),
+        sequential.alias("sequential_rate"), F.col("s").alias("sequential_log_sum"), (F.col("s") - sequential).alias("sequential_ll"),
+        poisson.alias("poisson_rate"), (F.col("n") * math.log(poisson_mu) - poisson).alias("poisson_ll"),
+    )
+
+
+def lane_summary(scores: DataFrame) -> DataFrame:
+    """(lane, days, observed, expected, ratio, total_ll, per_day, per_event) of daily_scores: one aggregate, a row a lane."""
+    lanes = F.explode(F.array(*[F.struct(F.lit(x).alias("lane"), F.col(f"{x}_rate").alias("rate"), F.col(f"{x}_ll").alias("ll")) for x in ("frozen", "sequential", "poisson")]))
+    rows = scores.select("target_events", lanes.alias("l")).select("target_events", "l.*")
+    total = rows.groupBy("lane").agg(F.count("*").alias("days"), F.sum("target_events").alias("observed"), F.sum("rate").alias("expected"), F.sum("ll").alias("total_ll"))
+    per_event = F.when(F.col("observed") > 0, F.col("total_ll") / F.col("observed"))
+    return total.select("lane", "days", "observed", "expected", (F.col("observed") / F.col("expected")).alias("ratio"), "total_ll", (F.col("total_ll") / F.col("days")).alias("per_day"), per_event.alias("per_event"))

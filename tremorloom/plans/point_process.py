@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -215,6 +216,77 @@ def incremental_intensity(spark, sf_dir):
     return causal.incremental_intensity(cat(spark, sf_dir), FIRST + 25, P, M0).select("event_id", "n_prior", r("triggered").alias("triggered"))
 
 
+@query(
+    "temporal_intensity",
+    CAT
+    + """SELECT t.event_id, count(h.event_id) AS n_prior, round(1e-3::DOUBLE * 100 + coalesce(sum(2e-3::DOUBLE * exp(1.1::DOUBLE * h.mag) * exp(-((t.us - h.us) / 86400000000.0::DOUBLE) / 100)
+      * pow((t.us - h.us) / 86400000000.0::DOUBLE + 0.01::DOUBLE, -1.1::DOUBLE) * pi() / 0.6::DOUBLE * pow(0.2::DOUBLE * exp(0.8::DOUBLE * h.mag), -0.6::DOUBLE)), 0), 6) AS intensity
+      FROM cat t LEFT JOIN cat h ON h.us < t.us GROUP BY ALL""",
+)
+def temporal_intensity(spark, sf_dir):
+    sums = causal.prior_sums(cat(spark, sf_dir), P, M0, plane=True)
+    return sums.select("event_id", "n_prior", r(P.mu * AREA + F.col("temporal"), 6).alias("intensity"))
+
+
+#: Area of the 10 by 10 grid in its own units, and the rate of the Poisson lane.
+AREA, POISSON_MU = 100.0, 2e-2
+
+
+def _masses_sql() -> str:
+    """CTE masses(day, from_history, from_inside): the time integrals by Gauss-Legendre nodes in the logarithm of the delay."""
+    nodes = ",".join(f"({x!r}::DOUBLE,{w!r}::DOUBLE)" for x, w in zip(*map(lambda a: a.tolist(), np.polynomial.legendre.leggauss(16)), strict=True))
+    return f""", nodes(x, w) AS (VALUES {nodes}),
+      ends AS (SELECT d.day, c.us < d.day * 86400000000 AS before, 2e-3::DOUBLE * exp(1.1::DOUBLE * c.mag) * pi() / 0.6::DOUBLE * pow(0.2::DOUBLE * exp(0.8::DOUBLE * c.mag), -0.6::DOUBLE) AS mass,
+        ln(greatest(d.day - c.us / 86400000000.0::DOUBLE, 0) + 0.01::DOUBLE) AS lo, ln(d.day + 1 - c.us / 86400000000.0::DOUBLE + 0.01::DOUBLE) AS hi
+        FROM days d JOIN cat c ON c.us < (d.day + 1) * 86400000000),
+      integrals AS (SELECT day, before, mass * (hi - lo) / 2 * w * exp(-(exp((hi - lo) / 2 * x + (hi + lo) / 2) - 0.01::DOUBLE) / 100 - 0.1::DOUBLE * ((hi - lo) / 2 * x + (hi + lo) / 2)) AS v FROM ends CROSS JOIN nodes),
+      masses AS (SELECT day, coalesce(sum(v) FILTER (before), 0) AS from_history, coalesce(sum(v) FILTER (NOT before), 0) AS from_inside FROM integrals GROUP BY ALL)"""
+
+
+@query("interval_compensator", CAT + _masses_sql() + " SELECT day, round(1e-3::DOUBLE * 100 + coalesce(from_history, 0) + coalesce(from_inside, 0), 6) AS expected FROM days LEFT JOIN masses USING (day)")
+def interval_compensator(spark, sf_dir):
+    c = cat(spark, sf_dir)
+    span = c.agg(F.min("day"), F.max("day")).first()
+    us = 86_400_000_000
+    days = spark.range(span[0] or 0, 0 if span[1] is None else span[1] + 1).select("id", (F.col("id") * us).alias("start_us"), ((F.col("id") + 1) * us).alias("end_us"))
+    found = days.select("id").join(causal.compensator(c, days, P, M0), "id", "left").fillna(0)
+    return found.select(F.col("id").cast("int").alias("day"), r(P.mu * AREA + F.col("from_history") + F.col("from_inside"), 6).alias("expected"))
+
+
+_LANES = f"""{_masses_sql()}, point AS (SELECT t.event_id, t.day, coalesce(sum(v) FILTER (h_day < t.day), 0) AS frozen, coalesce(sum(v), 0) AS triggered FROM cat t LEFT JOIN (
+    SELECT t.event_id, h.day AS h_day, 2e-3::DOUBLE * exp(1.1::DOUBLE * h.mag) * exp(-((t.us - h.us) / 86400000000.0::DOUBLE) / 100) * pow((t.us - h.us) / 86400000000.0::DOUBLE + 0.01::DOUBLE, -1.1::DOUBLE)
+      * pow((t.lon - h.lon) ** 2 + (t.lat - h.lat) ** 2 + 0.2::DOUBLE * exp(0.8::DOUBLE * h.mag), -1.6::DOUBLE) AS v FROM cat t JOIN cat h ON h.us < t.us) USING (event_id) GROUP BY ALL),
+  logs AS (SELECT day, count(*) AS n, sum(ln(1e-3::DOUBLE + frozen)) AS f, sum(ln(1e-3::DOUBLE + triggered)) AS s FROM point GROUP BY ALL),
+  lanes AS (SELECT d.day, (SELECT count(*) FROM cat WHERE cat.day < d.day) AS history_events, coalesce(n, 0) AS target_events, 0.1::DOUBLE + coalesce(from_history, 0) AS frozen_rate, coalesce(f, 0) AS frozen_log_sum,
+    0.1::DOUBLE + coalesce(from_history, 0) + coalesce(from_inside, 0) AS sequential_rate, coalesce(s, 0) AS sequential_log_sum, 2.0::DOUBLE AS poisson_rate, coalesce(n, 0) * ln({POISSON_MU}::DOUBLE) - 2.0::DOUBLE AS poisson_ll
+    FROM range({FIRST}, {LAST + 1}) g(i) JOIN (SELECT CAST(i AS INTEGER) AS day FROM range({FIRST}, {LAST + 1}) q(i)) d ON d.day = g.i LEFT JOIN masses m ON m.day = d.day LEFT JOIN logs l ON l.day = d.day)"""
+
+
+def _scores(spark, sf_dir):
+    return causal.daily_scores(cat(spark, sf_dir), FIRST, LAST + 1, P, M0, AREA, POISSON_MU)
+
+
+@query(
+    "daily_lanes",
+    CAT + _LANES + """ SELECT day, history_events, target_events, round(frozen_rate, 6) AS frozen_rate, round(frozen_log_sum, 6) AS frozen_log_sum, round(frozen_log_sum - frozen_rate, 6) AS frozen_ll, round(sequential_rate, 6) AS sequential_rate,
+      round(sequential_log_sum, 6) AS sequential_log_sum, round(sequential_log_sum - sequential_rate, 6) AS sequential_ll, round(poisson_rate, 6) AS poisson_rate, round(poisson_ll, 6) AS poisson_ll FROM lanes""",
+)
+def daily_lanes(spark, sf_dir):
+    s = _scores(spark, sf_dir)
+    return s.select("day", "history_events", "target_events", *[r(c, 6).alias(c) for c in s.columns[3:]])
+
+
+@query(
+    "replay_lane_summary",
+    CAT + _LANES + """, l AS (SELECT 'frozen' AS lane, target_events AS n, frozen_rate AS rate, frozen_log_sum - frozen_rate AS ll FROM lanes UNION ALL SELECT 'sequential', target_events, sequential_rate, sequential_log_sum - sequential_rate FROM lanes
+      UNION ALL SELECT 'poisson', target_events, poisson_rate, poisson_ll FROM lanes) SELECT lane, count(*) AS days, CAST(sum(n) AS BIGINT) AS observed, round(sum(rate), 6) AS expected, round(sum(n) / sum(rate), 6) AS ratio,
+      round(sum(ll), 6) AS total_ll, round(sum(ll) / count(*), 6) AS per_day, round(sum(ll) / nullif(sum(n), 0), 6) AS per_event FROM l GROUP BY lane""",
+)
+def replay_lane_summary(spark, sf_dir):
+    s = causal.lane_summary(_scores(spark, sf_dir))
+    return s.select("lane", "days", "observed", *[r(c, 6).alias(c) for c in ("expected", "ratio", "total_ll", "per_day", "per_event")])
+
+
 @query("day_cell_histogram", CAT + "SELECT day, cell, count(*) AS n, count(*) FILTER (mag >= 1.5) AS n15, count(*) FILTER (mag >= 2.0) AS n20 FROM cat GROUP BY ALL")
 def day_cell_histogram(spark, sf_dir):
     return cat(spark, sf_dir).groupBy("day", "cell").agg(F.count("*").alias("n"), F.count_if(F.expr("mag >= 1.5")).alias("n15"), F.count_if(F.expr("mag >= 2.0")).alias("n20"))
