@@ -257,3 +257,42 @@ def test_nearest_sections_equal_all_pairs(spark, many):
         near = sorted((math.sqrt((x - sx) ** 2 + (y - sy) ** 2), j) for j, sx, sy in sections)[:4]
         want |= {(i, k + 1): j for k, (_, j) in enumerate(near)}
     assert have == want
+
+
+def test_daily_scores_by_brute_force(spark):
+    c = cat(spark, DATA).select("event_id", "day", "us", "lat", "lon", "mag").cache()
+    events = c.toPandas()
+    got = causal.daily_scores(c, 19730, 19733, P, M0, 100.0, 0.02).toPandas().set_index("day")
+    day_us = 86_400_000_000
+    for day in (19730, 19731, 19732):
+        start, end = day * day_us, (day + 1) * day_us
+        mass = P.k0 * np.exp(P.a * events.mag) * math.pi / P.rho * (P.d * np.exp(P.gamma * events.mag)) ** -P.rho
+        old, new = events.us < start, (events.us >= start) & (events.us < end)
+        history = (mass[old] * special.temporal_integral((start - events.us[old]) / day_us, (end - events.us[old]) / day_us, P)).sum()
+        inside = (mass[new] * special.temporal_integral(np.zeros(new.sum()), (end - events.us[new]) / day_us, P)).sum()
+        frozen = sequential = 0.0
+        for t in events[new].itertuples():
+            h = events[events.us < t.us]
+            dt, r2 = (t.us - h.us) / day_us, (t.lon - h.lon) ** 2 + (t.lat - h.lat) ** 2
+            rate = P.k0 * np.exp(P.a * h.mag) * np.exp(-dt / P.tau) * (dt + P.c) ** -(1 + P.omega) * (r2 + P.d * np.exp(P.gamma * h.mag)) ** -(1 + P.rho)
+            frozen += math.log(P.mu + rate[h.us < start].sum())
+            sequential += math.log(P.mu + rate.sum())
+        row = got.loc[day]
+        assert row.history_events == old.sum() and row.target_events == new.sum()
+        assert row.frozen_ll == pytest.approx(frozen - P.mu * 100 - history, rel=1e-9)
+        assert row.sequential_ll == pytest.approx(sequential - P.mu * 100 - history - inside, rel=1e-9)
+        assert row.poisson_ll == pytest.approx(new.sum() * math.log(0.02) - 2.0)
+
+
+def test_causal_sums_of_edge_cases(spark):
+    day_us = 86_400_000_000
+    rows = [(1, 0, 0, 0.0, 0.0, 1.0), (2, 0, 5, 0.0, 0.0, None), (3, 0, 5, 0.0, 0.0, 1.0), (4, 900, 900 * day_us, 0.0, 0.0, 2.0)]
+    c = spark.createDataFrame(rows, "event_id long, day int, us long, lon double, lat double, mag double")
+    short = kernels.Parameters(1e-3, 2e-3, 1.1, 0.01, 0.1, 1e-3, 0.2, 0.8, 0.6)
+    got = {r.event_id: r for r in causal.prior_sums(c, short, 0.0).collect()}
+    assert [got[i].n_prior for i in (1, 2, 3, 4)] == [0, 1, 1, 3]  # equal times do not trigger each other
+    assert got[1].triggered == 0 and got[2].triggered == got[3].triggered > 0
+    assert got[4].triggered == 0  # a taper far past the range of a double
+    assert causal.prior_sums(c.limit(0), short, 0.0).count() == 0
+    since = causal.incremental_intensity(c, 900, short, 0.0).collect()
+    assert [(r.event_id, r.n_prior) for r in since] == [(4, 3)]

@@ -80,28 +80,46 @@ def prior_sums(cat: DataFrame, p: Parameters, reference: float, block_days: int
         so, sus, sx, sy = (s[f"s_{c}"].to_numpy() for c in ("o", "us", "lon", "lat"))
         excess = s["s_mag"].to_numpy(dtype=float) - reference
         known = ~np.isnan(excess)
-        log_k = np.where(known, math.log(p.k0) + p.a * excess, -np.inf)
         log_scale = math.log(p.d) + p.gamma * np.where(known, excess, 0.0)
+        log_k = np.where(known, math.log(p.k0) + p.a * excess + (1 + p.omega) * math.log(DAY_US), -np.inf)
         scale, log_mass = np.exp(log_scale), math.log(math.pi / p.rho) - p.rho * log_scale
         issue = tus // int(DAY_US) * int(DAY_US)
+        base = int(min(tus.min(initial=1 << 62), sus.min(initial=1 << 62)))
+        tt, st = (tus - base).astype(float), (sus - base).astype(float)  # whole microseconds, exact
         sums = np.zeros((3, len(t)))
         for i in range(0, len(t), TILE[0]):
             q = slice(i, i + TILE[0])
             for j in range(0, int(np.searchsorted(so, to[q][-1])), TILE[1]):
                 h = slice(j, j + TILE[1])
-                earlier = None if so[h][-1] < to[q][0] else so[None, h] < to[q, None]
-                dt = (tus[q, None] - sus[None, h]) / DAY_US
-                if earlier is not None:
-                    dt = np.where(earlier, dt, 0.0)
-                time = log_k[h] - dt / p.tau - (1 + p.omega) * np.log(dt + p.c)
-                if earlier is not None:
-                    time = np.where(earlier, time, -np.inf)
-                r2 = (tx[q, None] - sx[None, h]) ** 2 + (ty[q, None] - sy[None, h]) ** 2
-                value = np.exp(time - (1 + p.rho) * np.log(r2 + scale[h]))
-                sums[0, q] += value.sum(axis=1)
-                sums[1, q] += value.sum(axis=1) if sus[h].max() < issue[q].min() else np.where(sus[None, h] < issue[q, None], value, 0.0).sum(axis=1)
+                time = tt[q, None] - st[None, h]
+                if later := so[h][-1] >= to[q][0]:
+                    earlier = so[None, h] < to[q, None]
+                    np.maximum(time, 0.0, out=time)
+                    of_pair, of_source, taper = time / (p.tau * DAY_US), 0.0, 1.0
+                else:  # the taper is a product of a source's part and a target's part, both at most 1
+                    of_pair, of_source, taper = 0.0, (st[h][-1] - st[h]) / (p.tau * DAY_US), np.exp((st[h][-1] - tt[q]) / (p.tau * DAY_US))
+                time += p.c * DAY_US
+                np.log(time, out=time)
+                time *= -(1 + p.omega)
+                time += log_k[h] - of_source
+                if later:
+                    time -= of_pair
+                    time[~earlier] = -np.inf
+                space, y = tx[q, None] - sx[None, h], ty[q, None] - sy[None, h]
+                space *= space
+                y *= y
+                space += y
+                space += scale[h]
+                np.log(space, out=space)
+                space *= -(1 + p.rho)
+                space += time
+                value = np.exp(space, out=space)
+                total = value.sum(axis=1)
+                sums[0, q] += taper * total
+                sums[1, q] += taper * (total if sus[h].max() < issue[i] else np.where(sus[None, h] < issue[q, None], value, 0.0).sum(axis=1))
                 if plane:
-                    sums[2, q] += np.exp(time + log_mass[h]).sum(axis=1)
+                    time += log_mass[h]
+                    sums[2, q] += taper * np.exp(time, out=time).sum(axis=1)
         return pd.DataFrame({"event_id": t["event_id"], "n": np.searchsorted(so, to), "triggered": sums[0], "frozen": sums[1], "temporal": sums[2]})
 
     key = ["a", "ap", "b", "bp"]
