@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tremorloom.functions import geo, identity, kernels, special
-from tremorloom.operators import causal, features, forecast, grid, oplog, particles, scoring, simulate, state
+from tremorloom.operators import catalog, causal, features, forecast, grid, oplog, particles, scoring, simulate, state
 from tremorloom.plans import simulation
 from tremorloom.plans.point_process import DAYS, M0, P, cat
 from tremorloom.sources import readers, sinks
@@ -296,3 +296,24 @@ def test_causal_sums_of_edge_cases(spark):
     assert causal.prior_sums(c.limit(0), short, 0.0).count() == 0
     since = causal.incremental_intensity(c, 900, short, 0.0).collect()
     assert [(r.event_id, r.n_prior) for r in since] == [(4, 3)]
+
+
+def test_lookups_with_contracts(spark):
+    events = spark.createDataFrame([(1, 0), (2, 1)], "event_id long, cell int")
+    rates = spark.createDataFrame([(0, 2.0)], "cell int, rate double")
+    assert forecast.rate_of(events.where("cell = 0"), rates, ["cell"]).collect()[0].rate == 2.0
+    with pytest.raises(Exception, match="no rate for"):
+        forecast.rate_of(events, rates, ["cell"]).collect()
+    scores = spark.createDataFrame([("x", 1, 5.0, True), ("x", 2, 5.0, True), ("x", 3, 9.0, False), ("y", 4, 1.0, False)], "k string, id int, score double, ok boolean")
+    best = {r.k: r.best for r in forecast.best_candidate(scores, ["k"], "id", "score", F.col("ok")).collect()}
+    assert best == {"x": 1, "y": 0}
+
+
+def test_periods_and_prefixes(spark):
+    days = lambda *d: spark.createDataFrame([(x,) for x in d], "day int")
+    assert catalog.joined_periods(days(1, 2), days(3)).count() == 3
+    assert catalog.joined_periods(days(1, 2).limit(0), days(3)).count() == 1
+    with pytest.raises(ValueError, match="starts on day 4"):
+        catalog.joined_periods(days(1, 2), days(4))
+    assert tuple(catalog.prefix_differences(days(1, 1, 2), days(1, 2, 2, 5), 5).first()) == (1, 1)
+    assert tuple(catalog.prefix_differences(days(1), days(1, 6), 5).first()) == (0, 0)

@@ -90,3 +90,19 @@ def as_of(facts: DataFrame, versions: DataFrame, key: str, at: str, since: str,
         w = Window.partitionBy(key).orderBy(F.col("_t").desc(), kind.asc()).rowsBetween(Window.unboundedPreceding, 0)
         found = F.last("_v", ignorenulls=True).over(w)
     return both.withColumn("_v", found).where("_f IS NOT NULL AND _v IS NOT NULL").select("_f.*", *[F.col(f"_v.{c}").alias(f"version_{c}") for c in versions.columns if c != key])
+
+
+def joined_periods(first: DataFrame, second: DataFrame, day: str = "day") -> DataFrame:
+    """Both tables by column name; the second must start on the day after the last of the first, otherwise ValueError."""
+    end, start = first.agg(F.max(day)).first()[0], second.agg(F.min(day)).first()[0]
+    if end is not None and start is not None and start != end + 1:
+        raise ValueError(f"the second period starts on day {start}, the first ends on day {end}")
+    return first.unionByName(second)
+
+
+def prefix_differences(stored: DataFrame, current: DataFrame, end_day: int, day: str = "day") -> DataFrame:
+    """(missing, extra): rows of current before end_day that stored lacks, and rows that only stored has; repeated rows count."""
+    columns = stored.columns
+    signed = stored.select(*columns, F.lit(1).alias("side_")).unionByName(current.where(F.col(day) < end_day).select(*columns, F.lit(-1).alias("side_")))
+    net = signed.groupBy(*columns).agg(F.sum("side_").alias("net_"))
+    return net.agg(*[F.coalesce(F.sum(F.greatest(sign * F.col("net_"), F.lit(0))), F.lit(0)).alias(n) for n, sign in (("missing", -1), ("extra", 1))])

@@ -43,7 +43,32 @@ def conditional_gain(rows: DataFrame, day: str, rate: str, offset: Column, targe
     return agg.select(day, F.col("n").alias("events"), (F.col("a") - F.col("n") * F.col("z")).alias("gain"))
 
 
+def rate_of(events: DataFrame, rates: DataFrame, keys: list[str], out: str = "rate") -> DataFrame:
+    """events with the rate of their key as out; an event whose key has no rate, or a null one, ends the query with an error."""
+    missing = F.raise_error(F.concat(F.lit("no rate for "), F.to_json(F.struct(*keys))))
+    found = events.join(rates.select(*keys, F.col("rate").alias("rate_")), keys, "left")
+    return found.withColumn(out, F.when(F.col("rate_").isNull(), missing.cast("double")).otherwise(F.col("rate_"))).drop("rate_")
+
+
 def rate_pairs(events: DataFrame, baseline: DataFrame, challenger: DataFrame, keys: list[str]) -> DataFrame:
-    """events with both rates of their cell and the log ratio; an event without a rate in either is lost, see unmatched."""
-    b, c = baseline.select(*keys, F.col("rate").alias("base")), challenger.select(*keys, F.col("rate").alias("other"))
-    return events.join(b, keys).join(c, keys).withColumn("gain", kernels.information_gain(F.col("other"), F.col("base")))
+    """events with both rates of their cell and the log ratio; an event without a rate in either is an error, see rate_of."""
+    both = rate_of(rate_of(events, baseline, keys, "base"), challenger, keys, "other")
+    return both.withColumn("gain", kernels.information_gain(F.col("other"), F.col("base")))
+
+
+def background_shares(events: DataFrame, totals: DataFrame, background: DataFrame, keys: list[str], cell: str = "cell") -> DataFrame:
+    """events with share, the background part of the total rate of their key, within 0 and 1."""
+    both = rate_of(rate_of(events, totals, keys, "total"), background, [cell], "own")
+    return both.withColumn("share", F.least(F.greatest(F.col("own") / F.col("total"), F.lit(0.0)), F.lit(1.0))).drop("total", "own")
+
+
+def best_candidate(scores: DataFrame, keys: list[str], candidate: str, score: str, admitted: Column, control: int = 0) -> DataFrame:
+    """(keys, best): the admitted candidate of the highest score, of equal ones the least; the control where none is admitted."""
+    rank = F.max(F.when(admitted, F.struct(F.col(score), (-F.col(candidate)).alias("c"))))
+    return scores.groupBy(*keys).agg(F.coalesce(-rank["c"], F.lit(control)).alias("best"))
+
+
+def rate_differences(pairs: DataFrame, actual: str, expected: str) -> DataFrame:
+    """(largest, mean) absolute difference of two columns; a pair with a null counts in neither."""
+    apart = F.abs(F.col(actual) - F.col(expected))
+    return pairs.agg(F.max(apart).alias("largest"), F.avg(apart).alias("mean"))

@@ -300,6 +300,38 @@ def background_smoothing(spark, sf_dir):
     return feats.background(cat(spark, sf_dir), grid(spark), DAYS, 10.0).select("cell", r("rate").alias("rate"))
 
 
+@query("background_shares", CAT + _BG + "SELECT c.event_id, round(least(greatest(b.rate / (b.rate + 0.1::DOUBLE * (d.n - 3)), 0), 1), 8) AS share FROM cat c JOIN dense d USING (cell, day) JOIN bg b USING (cell)")
+def background_shares(spark, sf_dir):
+    c, own = cat(spark, sf_dir), feats.background(cat(spark, sf_dir), grid(spark), DAYS, 10.0).select("cell", "rate")
+    totals = feats.spine(c, grid(spark)).join(own, "cell").select("cell", "day", (F.col("rate") + 0.1 * (F.col("n") - 3)).alias("rate"))
+    return forecast.background_shares(c.select("event_id", "cell", "day"), totals, own, ["day", "cell"]).select("event_id", r("share").alias("share"))
+
+
+@query("best_candidate", CAT + "SELECT region, coalesce(max_by(cell, n * 1000 - cell) FILTER (top >= 2), 0) AS best FROM (SELECT region, cell, count(*) AS n, max(mag) AS top FROM cat GROUP BY ALL) GROUP BY ALL")
+def best_candidate(spark, sf_dir):
+    scores = cat(spark, sf_dir).groupBy("region", "cell").agg(F.count("*").alias("n"), F.max("mag").alias("top"))
+    return forecast.best_candidate(scores, ["region"], "cell", "n", F.col("top") >= 2)
+
+
+@query("rate_differences", CAT + _BG + "SELECT round(max(abs(d.n - b.rate)), 8) AS largest, round(avg(abs(d.n - b.rate)), 8) AS mean FROM dense d JOIN bg b USING (cell)")
+def rate_differences(spark, sf_dir):
+    c = cat(spark, sf_dir)
+    pairs = feats.spine(c, grid(spark)).join(feats.background(c, grid(spark), DAYS, 10.0).select("cell", "rate"), "cell")
+    return forecast.rate_differences(pairs, "n", "rate").select(r("largest").alias("largest"), r("mean").alias("mean"))
+
+
+@query("joined_periods", CAT + "SELECT day, count(*) AS n FROM cat GROUP BY ALL")
+def joined_periods(spark, sf_dir):
+    c = cat(spark, sf_dir).select("event_id", "day")
+    return catalogs.joined_periods(c.where(F.col("day") < FIRST + 15), c.where(F.col("day") >= FIRST + 15)).groupBy("day").agg(F.count("*").alias("n"))
+
+
+@query("prefix_differences", CAT + f"SELECT count(*) FILTER (cell = 7) AS missing, 0::BIGINT AS extra FROM cat WHERE day < {FIRST + 15}")
+def prefix_differences(spark, sf_dir):
+    c = cat(spark, sf_dir).select("event_id", "day", "us", "cell", "mag")
+    return catalogs.prefix_differences(c.where((F.col("day") < FIRST + 15) & (F.col("cell") != 7)), c, FIRST + 15)
+
+
 _TRAIL = ", tr AS (SELECT cell, day, n, " + ", ".join(f"CAST(coalesce(sum(n) OVER (PARTITION BY cell ORDER BY day RANGE BETWEEN {d} PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n_{d}" for d in (3, 7, 30, 90)) + ", CAST(coalesce(least(day - max(CASE WHEN n > 0 THEN day END) OVER (PARTITION BY cell ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 365), 365) AS INTEGER) AS recency FROM dense)"
 
 
