@@ -39,8 +39,10 @@ def catalogue(events: DataFrame, step: float = 0.1) -> DataFrame:
 
 
 def selected(cat: DataFrame, first_day: int, end_day: int, least: float) -> DataFrame:
-    """Half-open days and a magnitude threshold; both reach the scan or its projection."""
-    return cat.where((F.col("day") >= first_day) & (F.col("day") < end_day) & (F.col("mag") >= least))
+    """Half-open days and a magnitude threshold; the days also as bounds of ts, which reach the scan."""
+    kind = cat.schema["ts"].dataType
+    start, end = (F.date_add(F.lit(EPOCH).cast("date"), d).cast(kind) for d in (first_day, end_day))
+    return cat.where((F.col("ts") >= start) & (F.col("ts") < end)).where((F.col("day") >= first_day) & (F.col("day") < end_day) & (F.col("mag") >= least))
 
 
 def source_counts(cat: DataFrame, least: float, first_day: int, end_day: int) -> DataFrame:
