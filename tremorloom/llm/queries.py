@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tremorloom.llm import bpe, chat, fingerprints, jaccard, language, lines, media, mixing, quality, substrings
+from tremorloom.llm import bpe, chat, exact, fingerprints, jaccard, language, lines, media, mixing, quality, substrings
 from tremorloom.llm.common import table
 
 
@@ -49,5 +49,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.recovered(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op1_lines": op1_lines, "op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard, "op6_fingerprints": op6_fingerprints, "op7_substrings": op7_substrings, "op8_language": op8_language, "op9_media": op9_media, "op10_chat": op10_chat}
-ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE}
+def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every text of documents; nulls, repeated rows and empty texts as exact.copy_report states."""
+    return exact.copy_report(table(spark, sf_dir, "documents")).drop("identity")
+
+
+QUERIES = {"op1_lines": op1_lines, "op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard, "op6_fingerprints": op6_fingerprints, "op7_substrings": op7_substrings, "op8_language": op8_language, "op9_media": op9_media, "op10_chat": op10_chat, "op13_exact": op13_exact}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op13_exact": exact.ORACLE}
