@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tremorloom.llm import bpe, chat, exact, fingerprints, jaccard, language, lines, media, mixing, quality, substrings, trie
+from tremorloom.llm import bpe, chat, exact, fingerprints, jaccard, language, lines, media, mixing, phrases, quality, substrings, trie
 from tremorloom.llm.common import table
 
 
@@ -49,6 +49,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.recovered(table(spark, sf_dir, "conversations"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collocations of every language of documents; nulls, empty and long texts, ties and empty tables as phrases states."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix trie of all rebuilt conversations; nulls, ties, repeated rows and empty tables as trie states."""
     return trie.trie_report(table(spark, sf_dir, "conversations"))
@@ -59,5 +64,5 @@ def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.copy_report(table(spark, sf_dir, "documents")).drop("identity")
 
 
-QUERIES = {"op1_lines": op1_lines, "op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard, "op6_fingerprints": op6_fingerprints, "op7_substrings": op7_substrings, "op8_language": op8_language, "op9_media": op9_media, "op10_chat": op10_chat, "op12_trie": op12_trie, "op13_exact": op13_exact}
-ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op12_trie": trie.ORACLE, "op13_exact": exact.ORACLE}
+QUERIES = {"op1_lines": op1_lines, "op2_bpe": op2_bpe, "op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard, "op6_fingerprints": op6_fingerprints, "op7_substrings": op7_substrings, "op8_language": op8_language, "op9_media": op9_media, "op10_chat": op10_chat, "op11_phrases": op11_phrases, "op12_trie": op12_trie, "op13_exact": op13_exact}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op11_phrases": phrases.ORACLE, "op12_trie": trie.ORACLE, "op13_exact": exact.ORACLE}
