@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -66,6 +67,14 @@ def release(spark: SparkSession) -> None:
     time.sleep(0.5)  # the cleaner works beside the driver
 
 
+def trim() -> None:
+    """Give the memory that a task has freed back to the machine: its worker lives on and shares the executor with others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -28,14 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremorloom.llm.common import cut, partitions
+from tremorloom.llm.common import cut, partitions, trim
 
 DEPTH = 4
 #: Least count of a candidate; longer phrases of this share of its count swallow it; phrases reported for each language.
 LEAST, SWALLOWED, TOP = 30, 80, 2000
 SCALE = 2_000_000
 #: Bytes of text in a shard's trie and, on average, in a range; sample phrases for each range; salts of the two-step ranking.
-SHARD, RANGE_BYTES, SAMPLES, SALTS = 6 << 20, 4 << 20, 12, 32
+SHARD, RANGE_BYTES, SAMPLES, SALTS = 4 << 20, 3 << 20, 12, 32
 UNKNOWN = "und"
 
 #: The bytes that end pieces, and those that end words within one.
@@ -165,9 +165,9 @@ class Trie:
     def walk(self) -> np.ndarray:
         """For each node, the index of its ancestor at each depth (itself at its own, -1 below)."""
         n = len(self.depth)
-        out = np.full((n, DEPTH + 1), -1, np.int64)
+        out = np.full((n, DEPTH + 1), -1, np.int32)
         for d in range(DEPTH + 1):
-            here = np.where(self.depth == d, np.arange(n), -1)
+            here = np.where(self.depth == d, np.arange(n, dtype=np.int32), np.int32(-1))
             out[:, d] = np.where(self.depth >= d, np.maximum.accumulate(here), -1) if n else here
         return out
 
@@ -213,9 +213,9 @@ def _from_runs(labels: list[np.ndarray], times: np.ndarray, langs: list[bytes],
         real = column[heads] >= 0
         heads, sums = heads[real], sums[real]
         depth.append(np.full(len(heads), d, np.uint8))
-        label.append(column[heads])
-        count.append(sums)
-        place.append(heads * (DEPTH + 1) + d)
+        label.append(column[heads].astype(np.int32))
+        count.append(sums.astype(np.int32))  # a shard has fewer words
+        place.append((heads * (DEPTH + 1) + d).astype(np.int32))
     order = np.argsort(np.concatenate(place), kind="stable")
     return Trie(*(np.concatenate(x)[order] for x in (depth, label, count)), langs, vocabulary)
 
@@ -262,7 +262,7 @@ def deserialised(piece: bytes) -> Trie:
     depth = np.frombuffer(piece, np.uint8, n, at)
     columns = np.zeros((4, n), np.uint8)
     columns[:width] = np.frombuffer(piece, np.uint8, n * width, at + n).reshape(width, n)
-    label = np.ascontiguousarray(columns.T).view(np.uint32)[:, 0].astype(np.int64)
+    label = np.ascontiguousarray(columns.T).view(np.int32)[:, 0]
     at += n * (1 + width)
     count = np.frombuffer(piece, np.uint8, n, at).astype(np.int64)
     count[count == 255] = np.frombuffer(piece, np.uint64, many, at + n).astype(np.int64)
@@ -294,31 +294,32 @@ def merged(tries: list[Trie]) -> Trie:
     rank[np.asarray(order)] = np.arange(len(order))
     place = {x: i for i, x in enumerate(langs)}
     bits = max(1, int(len(vocabulary) + 1).bit_length())
-    # a node's key: language and first word, second and third, fourth; 0 where its walk has ended
-    high, low, count, depths = [], [], [], []
+    if bits * 2 + len(langs).bit_length() > 62:
+        raise OverflowError("a range has too many languages and words; use smaller ranges")
+    # a node's key: language, first and second word; third and fourth; 0 where its walk has ended
+    n = sum(len(t.depth) for t in tries)
+    high, low, count, depth = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.uint8)
+    at = 0
     for t, to in zip(tries, np.split(rank[np.asarray(coded.indices)] + 1, np.cumsum([len(t.vocabulary) for t in tries])[:-1]), strict=True):
+        own = slice(at, at := at + len(t.depth))
         to_lang = np.array([place[x] for x in t.langs], np.int64)
         root = t.depth == 0
         label = np.empty(len(t.depth), np.int64)
         label[root], label[~root] = to_lang[t.label[root]], to[t.label[~root]]
         walk = t.walk()
         w = [np.where(walk[:, d] >= 0, label[walk[:, d]], 0) for d in range(DEPTH + 1)]
-        high.append((w[0] << bits | w[1]) << bits | w[2])
-        low.append(w[3] << bits | w[4])
-        count.append(t.count)
-        depths.append(t.depth)
-    if bits * 2 + len(langs).bit_length() > 62:
-        raise OverflowError("a range has too many languages and words; use smaller ranges")
-    high, low, count, depths = (np.concatenate(x) for x in (high, low, count, depths))
-    tops, high = _dense(high)  # ranks, so that both halves fit one key
-    order = np.argsort(high << 2 * bits | low, kind="stable") if len(tops).bit_length() + 2 * bits < 63 else np.lexsort((low, high))
-    high, low, count, depths = high[order], low[order], count[order], depths[order]
-    heads = np.flatnonzero(np.concatenate(([True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])))) if len(high) else np.zeros(0, np.int64)
-    top, low, depth = tops[high[heads]], low[heads], depths[heads]
-    mask = (1 << bits) - 1
-    w = [top >> 2 * bits, top >> bits & mask, top & mask, low >> bits, low & mask]
-    label = np.choose(depth, w) - (depth > 0)
-    return Trie(depth, label, np.add.reduceat(count, heads) if len(heads) else count[:0], langs, vocabulary)
+        high[own], low[own] = (w[0] << bits | w[1]) << bits | w[2], w[3] << bits | w[4]
+        count[own], depth[own] = t.count, t.depth
+    order = np.lexsort((low, high))
+    high, low = high[order], low[order]
+    heads = np.flatnonzero(np.concatenate(([True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])))) if n else np.zeros(0, np.int64)
+    count = np.add.reduceat(count[order], heads) if n else count
+    high, low, depth = high[heads], low[heads], depth[order][heads]
+    mask, label = (1 << bits) - 1, np.empty(len(heads), np.int32)
+    for d, (half, shift) in enumerate(((high, 2 * bits), (high, bits), (high, 0), (low, bits), (low, 0))):
+        here = depth == d
+        label[here] = (half[here] >> shift & (mask if d else -1)) - (d > 0)
+    return Trie(depth, label, count, langs, vocabulary)
 
 
 # ---------------------------------------------------------------- Spark
@@ -376,6 +377,8 @@ def shard_pieces(rows: DataFrame, bounds: list[Path], shard: int = SHARD) -> Dat
             out = list(pieces_of(count_trie(t, counted, langs), cuts.value))
             for at in range(0, len(out), 64):
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out[at : at + 64]], pa.int32()), pa.array([x[1] for x in out[at : at + 64]], pa.binary())], ["range", "piece"])
+            del t, out
+        trim()
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
         """Stretches laid end to end until they fill a shard."""
@@ -436,6 +439,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, shard: int = SHARD, range
                     held = [merged(held)]
         if held:
             yield frequent(merged(held), current)
+            held = []
+        trim()
 
     def frequent(trie: Trie, at: int) -> pa.RecordBatch:
         walk = trie.walk()
