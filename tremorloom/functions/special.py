@@ -109,17 +109,28 @@ def temporal_integral_column(lower: Column, upper: Column, p: Parameters) -> Col
     return integral(lower, upper)
 
 
+def log_normal_tail(u: np.ndarray) -> np.ndarray:
+    """Logarithm of the chance of a standard normal above u, by its asymptotic series where the chance itself would vanish."""
+    u = np.asarray(u, float)
+    far = np.maximum(u, 20.0)
+    v = far**-2
+    series = -0.5 * far * far - np.log(far * math.sqrt(2 * math.pi)) + np.log1p(v * (-1 + v * (3 + v * (-15 + v * (105 - 945 * v)))))
+    return np.where(u > 20, series, np.log(0.5 * erfc(np.minimum(u, 20.0) / math.sqrt(2))))
+
+
 def overdue(age: np.ndarray, aperiodicity: float) -> np.ndarray:
-    """Positive part of the log hazard of the inverse Gaussian with mean 1; 0 at age 0."""
+    """Positive part of the log hazard of the inverse Gaussian with mean 1, at any age; 0 at age 0."""
     x = np.asarray(age, float)
     shape = 1 / aperiodicity**2
     out = np.zeros_like(x)
     ok = x > 0
     z = x[ok]
-    log_density = 0.5 * np.log(shape / (2 * np.pi * z**3)) - shape * (z - 1) ** 2 / (2 * z)
-    root = np.sqrt(shape / z)
-    survival = 0.5 * erfc(root * (z - 1) / math.sqrt(2)) - np.exp(np.minimum(2 * shape, 700.0)) * 0.5 * erfc(root * (z + 1) / math.sqrt(2))
-    out[ok] = np.maximum(log_density - np.log(np.maximum(survival, 1e-300)), 0.0)
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        log_density = 0.5 * np.log(shape / (2 * np.pi * z**3)) - shape * (z - 1) ** 2 / (2 * z)
+        root = np.sqrt(shape / z)
+        first = log_normal_tail(root * (z - 1))
+        survival = first + np.log1p(-np.exp(np.minimum(2 * shape + log_normal_tail(root * (z + 1)) - first, -1e-15)))
+    out[ok] = np.maximum(log_density - survival, 0.0)
     return out
 
 

@@ -1,10 +1,12 @@
-"""Day-by-day state: closed forms over windows where they are stable, an ordered fold where they are not."""
+"""Day-by-day state: closed forms over windows where they are stable, scans along sorted rows where they are not."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremorloom.operators.scan import Step, scanned
+
 
 #: Half-lives in a block of days: powers of two that far apart stay well inside a double.
 BLOCK = 300
@@ -27,26 +29,17 @@ def decayed_sum(rows: DataFrame, keys: list[str], day: str, value: Column, half_
     return placed.withColumns({"_within": within, "_carried": carried}).withColumn(name, F.col("_within") + F.col("_carried")).drop("_v", "_block", "_t", "_within", "_carried")
 
 
-def folded(rows: DataFrame, keys: list[str], day: str, columns: list[str], start: Column, step, schema: str) -> DataFrame:
-    """One row per key and day with the state before that day, by a fold in day order inside the JVM.
-
-    For recurrences of any form; a key's days are gathered in one row, so keys must be series of bounded length.
-    """
-    series = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(day, *columns))).alias("s"))
-    empty = F.from_json(F.lit("[]"), f"array<struct<day:int,state:{schema}>>")
-    begin = F.struct(start.alias("state"), empty.alias("out"))
-    run = F.aggregate("s", begin, lambda acc, x: F.struct(step(acc["state"], x).alias("state"), F.concat(acc["out"], F.array(F.struct(x[day].alias("day"), acc["state"].alias("state")))).alias("out")))
-    return series.select(*keys, F.explode(run["out"]).alias("o")).select(*keys, F.col("o.day").alias(day), F.col("o.state").alias("state"))
-
-
 def hazard_age(rows: DataFrame, keys: list[str], day: str, hazard: float, observed: str, start: float = 0.0) -> DataFrame:
-    """Age before each day: A <- (A + hazard) exp(-observed)."""
-    return folded(rows, keys, day, [observed], F.lit(float(start)), lambda a, x: (a + hazard) * F.exp(-x[observed]), "double")
+    """Age before each day, as `state`: A <- (A + hazard) exp(-observed)."""
+    kept = F.exp(-F.col(observed))
+    return scanned(rows.select(*keys, day, observed), keys, day, {"state": Step(kept, hazard * kept, F.lit(float(start)))}).drop(observed)
 
 
-def cusum(rows: DataFrame, keys: list[str], day: str, value: str, decay: float) -> DataFrame:
-    """Compensated sum before each day: S <- max(0, decay S + value)."""
-    return folded(rows, keys, day, [value], F.lit(0.0), lambda s, x: F.greatest(F.lit(0.0), s * decay + x[value]), "double")
+def cusum(rows: DataFrame, keys: list[str], day: str, observed: Column, expected: Column, decay: float) -> DataFrame:
+    """Compensated sum before each day, as `state`: S <- max(0, decay S + observed - expected); and its `variance`: V <- decay^2 V + expected."""
+    slim = rows.select(*keys, day, observed.alias("_o"), expected.alias("_e"))
+    steps = {"state": Step(F.lit(decay), F.col("_o") - F.col("_e"), F.lit(0.0), 0.0), "variance": Step(F.lit(decay * decay), F.col("_e"), F.lit(0.0))}
+    return scanned(slim, keys, day, steps).drop("_o", "_e")
 
 
 def runs(rows: DataFrame, keys: list[str], day: str) -> DataFrame:

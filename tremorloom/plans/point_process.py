@@ -479,12 +479,12 @@ def hazard_age_state(spark, sf_dir):
 
 @query(
     "cusum_state",
-    CAT.replace("WITH cat0", "WITH RECURSIVE cat0") + """, s(cell, day, v) AS (SELECT cell, 19723, 0.0::DOUBLE FROM grid UNION ALL SELECT s.cell, s.day + 1, greatest(0.0::DOUBLE, s.v * 0.9::DOUBLE + d.n - 1.2::DOUBLE) FROM s JOIN dense d ON d.cell = s.cell AND d.day = s.day WHERE s.day < 19752)
-    SELECT cell, day, round(v, 7) AS cusum FROM s""",
+    CAT.replace("WITH cat0", "WITH RECURSIVE cat0") + """, s(cell, day, v, q) AS (SELECT cell, 19723, 0.0::DOUBLE, 0.0::DOUBLE FROM grid UNION ALL SELECT s.cell, s.day + 1, greatest(0.0::DOUBLE, s.v * 0.9::DOUBLE + d.n - 1.2::DOUBLE), 0.81::DOUBLE * s.q + 1.2::DOUBLE FROM s JOIN dense d ON d.cell = s.cell AND d.day = s.day WHERE s.day < 19752)
+    SELECT cell, day, round(v, 7) AS cusum, round(q, 7) AS variance FROM s""",
 )
 def cusum_state(spark, sf_dir):
-    d = feats.spine(cat(spark, sf_dir), grid(spark)).withColumn("e", F.col("n") - 1.2)
-    return state.cusum(d, ["cell"], "day", "e", 0.9).select("cell", "day", r("state", 7).alias("cusum"))
+    d = feats.spine(cat(spark, sf_dir), grid(spark))
+    return state.cusum(d, ["cell"], "day", F.col("n"), F.lit(1.2), 0.9).select("cell", "day", r("state", 7).alias("cusum"), r("variance", 7).alias("variance"))
 
 
 _MARGIN = ", mg AS (SELECT b.cell, b.rate, c.n, (c.n - 100) / 25.0::DOUBLE AS score FROM bg b JOIN cnt c USING (cell))"
