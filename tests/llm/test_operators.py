@@ -435,3 +435,40 @@ def test_chat_roles_and_blocks(spark):
     pasted = [r for r in results[0] if r[0] == 99 and r[1] == 0]
     assert [r[3] for r in sorted(pasted, key=lambda r: r[2])] == ["user", "assistant", "user"]
     assert pasted[0][5].startswith("<|user|>\n")
+
+
+def edited_pairs(seed=11, each=60):
+    """Pairs of lines by length, number of words and edits, with their Jaccard similarities."""
+    rng = random.Random(seed)
+    out = []
+    for length in (16, 24, 40, 80, 200, 700, 2500):
+        for words in (1, length // 40 + 1, length // 6 + 1):
+            for _ in range(each):
+                x = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(length)]
+                for _ in range(words - 1):
+                    x[rng.randrange(1, length - 1)] = " "
+                y = list(x)
+                for _ in range(rng.randint(0, max(1, length // 90))):
+                    at = rng.randrange(length)
+                    y[at : at + rng.randint(0, 1)] = rng.choice(["z", "", "q"])
+                out.append(("".join(x).strip(), "".join(y).strip()))
+    for _ in range(each):  # few words against many, at nearly the same shingles
+        blob = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(700))
+        out.append((f"{blob} one two three", f"{blob} one two three" + " ".join(rng.choice("abcdef") for _ in range(24))))
+    return out
+
+
+def test_lines_recall_by_length_words_and_similarity(spark):
+    pairs = edited_pairs()
+    rows = [(2 * i + side, x) for i, p in enumerate(pairs) for side, x in enumerate(p)]
+    keys = defaultdict(set)
+    for r in lines.band_keys(spark.createDataFrame(rows, "id long, line string").repartition(4)).collect():
+        keys[r["id"]].add(r["key"])
+    shingles = lambda x: {x[i : i + lines.SHINGLE] for i in range(max(1, len(x) - lines.SHINGLE + 1))}
+    met = defaultdict(list)
+    for i, (x, y) in enumerate(pairs):
+        a, b = shingles(x), shingles(y)
+        if len(a & b) >= 0.8 * len(a | b):
+            met[len(x) if i < len(pairs) - 60 else "blob", len(a & b) >= 0.9 * len(a | b)].append(bool(keys[2 * i] & keys[2 * i + 1]))
+    assert all(np.mean(v) >= 0.95 for v in met.values() if len(v) >= 20) and sum(map(len, met.values())) > 700
+    assert np.mean([v for vs in met.values() for v in vs]) > 0.985 and len(met["blob", True]) == 60

@@ -1,9 +1,10 @@
 """Line dedup with DataFrame functions only: fuzzy lines by MinHash, one line of each group stays.
 
 Lines are compared without the blanks around them. Equal lines become one class first. Each class's signature is taken over
-its character shingles: a shingle is hashed once, and HASHES minima over the hash XOR-ed with different constants stand for
-as many permutations. Of long lines a part of the shingles, chosen by hash and so alike in all lines, is enough for this.
-BANDS bands of ROWS minima give the candidate keys; at a Jaccard similarity of 0.8 a pair shares one with probability 0.99.
+all of its character shingles by one permutation: a shingle's hash falls in one of HASHES bins, and the least hash of each bin
+counts. An empty bin takes the value of the next one that is not, marked by the distance, so short lines have full signatures
+too, and how often a line repeats a shingle plays no part. BANDS bands of ROWS bins give the candidate keys; at a Jaccard
+similarity of 0.8 a pair shares one with a probability of 0.99, of a few percent less where many bins are empty.
 Candidates are verified on their exact sets of shingles, by graph.bucket_links, and linked lines are joined by
 graph.components. Of each component the line of the least doc_id stays, in that document's order the first.
 
@@ -27,8 +28,6 @@ SHINGLE = 8
 ROWS, BANDS = 4, 10
 HASHES = ROWS * BANDS
 SIMILARITY = 0.8
-#: Different words of a line that keep all its shingles in the signature; twice as many keep half of them, and so on.
-SIGNED_WORDS = 5
 #: Words of 64 bits of a line's parity sketch, a power of two.
 SKETCH = 16
 #: Members of a bucket that are compared pair by pair; the rest of a larger bucket is dealt again, see graph.bucket_links.
@@ -55,10 +54,9 @@ def check_of(line: Column) -> Column:
     return F.xxhash64(F.lit(1), line)
 
 
-def _seed(i: int) -> int:
-    """The i-th XOR constant: different leading bits, so different minima, and a fixed scramble below."""
-    x = ((i * 0x9E3779B97F4A7C15) ^ 0xD1B54A32D192ED03) & ((1 << 64) - 1)
-    x = (x & ((1 << 58) - 1)) | ((i * 37 % 64) << 58)
+def _mark(step: int) -> int:
+    """A fixed scramble for each step that an empty bin looks ahead."""
+    x = (step * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
@@ -71,28 +69,21 @@ def shingle_hashes(lines: DataFrame, *keep: str) -> DataFrame:
     return placed.select(*keep, F.xxhash64(F.substring("code", F.col("place") * 4 - 3, F.lit(4 * SHINGLE))).alias("h"))
 
 
-def shingle_rows(lines: DataFrame) -> DataFrame:
-    """(id, level, h): the shingles of every line that its signature is taken over.
-
-    Level l takes the shingles whose hash ends in l zero bits, the same ones in any line. A line's level follows from the
-    number of its different words, not from its length, so lines that repeat the same shingles more or less often share one;
-    a line near a border also belongs to the next level, where a similar line may be.
-    """
-    words = F.size(F.array_distinct(F.split("line", " ")))
-    sized = lines.select("id", "line", words.alias("words")).withColumn("level", F.greatest(F.lit(0), F.floor(F.log2(F.col("words") / SIGNED_WORDS))).cast("int"))
-    also = (F.col("words") >= SIMILARITY * SIGNED_WORDS * F.pow(F.lit(2.0), F.col("level") + 1)).alias("also")
-    hashed = shingle_hashes(sized.select("id", "level", also, "line"), "id", "level", "also")
-    taken = hashed.where("h & (shiftleft(1L, level) - 1) = 0")
-    both = F.when(F.col("also") & F.expr("h & (shiftleft(1L, level + 1) - 1) = 0"), F.array("level", F.col("level") + 1)).otherwise(F.array("level"))
-    return taken.select("id", "h", F.explode(both).alias("level"))
+def signatures(lines: DataFrame) -> DataFrame:
+    """(id, m0, m1, ...): the least hash of each bin of each line's shingles; empty bins filled from the next ones, by doubling."""
+    placed = shingle_hashes(lines, "id").withColumn("bin", F.pmod(F.shiftrightunsigned("h", 40), F.lit(HASHES)).cast("int"))
+    signed = placed.groupBy("id").agg(*[F.min(F.when(F.col("bin") == i, F.col("h"))).alias(f"m{i}") for i in range(HASHES)])
+    step = 1
+    while step < HASHES:
+        signed = signed.select("id", *[F.coalesce(F.col(f"m{i}"), F.col(f"m{(i + step) % HASHES}").bitwiseXOR(F.lit(_mark(step)))).alias(f"m{i}") for i in range(HASHES)])
+        step *= 2
+    return signed
 
 
 def band_keys(lines: DataFrame) -> DataFrame:
-    """(key, id) for each band of each line's signatures."""
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(_seed(i)))).alias(f"m{i}") for i in range(HASHES)]
-    signed = shingle_rows(lines).groupBy("id", "level").agg(*minima)
-    bands = [F.xxhash64(F.lit(b), "level", *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return signed.select("id", F.explode(F.array(*bands)).alias("key"))
+    """(key, id) for each band of each line's signature."""
+    bands = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
+    return signatures(lines).select("id", F.explode(F.array(*bands)).alias("key"))
 
 
 def sketched(lines: DataFrame) -> DataFrame:
