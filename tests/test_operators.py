@@ -120,38 +120,6 @@ def test_bootstrap_does_not_depend_on_tasks(spark):
     assert a == b and a["lower"] < d["gain"].sum() / d["events"].sum() < a["upper"]
 
 
-def test_simulation_is_seeded_and_near_its_mean(spark):
-    h = np.array([[0.5, 5.0, 5.0, 3.0]])
-    p = kernels.Parameters(0.05, 2e-3, 1.1, 0.01, 0.1, 100.0, 0.2, 0.8, 0.6)
-    one, two = (simulate.simulate(spark, h, p, 0.0, 2.3, p.mu, 10.0, simulations=300, tasks=t) for t in (2, 5))
-    a, b = (x.orderBy("catalog", "t", "x").toPandas() for x in (one, two))
-    pd.testing.assert_frame_equal(a, b)
-    assert a["is_root"].sum() / 300 == pytest.approx(5.0, rel=0.1)
-
-
-def test_continuations_take_the_whole_history(spark):
-    """As many descendants as the kernel's mass of every event gives, the same ones however the history is dealt."""
-    rng = np.random.default_rng(5)
-    p = kernels.Parameters(1e-9, 2e-3, 1.1, 0.01, 0.1, 100.0, 0.2, 0.8, 0.6)
-    h = pd.DataFrame({"event_id": np.arange(5000), "age": rng.random(5000) * 7, "lon": 5.0, "lat": 5.0, "mag": 1.0 + rng.random(5000)})
-    h.loc[:9, "age"], h.loc[:9, "mag"] = 0.01, 3.0  # the latest and strongest
-    one, two = (simulate.continuations(spark.createDataFrame(h).repartition(n), p, 0.0, 1e9, 0.0, 10.0, simulations=50).orderBy("catalog", "t", "x").toPandas() for n in (1, 6))
-    pd.testing.assert_frame_equal(one, two)
-    scale = lambda m: p.k0 * np.exp(p.a * m) * np.pi / p.rho * (p.d * np.exp(p.gamma * m)) ** -p.rho
-    first = (scale(h["mag"]) * special.temporal_integral(h["age"].to_numpy(), h["age"].to_numpy() + 1, p)).sum()
-    assert first < len(one) / 50 < 1.2 * first
-    assert one["t"].between(0, 1).all() and not one["is_root"].any()
-
-
-def test_simulate_grid_takes_the_whole_week(spark, monkeypatch):
-    taken = []
-    whole = simulate.continuations
-    monkeypatch.setattr(simulate, "continuations", lambda h, *a, **k: taken.append(h.count()) or whole(h, *a, **k))
-    path = "/root/testdata/sf0.01"
-    simulation.simulate_grid(spark, path)
-    assert taken == [cat(spark, path).where("day > 19745").count()] and taken[0] > 2000
-
-
 def test_particles_take_every_region_and_cell(spark):
     got = simulation.particle_assimilation(spark, DATA).groupBy("region").agg(F.count_distinct("section").alias("s"), F.count_distinct("particle").alias("p"), F.count_distinct("day").alias("d")).collect()
     assert {tuple(r) for r in got} == {(r["region"], 100, 8, r["d"]) for r in cat(spark, DATA).groupBy("region").agg(F.count_distinct("day").alias("d")).collect()}

@@ -1,4 +1,10 @@
-"""Seeded Monte Carlo continuations of a catalogue as Arrow batches: one row of work a simulation."""
+"""Seeded Monte Carlo continuations of a catalogue whose work follows the offspring, not events times simulations.
+
+Offspring of an event over all simulations are one Poisson process on a line as long as the simulations times the event's mean; a
+place on that line names the simulation. The line is cut into pieces of PIECE expected offspring, so an event that bears most
+of them is shared by many tasks. What is drawn depends on the seed, the event, the piece and the number of the draw alone:
+results are the same however rows are dealt, and the first simulations stay when more are asked for (roots too).
+"""
 
 from __future__ import annotations
 
@@ -12,71 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorloom.functions.kernels import Parameters
-from tremorloom.functions.special import inverse_lower_gamma, lower_gamma, temporal_integral
-
-
-def _delays(lower: np.ndarray, upper: np.ndarray, u: np.ndarray, p: Parameters) -> np.ndarray:
-    """Delays by inverse transform of the tapered kernel between two bounds, on a fixed grid in log time."""
-    s = -p.omega
-    if s > 0:
-        a, b = lower_gamma(s, (lower + p.c) / p.tau), lower_gamma(s, (upper + p.c) / p.tau)
-        return inverse_lower_gamma(s, a + u * (b - a)) * p.tau - p.c
-    grid = np.geomspace(p.c, upper.max() + p.c, 4096) - p.c
-    mass = np.concatenate(([0.0], np.cumsum(temporal_integral(grid[:-1], grid[1:], p))))
-    a, b = np.interp(lower, grid, mass), np.interp(upper, grid, mass)
-    return np.interp(a + u * (b - a), mass, grid)
-
-
-def continue_catalogue(history: np.ndarray, p: Parameters, reference: float, beta: float, background: float, extent: float, days: float, rng: np.random.Generator, most: int = 1_000_000) -> np.ndarray:
-    """One continuation over the next days: rows (t, x, y, magnitude, is_root) in order of time.
-
-    history: rows (age in days before issue, x, y, magnitude). Roots are uniform over a square of the given extent.
-    """
-    plane = math.pi / p.rho
-    n = rng.poisson(background * extent**2 * days)
-    roots = np.column_stack((rng.random(n) * days, rng.random(n) * extent, rng.random(n) * extent, reference + rng.exponential(1 / beta, n), np.ones(n)))
-    parents = np.vstack((np.column_stack((-history[:, 0], history[:, 1:])), roots[:, :4]))
-    out, total = [roots], len(roots)
-    while len(parents):
-        low, high = np.maximum(0.0, -parents[:, 0]), days - parents[:, 0]
-        k = p.k0 * np.exp(p.a * (parents[:, 3] - reference)) * plane * (p.d * np.exp(p.gamma * (parents[:, 3] - reference))) ** -p.rho
-        count = rng.poisson(k * temporal_integral(low, high, p))
-        if not (m := int(count.sum())):
-            break
-        if (total := total + m) > most:
-            raise ValueError("the continuation grows beyond its cap; the parameters may be supercritical")
-        of = np.repeat(np.arange(len(parents)), count)
-        t = parents[of, 0] + _delays(low[of], high[of], rng.random(m), p)
-        scale = p.d * np.exp(p.gamma * (parents[of, 3] - reference))
-        r = np.sqrt(scale * ((1 - rng.random(m)) ** (-1 / p.rho) - 1))
-        turn = rng.random(m) * 2 * np.pi
-        born = np.column_stack((t, parents[of, 1] + r * np.cos(turn), parents[of, 2] + r * np.sin(turn), reference + rng.exponential(1 / beta, m), np.zeros(m)))
-        out.append(born)
-        parents = born[:, :4]
-    rows = np.vstack(out)
-    return rows[np.argsort(rows[:, 0], kind="stable")]
-
-
-def simulate(spark: SparkSession, history: np.ndarray, p: Parameters, reference: float, beta: float, background: float, extent: float, days: float = 1.0, simulations: int = 1000, seed: int = 1, tasks: int = 8) -> DataFrame:
-    """(catalog, t, x, y, mag, is_root) of all simulations; each is seeded by its number, however tasks are dealt.
-
-    history is one region's catalogue, broadcast: some tens of bytes an event; its size is checked.
-    """
-    if history.nbytes > 256 << 20:
-        raise ValueError("the history is too large to broadcast; split it by region")
-    held = spark.sparkContext.broadcast(history)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i in batch["id"]:
-                rows = continue_catalogue(held.value, p, reference, beta, background, extent, days, np.random.default_rng([seed, int(i)]))
-                yield pd.DataFrame({"catalog": int(i), "t": rows[:, 0], "x": rows[:, 1], "y": rows[:, 2], "mag": rows[:, 3], "is_root": rows[:, 4] > 0})
-
-    return spark.range(0, simulations, 1, tasks).mapInPandas(run, "catalog long, t double, x double, y double, mag double, is_root boolean")
+from tremorloom.functions.region import Square, SphericalPolygon
+from tremorloom.functions.special import temporal_integral
 
+#: Expected offspring of a piece of work; parents that a task takes at a time; delays that the table spans, in tau.
+PIECE, SIDE, SPAN = 64.0, 1 << 16, 50.0
+SCHEMA = "catalog long, t double, x double, y double, mag double, is_root boolean"
 
-#: Simulations of one event that a task takes at a time; events that it lays side by side, and delays that the table spans, in tau.
-BLOCK, SIDE, SPAN = 200, 1024, 50.0
+Region = Square | SphericalPolygon
 
 
 @lru_cache(maxsize=8)
@@ -104,78 +53,141 @@ def _uniform(key: np.ndarray, draw: int) -> np.ndarray:
     return ((_keyed(key, np.full(len(key), draw, np.uint64)) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
 
 
-def _arrivals(key: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Poisson counts as (row, number of the arrival), by exponential waiting times: exact for any mean."""
-    at = np.flatnonzero(mean > 0)
+def _arrivals(key: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number, place) of the arrivals of unit Poisson processes on lines of these lengths, by exponential waiting times."""
+    at = np.flatnonzero(length > 0)
     wait = np.zeros(len(at))
-    rows, numbers, j = [], [], 0
+    rows, numbers, places, j = [], [], [], 0
     while len(at):
         wait = wait - np.log(_uniform(key[at], 16 + j))
-        inside = wait <= mean[at]
+        inside = wait <= length[at]
         at, wait = at[inside], wait[inside]
         rows.append(at)
         numbers.append(np.full(len(at), j))
+        places.append(wait)
         j += 1
-    return (np.concatenate(rows), np.concatenate(numbers)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def descendants(catalog: np.ndarray, parents: np.ndarray, key: np.ndarray, p: Parameters, reference: float, beta: float, days: float, most: int = 20_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """All generations born in the next days: their catalogues and rows (t, x, y, magnitude). Every number drawn depends on keys alone."""
-    plane, (grid, mass) = math.pi / p.rho, _delay_table(p)
-    total = lambda t: np.interp(t, grid, mass)
-    catalogs, out, n = [], [], 0
-    while len(parents):
-        excess = parents[:, 3] - reference
-        scale = p.d * np.exp(p.gamma * excess)
-        low, high = total(np.maximum(0.0, -parents[:, 0])), total(days - parents[:, 0])
-        of, number = _arrivals(key, p.k0 * np.exp(p.a * excess) * plane * scale**-p.rho * (high - low))
-        if (n := n + len(of)) > most:
-            raise ValueError("the continuation grows beyond its cap; the parameters may be supercritical")
-        key = _keyed(key[of], number)
-        t = parents[of, 0] + np.interp(low[of] + _uniform(key, 0) * (high[of] - low[of]), mass, grid)
-        r = np.sqrt(scale[of] * (_uniform(key, 1) ** (-1 / p.rho) - 1))
-        turn = _uniform(key, 2) * 2 * np.pi
-        parents = np.column_stack((t, parents[of, 1] + r * np.cos(turn), parents[of, 2] + r * np.sin(turn), reference - np.log(_uniform(key, 3)) / beta))
-        catalog = catalog[of]
-        catalogs.append(catalog)
-        out.append(parents)
-    return (np.concatenate(catalogs), np.vstack(out)) if out else (np.zeros(0, np.int64), np.zeros((0, 4)))
-
-
-def continuations(history: DataFrame, p: Parameters, reference: float, beta: float, background: float, extent: float, days: float = 1.0, simulations: int = 1000, seed: int = 1) -> DataFrame:
-    """(catalog, t, x, y, mag, is_root) of all simulations of a history of any size, which stays distributed.
-
-    history: (event_id, age in days before issue, lon, lat, mag). Descendants of different events are independent, so each
-    event and block of simulations is a row of work, and what it draws depends on seed, simulation and event_id alone.
+    return (np.concatenate(rows), np.concatenate(numbers), np.concatenate(places)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def expected_offspring(t: np.ndarray, mag: np.ndarray, p: Parameters, reference: float, days: float) -> np.ndarray:
+    """Mean number of direct offspring within the horizon of events at times t, negative for the past."""
+    grid, mass = _delay_table(p)
+    scale = p.d * np.exp(p.gamma * (mag - reference))
+    within = np.interp(days - t, grid, mass) - np.interp(np.maximum(0.0, -t), grid, mass)
+    return p.k0 * np.exp(p.a * (mag - reference)) * math.pi / p.rho * scale**-p.rho * within
+
+
+def offspring_ratio(p: Parameters, beta: float, days: float) -> float:
+    """Mean direct offspring within the horizon of an event at its begin, over exponential magnitudes."""
+    if beta <= p.productivity_exponent:
+        return math.inf
+    grid, mass = _delay_table(p)
+    return p.k0 * math.pi / p.rho * p.d**-p.rho * float(np.interp(days, grid, mass)) * beta / (beta - p.productivity_exponent)
+
+
+def _subcritical(p: Parameters, beta: float, days: float, generations: int | None) -> None:
+    if generations is None and (n := offspring_ratio(p, beta, days)) >= 1:
+        raise ValueError(f"continuations need not die out: {n:.3g} offspring an event; bound the generations or shorten the horizon")
+
+
+def _born(parents: np.ndarray, key: np.ndarray, p: Parameters, reference: float, beta: float, days: float, region: Region) -> np.ndarray:
+    """A child (t, x, y, magnitude) of each parent, for each key."""
+    grid, mass = _delay_table(p)
+    low, high = (np.interp(v, grid, mass) for v in (np.maximum(0.0, -parents[:, 0]), days - parents[:, 0]))
+    t = parents[:, 0] + np.interp(low + _uniform(key, 0) * (high - low), mass, grid)
+    r = np.sqrt(p.d * np.exp(p.gamma * (parents[:, 3] - reference)) * (_uniform(key, 1) ** (-1 / p.rho) - 1))
+    x, y = region.moved(parents[:, 1], parents[:, 2], r, _uniform(key, 2) * 2 * np.pi)
+    return np.column_stack((t, x, y, reference - np.log(_uniform(key, 3)) / beta))
+
+
+def _generations(catalog: np.ndarray, born: np.ndarray, key: np.ndarray, p: Parameters, reference: float, beta: float, days: float, region: Region, generations: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """These events' descendants, generation by generation; a task holds SIDE parents of each generation at a time."""
+    waiting = [(0, catalog, born, key)]
+    while waiting:
+        depth, catalog, parents, key = waiting.pop()
+        if generations is not None and depth >= generations:
+            continue
+        if len(parents) > SIDE:
+            waiting += [(depth, catalog[i : i + SIDE], parents[i : i + SIDE], key[i : i + SIDE]) for i in range(0, len(parents), SIDE)]
+            continue
+        of, number, _ = _arrivals(key, expected_offspring(parents[:, 0], parents[:, 3], p, reference, days))
+        if len(of):
+            key = _keyed(key[of], number)
+            children = _born(parents[of], key, p, reference, beta, days, region)
+            yield catalog[of], children
+            waiting.append((depth + 1, catalog[of], children, key))
+
+
+def _frame(catalog: np.ndarray, rows: np.ndarray, root: bool, region: Region) -> pd.DataFrame:
+    inside = region.inside(rows[:, 1], rows[:, 2])
+    rows = rows[inside]
+    return pd.DataFrame({"catalog": catalog[inside].astype(np.int64), "t": rows[:, 0], "x": rows[:, 1], "y": rows[:, 2], "mag": rows[:, 3], "is_root": root})
+
+
+def roots(spark: SparkSession, rate: float, reference: float, beta: float, region: Region, days: float = 1.0, simulations: int = 1000, seed: int = 1, p: Parameters | None = None, generations: int | None = None) -> DataFrame:
+    """Uniform Poisson events of `rate` a unit of area and day in the region; with parameters their descendants too.
+
+    Without parameters this is the homogeneous reference forecast.
     """
-    schema = "catalog long, t double, x double, y double, mag double, is_root boolean"
+    mean = rate * region.area * days
+    if p is not None:
+        _subcritical(p, beta, days, generations)
 
-    def frame(catalog: np.ndarray, rows: np.ndarray, root: bool) -> pd.DataFrame:
-        return pd.DataFrame({"catalog": catalog.astype(np.int64), "t": rows[:, 0], "x": rows[:, 1], "y": rows[:, 2], "mag": rows[:, 3], "is_root": root})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sims = batch["id"].to_numpy()
+            key = _keyed(np.full(len(sims), seed, np.uint64), sims)
+            of, number, place = _arrivals(_keyed(key, np.full(len(sims), 7)), np.full(len(sims), mean))
+            key = _keyed(key[of], number)
+            x, y = region.draw(key, _uniform)
+            rows = np.column_stack((place / mean * days if mean else place, x, y, reference - np.log(_uniform(key, 3)) / beta))
+            yield _frame(sims[of], rows, True, region)
+            if p is not None:
+                for catalog, born in _generations(sims[of], rows, _keyed(key, np.full(len(key), 5)), p, reference, beta, days, region, generations):
+                    yield _frame(catalog, born, False, region)
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.range(0, simulations, 1, max(1, min(tasks, simulations))).mapInPandas(run, SCHEMA)
+
+
+def continuations(history: DataFrame, p: Parameters, reference: float, beta: float, background: float, region: Region, days: float = 1.0, simulations: int = 1000, seed: int = 1, generations: int | None = None) -> DataFrame:
+    """(catalog, t, x, y, mag, is_root) of the events inside the region of all simulations of a history of any size.
+
+    history: (event_id, age in days before issue, lon, lat, mag); events with a null or a negative age bear nothing. Descendants
+    that leave the region go on bearing, but are not returned. Roots are drawn in the region; generations bounds the descent.
+    Parameters with which an event has one offspring or more on average within the horizon are an error, unless it is bounded.
+    """
+    _subcritical(p, beta, days, generations)
+
+    @F.pandas_udf("double")
+    def mean(age: pd.Series, mag: pd.Series) -> pd.Series:
+        return pd.Series(expected_offspring(-age.to_numpy(), mag.to_numpy(), p, reference, days))
 
     def triggered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), SIDE):
-                q = batch.iloc[at : at + SIDE]
-                sims = q["block"].to_numpy()[:, None] * BLOCK + np.arange(BLOCK)[None, :]
-                event, inside = np.repeat(np.arange(len(q)), BLOCK), (sims < simulations).ravel()
-                event, sims = event[inside], sims.ravel()[inside]
-                key = _keyed(_keyed(np.full(len(sims), seed, np.uint64), sims), q["event_id"].to_numpy(np.int64)[event])
-                parents = np.column_stack((-q["age"].to_numpy(), q["lon"], q["lat"], q["mag"]))[event]
-                yield frame(*descendants(sims, parents, key, p, reference, beta, days), False)
-
-    def rooted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i in batch["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                n = rng.poisson(background * extent**2 * days)
-                rows = np.column_stack((rng.random(n) * days, rng.random(n) * extent, rng.random(n) * extent, reference + rng.exponential(1 / beta, n)))
-                sims = np.full(n, int(i))
-                yield frame(sims, rows, True)
-                yield frame(*descendants(sims, rows, rng.integers(0, 1 << 64, n, np.uint64), p, reference, beta, days), False)
+            key = _keyed(np.full(len(batch), seed, np.uint64), batch["event_id"].to_numpy(np.int64))
+            key = _keyed(key, batch["piece"].to_numpy(np.int64))
+            m = batch["mean"].to_numpy()
+            begin = batch["piece"].to_numpy() * PIECE
+            of, number, place = _arrivals(key, np.minimum(PIECE, m * simulations - begin))
+            sims = np.minimum((begin[of] + place) / m[of], simulations - 1).astype(np.int64)
+            key = _keyed(key[of], number)
+            parents = np.column_stack((-batch["age"].to_numpy(), batch["lon"], batch["lat"], batch["mag"]))
+            first = _born(parents[of], key, p, reference, beta, days, region)
+            yield _frame(sims, first, False, region)
+            more = None if generations is None else generations - 1
+            for catalog, born in _generations(sims, first, key, p, reference, beta, days, region, more):
+                yield _frame(catalog, born, False, region)
 
     spark = history.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((simulations - 1) // BLOCK))).alias("block")
-    work = history.where("age IS NOT NULL AND lon IS NOT NULL AND lat IS NOT NULL AND mag IS NOT NULL").select("event_id", "age", "lon", "lat", "mag", blocks).repartition(tasks, "event_id", "block")
-    return work.mapInPandas(triggered, schema).unionByName(spark.range(0, simulations, 1, min(tasks, simulations)).mapInPandas(rooted, schema))
+    sources = history.where("age >= 0 AND lon IS NOT NULL AND lat IS NOT NULL AND mag IS NOT NULL").select("event_id", "age", "lon", "lat", "mag", mean("age", "mag").alias("mean"))
+    pieces = F.greatest(F.ceil(F.col("mean") * simulations / PIECE), F.lit(1)).cast("long") - 1
+    work = sources.where("mean > 0").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces))).repartition(tasks, "event_id", "piece")
+    return work.mapInPandas(triggered, SCHEMA).unionByName(roots(spark, background, reference, beta, region, days, simulations, seed, p, generations))
+
+
+def expected_rates(simulated: DataFrame, background: DataFrame, cell, simulations: int) -> DataFrame:
+    """(cell, rate): the exact background of every cell (cell, mass) in place of the simulated roots, plus the mean of all others."""
+    counts = simulated.where("NOT is_root").groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
+    return background.join(counts, "cell", "left").select("cell", (F.col("mass") + F.coalesce("n", F.lit(0)) / simulations).alias("rate"))

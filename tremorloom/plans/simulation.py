@@ -5,20 +5,51 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tremorloom.functions import special
+from tremorloom.functions import geo, special
+from tremorloom.functions.region import SphericalPolygon
+from tremorloom.operators import features as feats
 from tremorloom.operators import particles, scoring, simulate
-from tremorloom.plans.point_process import BETA, LAST, M0, P, cat, _forecast
+from tremorloom.plans.point_process import BETA, DAYS, LAST, M0, P, POLYGON, _forecast, cat, grid
 from tremorloom.plans.registry import query
 
 
+#: The unit of length is a degree at the equator, as in the planar queries.
+REGION = SphericalPolygon(POLYGON, 180.0 / np.pi)
+SIMULATIONS = 10_000
+
+
+def last_week(spark, sf_dir):
+    age = (((LAST + 1) * 86_400_000_000 - F.col("us")) / 86_400_000_000).alias("age")
+    return cat(spark, sf_dir).where(F.col("day") > LAST - 7).select("event_id", age, "lon", "lat", "mag")
+
+
+def simulated(spark, sf_dir):
+    return simulate.continuations(last_week(spark, sf_dir), P, M0, BETA, P.mu, REGION, simulations=SIMULATIONS)
+
+
+def cell_of():
+    return (F.floor("y") * 10 + F.floor("x")).cast("int")
+
+
 @query("simulate_grid")
 def simulate_grid(spark, sf_dir):
-    """Expected counts and occupancy of one day's continuations of the last week's catalogue."""
-    age = (((LAST + 1) * 86_400_000_000 - F.col("us")) / 86_400_000_000).alias("age")
-    recent = cat(spark, sf_dir).where(F.col("day") > LAST - 7).select("event_id", age, "lon", "lat", "mag")
-    sims = simulate.continuations(recent, P, M0, BETA, P.mu, 10.0, simulations=200)
-    inside = sims.where("x >= 0 AND x < 10 AND y >= 0 AND y < 10").withColumn("cell", (F.floor("y") * 10 + F.floor("x")).cast("int"))
-    return scoring.occupancy(inside, 200, [0.0, 1.0])
+    """Expected counts and occupancy of 10,000 continuations of the last week by one day, within a polygon on the sphere."""
+    return scoring.occupancy(simulated(spark, sf_dir).withColumn("cell", cell_of()), SIMULATIONS, [0.0, 1.0])
+
+
+@query("simulate_rates")
+def simulate_rates(spark, sf_dir):
+    """The day's rate of every cell with its exact background in place of simulated roots."""
+    background = feats.background(cat(spark, sf_dir), grid(spark), DAYS, 10.0).select("cell", F.col("rate").alias("mass"))
+    return simulate.expected_rates(simulated(spark, sf_dir), background, cell_of(), SIMULATIONS)
+
+
+@query("poisson_counts")
+def poisson_counts(spark, sf_dir):
+    """Counts by catalogue of a homogeneous forecast with as many events as the last week had a day in the polygon."""
+    week = last_week(spark, sf_dir).where(geo.in_polygon(F.col("lon"), F.col("lat"), POLYGON)).count()
+    found = simulate.roots(spark, week / 7 / REGION.area, M0, BETA, REGION, simulations=1000, seed=9)
+    return scoring.count_quantiles(found.groupBy("catalog").agg(F.count("*").alias("n")), spark.range(1000).withColumnRenamed("id", "catalog"), "catalog")
 
 
 @query("block_bootstrap")
