@@ -57,3 +57,40 @@ def snapshot(cat: DataFrame, grid: DataFrame, days: int, prior_days: float = 10.
     near = grids.neighbour_values(local, grid, "n_7", ["day"])
     quiet = grids.neighbour_values(local.select("day", "cell", "recency"), grid, "recency", ["day"], how="min", missing=float(cap))
     return local.join(near, ["day", "cell"], "left").join(quiet, ["day", "cell"], "left").fillna(0, ["neighbour_n_7"]).fillna(float(cap), ["neighbour_recency"])
+
+
+#: The transformed features of a cell-day, in the order of a model's weights.
+FEATURES = [
+    *[f"log_{who}_{d}" for d in (3, 7, 30, 90) for who in ("cell", "near")],
+    "cell_excess_30",
+    "near_excess_30",
+    "cell_acceleration",
+    "near_acceleration",
+    "log_cell_recency",
+    "log_near_recency",
+    "log_background",
+]
+
+
+def matrix(cat: DataFrame, grid: DataFrame, days: int, prior_days: float = 10.0, cap: int = 365, floor_share: float = 0.1) -> DataFrame:
+    """(cell, day, n, rate, FEATURES) of every cell-day: the cell's and its neighbours' counts, excesses, accelerations and recencies.
+
+    Neighbours' values come from one join and one grouping. A cell without neighbours has their counts 0 and their recency at
+    the cap, and so has one at the border for the neighbours that it lacks.
+    """
+    rates = background(cat, grid, days, prior_days)
+    floor = rates.agg(F.greatest(F.avg("rate") * floor_share, F.lit(kernels.TINY)).alias("floor"))  # one row
+    counts = [f"n_{d}" for d in (3, 7, 30, 90)]
+    local = recency(trailing(spine(cat, grid)), cap).join(rates, "cell")
+    met = local.select(F.col("cell").alias("neighbour"), "day", *counts, "rate", "recency").join(grids.edges(grid), "neighbour")
+    near = met.groupBy("cell", "day").agg(*[F.sum(c).alias(f"near_{c}") for c in [*counts, "rate"]], F.min("recency").alias("least"), F.count("*").alias("degree"))
+    rows = local.join(near, ["cell", "day"], "left").crossJoin(F.broadcast(floor)).fillna(0, [f"near_{c}" for c in [*counts, "rate"]])
+    quiet = F.when(F.coalesce("degree", F.lit(0)) < 8, F.least(F.coalesce("least", F.lit(cap)), F.lit(cap))).otherwise(F.col("least"))
+    floored = {who: F.greatest(rate, "floor") for who, rate in (("cell", "rate"), ("near", "near_rate"))}
+    values = []
+    for c in counts:
+        values += [F.log1p(c), F.log1p(f"near_{c}")]
+    values += [kernels.log_rate_excess(F.col(c), 30.0, F.col(rate), F.col("floor")) for c, rate in (("n_30", "rate"), ("near_n_30", "near_rate"))]
+    values += [kernels.log_rate_ratio(F.col(a), 7.0, F.col(b), 30.0, floored[who]) for who, a, b in (("cell", "n_7", "n_30"), ("near", "near_n_7", "near_n_30"))]
+    values += [F.log1p("recency"), F.log1p(quiet), F.log("rate")]
+    return rows.select("cell", "day", "n", "rate", *[v.alias(name) for v, name in zip(values, FEATURES, strict=True)])
