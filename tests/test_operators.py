@@ -113,13 +113,6 @@ def test_mass_is_conserved(spark):
     assert same.count() == 0
 
 
-def test_bootstrap_does_not_depend_on_tasks(spark):
-    rng = np.random.default_rng(3)
-    d = pd.DataFrame({"gain": rng.normal(1, 1, 200), "events": rng.poisson(3, 200)})
-    a, b = (scoring.block_bootstrap(d, spark, 200, 10.0, tasks=t).first() for t in (1, 7))
-    assert a == b and a["lower"] < d["gain"].sum() / d["events"].sum() < a["upper"]
-
-
 def test_particles_take_every_region_and_cell(spark):
     got = simulation.particle_assimilation(spark, DATA).groupBy("region").agg(F.count_distinct("section").alias("s"), F.count_distinct("particle").alias("p"), F.count_distinct("day").alias("d")).collect()
     assert {tuple(r) for r in got} == {(r["region"], 100, 8, r["d"]) for r in cat(spark, DATA).groupBy("region").agg(F.count_distinct("day").alias("d")).collect()}

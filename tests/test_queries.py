@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tremorloom.plans import fitting, geometry, point_process, registry, replay, simulation  # noqa: F401
+from tremorloom.plans import fitting, geometry, point_process, publishing, registry, replay, simulation  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -34,35 +34,71 @@ def robust(gains: DataFrame, year: Column, gain: str, keys: list[str]) -> DataFr
     return yearly.groupBy(*keys).agg((F.avg("m") - F.stddev_pop("m")).alias("robust"), F.min("m").alias("worst"), F.count_if(F.expr("m > 0")).alias("positive_years"))
 
 
-def block_bootstrap(daily: pd.DataFrame, spark, replicates: int = 1000, mean_block: float = 30.0, seed: int = 1, level: float = 0.95, tasks: int = 8) -> DataFrame:
-    """Percentile interval of the ratio of sums under the stationary bootstrap.
+def gain_summary(gains: DataFrame, keys: list[str], gain: str = "gain") -> DataFrame:
+    """(keys, events, mean, factor, total, positive_share) of gains by event; factor is the mean's exponential."""
+    mean = F.avg(gain)
+    return gains.groupBy(*keys).agg(F.count(gain).alias("events"), mean.alias("mean"), F.exp(mean).alias("factor"), F.sum(gain).alias("total"), F.avg((F.col(gain) > 0).cast("double")).alias("positive_share"))
 
-    daily: one row a day, gain and events; its length is the number of days, so it is broadcast. Each replicate is seeded by
-    its number, so the result does not depend on how replicates are dealt to tasks.
+
+def paired(left: DataFrame, right: DataFrame, event: str = "event_id", gain: str = "gain") -> DataFrame:
+    """left with gain replaced by its difference to right's; an event that one side lacks, or has twice, is an error."""
+    a, b = left.groupBy(event).agg(F.count("*").alias("_l"), F.first(gain).alias("_x")), right.groupBy(event).agg(F.count("*").alias("_r"), F.first(gain).alias("_y"))
+    unpaired = F.raise_error(F.concat(F.lit("not one pair of event "), F.col(event).cast("string"))).cast("double")
+    difference = a.join(b, event, "full").select(event, F.when((F.col("_l") == 1) & (F.col("_r") == 1), F.col("_x") - F.col("_y")).otherwise(unpaired).alias(gain))
+    return left.drop(gain).join(difference, event, "right")
+
+
+def dense_days(gains: DataFrame, keys: list[str], day: str = "day", gain: str = "gain", span: tuple[int, int] | None = None) -> DataFrame:
+    """(keys, day, gain, events) of every calendar day from a stratum's first to its last, or of the span for all strata."""
+    daily = gains.groupBy(*keys, F.col(day).alias("day")).agg(F.sum(gain).alias("gain"), F.count(gain).alias("events"))
+    ends = daily.groupBy(*keys).agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    days = F.sequence("a", "b") if span is None else F.sequence(F.lit(span[0]), F.lit(span[1]))
+    spine = ends.select(*keys, F.explode(days).alias("day"))
+    return spine.join(daily, [*keys, "day"], "left").fillna(0, ["gain", "events"])
+
+
+#: Replicates that one task draws; the least share of them that must have events.
+REPLICATES_A_TASK, VALID = 100, 0.99
+
+
+def block_bootstrap(daily: DataFrame, keys: list[str], blocks: list[float], replicates: int = 1000, seed: int = 1, level: float = 0.95) -> DataFrame:
+    """(keys, block, replicates, valid, lower, median, upper) of the ratio of sums under the stationary bootstrap.
+
+    daily: (keys, day, gain, events), a row a day, gathered to one row a stratum of as many numbers as there are days. Each
+    replicate is seeded by its number and block, so the result does not depend on how they are dealt. A replicate without
+    events counts for nothing; if they are more than one in a hundred, the query fails.
     """
-    gain, events = daily["gain"].to_numpy(float), daily["events"].to_numpy(float)
-    held = spark.sparkContext.broadcast((gain, events))
+    if replicates <= 0 or not 0 < level < 1 or any(b <= 1 for b in blocks):
+        raise ValueError("replicates, blocks above one day and a level within 0 and 1 are needed")
+    days = F.sort_array(F.collect_list(F.struct("day", F.col("gain").cast("double").alias("gain"), F.col("events").cast("double").alias("events"))))
+    series = daily.groupBy(*keys).agg(days.alias("_series")).select(*keys, F.col("_series.gain").alias("_g"), F.col("_series.events").alias("_e"))
+    tasks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // REPLICATES_A_TASK)))
+    work = series.withColumn("block", F.explode(F.array(*[F.lit(float(b)) for b in blocks]))).withColumn("piece", tasks).repartition(*keys, "block", "piece")
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, e = held.value
-        n = len(g)
         for batch in batches:
-            out = []
-            for i in batch["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                fresh = rng.random(n) < 1 / mean_block
-                fresh[0] = True
-                start = np.flatnonzero(fresh)
-                begin = rng.integers(0, n, len(start))
-                run = np.cumsum(fresh) - 1
-                at = (begin[run] + np.arange(n) - start[run]) % n
-                total = e[at].sum()
-                out.append(g[at].sum() / total if total else np.nan)
-            yield pd.DataFrame({"id": batch["id"], "igpe": out})
-
-    drawn = spark.range(0, replicates, 1, tasks).mapInPandas(draw, "id long, igpe double").where("NOT isnan(igpe)")
-    tail = (1 - level) / 2
-    return drawn.agg(F.count("*").alias("replicates"), F.percentile("igpe", F.lit(tail)).alias("lower"), F.percentile("igpe", F.lit(1 - tail)).alias("upper"))
+            for _, row in batch.iterrows():
+                g, e = np.asarray(row["_g"], float), np.asarray(row["_e"], float)
+                n, out = len(g), []
+                ids = range(row["piece"] * REPLICATES_A_TASK, min(replicates, (row["piece"] + 1) * REPLICATES_A_TASK))
+                for i in ids:
+                    rng = np.random.default_rng([seed, int(row["block"] * 1000), i])
+                    fresh = rng.random(n) < 1 / row["block"]
+                    fresh[0] = True
+                    start = np.flatnonzero(fresh)
+                    begin = rng.integers(0, n, len(start))
+                    run = np.cumsum(fresh) - 1
+                    at = (begin[run] + np.arange(n) - start[run]) % n
+                    total = e[at].sum()
+                    out.append(g[at].sum() / total if total else None)
+                yield pd.DataFrame({**{k: [row[k]] * len(out) for k in keys}, "block": row["block"], "igpe": pd.array(out, "Float64")})
+
+    schema = ", ".join([*(f"`{k}` {daily.schema[k].dataType.simpleString()}" for k in keys), "block double, igpe double"])
+    drawn = work.mapInPandas(draw, schema)
+    tail, few = (1 - level) / 2, F.raise_error(F.lit("too many replicates without events")).cast("double")
+    valid = F.count("igpe")
+    guarded = lambda q: F.when(valid >= VALID * F.count("*"), F.percentile("igpe", F.lit(q))).otherwise(few)
+    return drawn.groupBy(*keys, "block").agg(F.count("*").alias("replicates"), valid.alias("valid"), guarded(tail).alias("lower"), guarded(0.5).alias("median"), guarded(1 - tail).alias("upper"))
 
 
 def occupancy(simulated: DataFrame, simulations: int, thresholds: list[float]) -> DataFrame:

@@ -54,8 +54,9 @@ def poisson_counts(spark, sf_dir):
 
 @query("block_bootstrap")
 def block_bootstrap(spark, sf_dir):
+    """Intervals of the gain per event over blocks of a week and of three days."""
     f = _forecast(spark, sf_dir).groupBy("day").agg(F.sum(F.col("n") * F.log(F.col("rate") / F.col("uniform"))).alias("gain"), F.sum("n").alias("events"))
-    return scoring.block_bootstrap(f.orderBy("day").toPandas(), spark, 500, 7.0)  # one row a day
+    return scoring.block_bootstrap(f.withColumn("all", F.lit(1)), ["all"], [3.0, 7.0], 500).drop("all")
 
 
 @query("bpt_overdue")
