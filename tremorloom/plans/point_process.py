@@ -97,21 +97,26 @@ def cell_assign_clipped(spark, sf_dir):
     return cat(spark, sf_dir).select("event_id", grids.cell_clipped(F.col("lon") * 1.3 - 2, F.col("lat") * 1.3 - 2).alias("assigned"))
 
 
+def known_cells(spark, sf_dir) -> DataFrame:
+    """The cells that the catalogue has events in."""
+    return cat(spark, sf_dir).select("cell", "x", "y").distinct()
+
+
 _AREA = "6371.0088 * 6371.0088 * radians(1.0) * (sin(radians(y + 1.0)) - sin(radians(y + 0.0)))"
 
 
-@query("cell_area", CAT + f"SELECT cell, round({_AREA}, 4) AS area FROM grid")
+@query("cell_area", CAT + f"SELECT DISTINCT cell, round({_AREA}, 4) AS area FROM cat")
 def cell_area(spark, sf_dir):
-    return grid(spark).select("cell", r(geo.cell_area_km2(F.col("y").cast("double"), 1.0), 4).alias("area"))
+    return known_cells(spark, sf_dir).select("cell", r(geo.cell_area_km2(F.col("y").cast("double"), 1.0), 4).alias("area"))
 
 
 @query(
     "latent_grid",
-    CAT + f"""SELECT g.cell, CAST(l.latent AS INTEGER) AS latent, round(l.area, 4) AS area FROM grid g JOIN (
-      SELECT lx, ly, dense_rank() OVER (ORDER BY ly, lx) - 1 AS latent, area FROM (SELECT x // 3 AS lx, y // 3 AS ly, sum({_AREA}) AS area FROM grid GROUP BY ALL)) l ON g.x // 3 = l.lx AND g.y // 3 = l.ly""",
+    CAT + f""", known AS (SELECT DISTINCT cell, x, y FROM cat) SELECT g.cell, CAST(l.latent AS INTEGER) AS latent, round(l.area, 4) AS area FROM known g JOIN (
+      SELECT lx, ly, dense_rank() OVER (ORDER BY ly, lx) - 1 AS latent, area FROM (SELECT x // 3 AS lx, y // 3 AS ly, sum({_AREA}) AS area FROM known GROUP BY ALL)) l ON g.x // 3 = l.lx AND g.y // 3 = l.ly""",
 )
 def latent_grid(spark, sf_dir):
-    return grids.latent(grid(spark), 3).select("cell", F.col("latent").cast("int").alias("latent"), r("area", 4).alias("area"))
+    return grids.latent(known_cells(spark, sf_dir), 3).select("cell", F.col("latent").cast("int").alias("latent"), r("area", 4).alias("area"))
 
 
 @query("neighbor_sum", CAT + "SELECT e.cell, CAST(sum(v.n) AS BIGINT) AS neighbour_n FROM edges e JOIN (SELECT g.cell, count(c.event_id) AS n FROM grid g LEFT JOIN cat c USING (cell) GROUP BY ALL) v ON v.cell = e.neighbour GROUP BY ALL")
@@ -517,9 +522,12 @@ def reset_weight(spark, sf_dir):
     return cat(spark, sf_dir).select("event_id", r(kernels.reset_weight(F.col("mag"), 2.4, 0.75)).alias("weight"))
 
 
-@query("equilibrium_ensemble", "SELECT i AS member, round(-ln(1 - (i + 0.5) / 64), 8) AS age FROM range(64) t(i)")
+@query("equilibrium_ensemble", CAT + "SELECT cell, i AS member, round(-ln(1 - ((i * 37 + cell * 11) % 64 + 0.5) / 64), 8) AS age FROM (SELECT DISTINCT cell FROM cat) CROSS JOIN range(64) t(i)")
 def equilibrium_ensemble(spark, sf_dir):
-    return spark.range(64).select(F.col("id").alias("member"), r(kernels.equilibrium_age(F.col("id"), 64)).alias("age"))
+    """Stratified equilibrium ages of every cell with events; each cell deals the quantiles to the members in another order."""
+    member = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("member")
+    rows = known_cells(spark, sf_dir).select("cell", member)
+    return rows.select("cell", "member", r(kernels.equilibrium_age((F.col("member") * 37 + F.col("cell") * 11) % 64, 64)).alias("age"))
 
 
 @query("softmax_gain_by_day", CAT + _TRAIL + """, o AS (SELECT day, n, (n_30 + 1) / 31.0::DOUBLE AS rate, 0.3::DOUBLE * ln(1 + n_7) AS f FROM tr) SELECT day, CAST(sum(n) AS BIGINT) AS events, round(sum(n * f) - sum(n) * (ln(sum(rate * exp(f))) - ln(sum(rate))), 6) AS gain FROM o GROUP BY ALL""")

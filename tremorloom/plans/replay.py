@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremorloom.functions import geo, kernels
+from tremorloom.functions import geo, kernels, special
 from tremorloom.operators import features as feats
+from tremorloom.operators import fields, replay
 from tremorloom.operators import grid as grids
-from tremorloom.operators import replay
 from tremorloom.plans import point_process as pp
 from tremorloom.plans.registry import query
 from tremorloom.session import cut
@@ -227,3 +227,81 @@ def _ablation(name: str):
 
 for _name in replay.ABLATIONS[1:]:
     _ablation(_name)
+
+
+_SHAPE = 4.0
+
+
+@query(
+    "bpt_overdue",
+    pp.CAT + pp._TRAIL + f""", ages AS (SELECT DISTINCT recency / 5.0::DOUBLE AS z FROM tr), sv(off, w) AS (VALUES {survival_nodes()})
+    , tail_ AS (SELECT z, sum(w * sqrt({_SHAPE / (2 * np.pi)!r}::DOUBLE / (z + off) ** 3) * exp(-{_SHAPE}::DOUBLE * (z + off - 1) ** 2 / (2 * (z + off)))) AS s FROM ages CROSS JOIN sv GROUP BY ALL)
+    SELECT cell, day, round(greatest(0.5::DOUBLE * ln({_SHAPE / (2 * np.pi)!r}::DOUBLE / z ** 3) - {_SHAPE}::DOUBLE * (z - 1) ** 2 / (2 * z) - ln(s), 0), 6) AS score FROM tr JOIN tail_ ON z = recency / 5.0::DOUBLE""",
+)
+def bpt_overdue(spark, sf_dir):
+    """How overdue every cell is on every day, by the days since its last event in units of five."""
+    rows = feats.recency(feats.spine(pp.cat(spark, sf_dir), pp.grid(spark)), 365)
+    return rows.select("cell", "day", pp.r(special.overdue_column(F.col("recency") / 5.0, _SHAPE**-0.5), 6).alias("score"))
+
+
+_NODES = ",".join(f"({x!r}::DOUBLE,{w!r}::DOUBLE)" for x, w in zip(*map(lambda a: a.tolist(), np.polynomial.legendre.leggauss(24)), strict=True))
+
+
+@query(
+    "temporal_integral",
+    pp.CAT + f""", nodes(x, w) AS (VALUES {_NODES}), gaps AS (SELECT event_id, (us - lag(us) OVER (PARTITION BY cell ORDER BY us, event_id)) / 86400000000.0::DOUBLE AS gap FROM cat)
+    , ends AS (SELECT event_id, ln(0.01::DOUBLE) AS lo, ln(gap + 0.01::DOUBLE) AS hi FROM gaps WHERE gap IS NOT NULL)
+    SELECT event_id, round(sum((hi - lo) / 2 * w * exp(-(exp((hi - lo) / 2 * x + (hi + lo) / 2) - 0.01::DOUBLE) / 100 - 0.1::DOUBLE * ((hi - lo) / 2 * x + (hi + lo) / 2))), 7) AS integral FROM ends CROSS JOIN nodes GROUP BY ALL""",
+)
+def temporal_integral(spark, sf_dir):
+    """The kernel's mass between every event and the one before it in its cell."""
+    w = Window.partitionBy("cell").orderBy("us", "event_id")
+    gap = (F.col("us") - F.lag("us").over(w)) / 86_400_000_000
+    rows = pp.cat(spark, sf_dir).select("event_id", gap.alias("gap")).where("gap IS NOT NULL")
+    return rows.select("event_id", pp.r(special.temporal_integral_column(F.lit(0.0), F.col("gap"), pp.P), 7).alias("integral"))
+
+
+# ---------------------------------------------------------------- fields
+
+_SMOOTH, _TOLERANCE = 4.0, 1e-6
+
+
+def count_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Neighbouring cells tied by the root of their counts' product, and every cell's excess over the mean count."""
+    n = pp.grid(spark).select("cell").join(pp.cat(spark, sf_dir).groupBy("cell").agg(F.count("*").alias("n")), "cell", "left").fillna(0, ["n"])
+    e = grids.edges(pp.grid(spark))
+    ends = e.join(n.withColumnRenamed("n", "a"), "cell").join(n.select(F.col("cell").alias("neighbour"), F.col("n").alias("b")), "neighbour")
+    graph = ends.select(F.col("cell").alias("src"), F.col("neighbour").alias("dst"), F.sqrt(F.col("a") * F.col("b")).alias("weight"))
+    mean = n.agg(F.avg("n").alias("mean"))
+    return graph, n.join(F.broadcast(mean)).select(F.lit(0).alias("particle"), F.col("cell").alias("node"), (F.col("n") - F.col("mean")).alias("value"))
+
+
+def _field_sql() -> str:
+    """The Chebyshev terms one after the other, each from the two before it."""
+    c = fields.coefficients(_SMOOTH, _TOLERANCE)
+    step = "SELECT p.node, {f} * -coalesce(sum(h.weight * q.v), 0) - {b} AS v FROM t{k} p LEFT JOIN hat h ON h.src = p.node LEFT JOIN t{k} q ON q.node = h.dst {o} GROUP BY p.node"
+    terms = [", t0 AS MATERIALIZED (SELECT cell AS node, n - avg(n) OVER () AS v FROM cnt)"]
+    for k in range(1, len(c)):
+        older = "" if k == 1 else f"JOIN (SELECT node, v AS old FROM t{k - 2}) o ON o.node = p.node"
+        terms.append(f", t{k} AS MATERIALIZED ({step.format(f=1 if k == 1 else 2, b='0' if k == 1 else 'o.old', k=k - 1, o=older)}{'' if k == 1 else ', o.old'})")
+    return "".join(terms) + " SELECT node, round(sum(v), 4) + 0.0 AS field FROM (" + " UNION ALL ".join(f"SELECT node, {x!r}::DOUBLE * v AS v FROM t{k}" for k, x in enumerate(c)) + ") GROUP BY ALL"
+
+
+@query(
+    "graph_field",
+    pp.CAT + pp._BG + """, tie AS (SELECT e.cell AS src, e.neighbour AS dst, sqrt(a.n * b.n) AS weight FROM edges e JOIN cnt a ON a.cell = e.cell JOIN cnt b ON b.cell = e.neighbour WHERE a.n * b.n > 0)
+    , deg AS (SELECT src, sum(weight) AS d FROM tie GROUP BY ALL), hat AS MATERIALIZED (SELECT t.src, t.dst, weight / sqrt(a.d * b.d) AS weight FROM tie t JOIN deg a ON a.src = t.src JOIN deg b ON b.src = t.dst)""" + _field_sql(),
+)
+def graph_field(spark, sf_dir):
+    """The inverse root of the graph's precision applied to the cells' excess counts."""
+    graph, values = count_graph(spark, sf_dir)
+    return fields.inverse_root(values, graph, _SMOOTH, _TOLERANCE).select("node", pp.r("value", 4).alias("field"))
+
+
+@query("field_ensemble")
+def field_ensemble(spark, sf_dir):
+    """Sixteen conditioned draws over the cells; even particles admit the cells without every third column, odd ones all."""
+    graph, values = count_graph(spark, sf_dir)
+    nodes = values.select("node")
+    masks = nodes.withColumn("particle", F.explode(F.sequence(F.lit(0), F.lit(15)))).where("particle % 2 = 1 OR node % 3 <> 0")
+    return fields.ensemble(nodes, graph, 16, _SMOOTH, 3, _TOLERANCE, masks)
