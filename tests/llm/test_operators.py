@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 import re
 import wave
@@ -472,3 +473,28 @@ def test_lines_recall_by_length_words_and_similarity(spark):
             met[len(x) if i < len(pairs) - 60 else "blob", len(a & b) >= 0.9 * len(a | b)].append(bool(keys[2 * i] & keys[2 * i + 1]))
     assert all(np.mean(v) >= 0.95 for v in met.values() if len(v) >= 20) and sum(map(len, met.values())) > 700
     assert np.mean([v for vs in met.values() for v in vs]) > 0.985 and len(met["blob", True]) == 60
+
+
+def test_fingerprint_likeness_is_the_cosine_of_trigram_counts():
+    """By brute force over signed counts, also where one trigram is there tens of thousands of times."""
+    rng = random.Random(6)
+    vocabulary = ["x", "yy", "zeta", "eta", "é", "word"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (1, 2, 5, 60, 61, 400)] + ["x " * 32_700, "x " * 32_790, "x " * 70_000 + "y", "", "a b c\nd e f"]
+    v = fingerprints.vectors(texts)
+    counts = np.zeros((len(texts), fingerprints.SKETCH))
+    for i, t in enumerate(texts):
+        for paragraph in t.encode().split(b"\n"):
+            data = np.frombuffer(paragraph, np.uint8)
+            grams, _ = fingerprints.words(data, np.array([0, len(data)])).grams(fingerprints.GRAM, short=True)
+            for g in grams.tolist():
+                counts[i, g % fingerprints.SKETCH] += 1 if g >> 63 else -1
+    assert v[1].max() > 1 << 16
+    pick = lambda at: tuple(x[at] for x in v)
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            got = fingerprints.likeness(pick([i]), pick([j]))[0]
+            norm = math.sqrt((counts[i] ** 2).sum() * (counts[j] ** 2).sum())
+            assert abs(got - (1.0 if i == j else max(0.0, counts[i] @ counts[j] / norm) if norm else 0.0)) < 1e-12
+    assert fingerprints.likeness(pick([6]), pick([7]))[0] > 0.999
+    back = fingerprints.read(fingerprints.written(*v))
+    assert all((a == b).all() for a, b in zip(v, back, strict=True))

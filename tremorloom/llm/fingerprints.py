@@ -1,6 +1,6 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
-Every paragraph hashes to a wide vector: DENSE lanes modulo 2^64 from a cryptographic digest, SKETCH lanes modulo 2^16 with
+Every paragraph hashes to a wide vector: DENSE lanes modulo 2^64 from a cryptographic digest, SKETCH lanes modulo 2^32 with
 the signed counts of its hashed word trigrams, and one lane that counts paragraphs modulo 2^32. A document's fingerprint is
 the sum of its paragraphs' vectors, lane by lane. So the order of paragraphs does not matter, a paragraph is added or taken
 away by adding or subtracting its vector, and equal texts have equal fingerprints. The cosine of the sketch lanes estimates
@@ -26,7 +26,9 @@ from tremorloom.llm.common import STEP_BYTES, partitions, text_steps, words
 DENSE = 8
 SKETCH = 256
 GRAM = 3
-_HEX = DENSE * 16 + SKETCH * 4 + 8
+_HEX = DENSE * 16 + SKETCH * 8 + 8
+#: Lanes of the sketch and of the count are kept modulo this; texts of 2^31 equal trigrams would be needed to wrap one.
+_MASK = (1 << 32) - 1
 #: Ranges of doc_id for each shuffle partition, and most of them in all.
 RANGES, MOST_RANGES = 8, 4096
 
@@ -49,18 +51,18 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         where = np.repeat(owner, np.diff(first)) * SKETCH + (grams & np.uint64(SKETCH - 1)).astype(np.int64)
         sign = np.where(grams >> np.uint64(63), 1.0, -1.0)
         sketch[at:to] = np.bincount(where, sign, (to - at) * SKETCH)[: (to - at) * SKETCH].reshape(-1, SKETCH).astype(np.int64)
-    return dense, sketch & 0xFFFF, count & 0xFFFFFFFF
+    return dense, sketch & _MASK, count & _MASK
 
 
 def written(dense: np.ndarray, sketch: np.ndarray, count: np.ndarray) -> list[str]:
-    a, b, c = dense.astype(">u8"), sketch.astype(">u2"), count.astype(">u4")
+    a, b, c = dense.astype(">u8"), sketch.astype(">u4"), count.astype(">u4")
     return [a[i].tobytes().hex() + b[i].tobytes().hex() + c[i : i + 1].tobytes().hex() for i in range(len(a))]
 
 
 def read(fingerprints: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(bytes.fromhex("".join(fingerprints)), np.uint8).reshape(-1, _HEX // 2)
     dense = np.ascontiguousarray(raw[:, : DENSE * 8]).view(">u8").astype(np.uint64)
-    sketch = np.ascontiguousarray(raw[:, DENSE * 8 : DENSE * 8 + SKETCH * 2]).view(">u2").astype(np.int64)
+    sketch = np.ascontiguousarray(raw[:, DENSE * 8 : DENSE * 8 + SKETCH * 4]).view(">u4").astype(np.int64)
     return dense, sketch, np.ascontiguousarray(raw[:, -4:]).view(">u4").astype(np.int64)[:, 0]
 
 
@@ -68,12 +70,12 @@ def combined(left: list[str], right: list[str], sign: int = 1) -> list[str]:
     """Fingerprints of left's paragraphs with right's added (sign 1) or taken away (sign -1)."""
     (a, b, c), (x, y, z) = read(left), read(right)
     with np.errstate(over="ignore"):
-        return written(a + x if sign > 0 else a - x, (b + sign * y) & 0xFFFF, (c + sign * z) & 0xFFFFFFFF)
+        return written(a + x if sign > 0 else a - x, (b + sign * y) & _MASK, (c + sign * z) & _MASK)
 
 
 def likeness(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) -> np.ndarray:
     """0 to 1, row by row: 1 for equal fingerprints, else the cosine of the centred sketches, not below 0."""
-    a, b = (np.where(s[1] >= 1 << 15, s[1] - (1 << 16), s[1]).astype(np.float64) for s in (left, right))
+    a, b = (np.where(s[1] >= 1 << 31, s[1] - (1 << 32), s[1]).astype(np.float64) for s in (left, right))
     norms = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
     cosine = np.divide((a * b).sum(axis=1), norms, out=np.zeros(len(a)), where=norms > 0)
     same = (left[0] == right[0]).all(axis=1) & (left[1] == right[1]).all(axis=1) & (left[2] == right[2])
