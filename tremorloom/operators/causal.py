@@ -55,15 +55,41 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, "a", "ap", "b", "bp")
 
 
-def prior_sums(cat: DataFrame, p: Parameters, reference: float, block_days: int = 5, horizon_days: int | None = None, ties: bool = False, since_day: int | None = None, plane: bool = False) -> DataFrame:
+def kernel_horizon(mass: float, p: Parameters, tolerance: float) -> int:
+    """Days after which sources of so much mass in all add less than the tolerance to any rate, by the tapered kernel."""
+    if tolerance <= 0:
+        raise ValueError("the tolerance must be positive")
+    low, high = 0.0, 1.0
+    late = lambda t: mass * math.exp(-t / p.tau) * (t + p.c) ** -(1 + p.omega) > tolerance
+    while late(high):
+        low, high = high, high * 2
+    while high - low > 0.5:
+        low, high = ((low + high) / 2, high) if late((low + high) / 2) else (low, (low + high) / 2)
+    return math.ceil(high)
+
+
+def source_mass(cat: DataFrame, p: Parameters, reference: float, plane: bool = False) -> float:
+    """The sum over all sources of what each can add to a rate at most, times the time kernel: at its own place, or over the plane."""
+    excess = F.col("mag") - reference
+    scale = math.log(p.d) + p.gamma * excess
+    at_place = p.k0 * F.exp(p.a * excess - (1 + p.rho) * scale)
+    over_plane = p.k0 * math.pi / p.rho * F.exp(p.a * excess - p.rho * scale)
+    return cat.agg(F.sum(F.greatest(at_place, over_plane) if plane else at_place)).first()[0] or 0.0
+
+
+def prior_sums(cat: DataFrame, p: Parameters, reference: float, block_days: int = 5, horizon_days: int | None = None, ties: bool = False, since_day: int | None = None, plane: bool = False, tolerance: float | None = None) -> DataFrame:
     """(event_id, n_prior, triggered, frozen, temporal): sums over the earlier sources of each event.
 
     n_prior counts them, triggered is the rate that they add at the event's place, frozen the part of it from before the event's
     day, and temporal, with plane, the rate that they add over the whole plane. Equal times do not trigger each other; with ties an event
     listed earlier at the same time does (needs column seq). A source without magnitude counts and adds nothing. With since_day,
     only events from that day on are targets, so an appended day meets the history once. Sources farther back than horizon_days
-    and a block are left out.
+    and a block are counted and add nothing. A tolerance sets the horizon so that no sum lacks more than it: work and shuffle
+    then grow with the events, not with their square.
     """
+    if tolerance is not None:
+        bound = kernel_horizon(source_mass(cat, p, reference, plane), p, tolerance)
+        horizon_days = bound if horizon_days is None else min(horizon_days, bound)
     order = "seq" if ties else "us"
     block = F.floor(F.col("day") / block_days).cast("int")
     rows = cat.select("event_id", "us", F.col(order).alias("o"), "lat", "lon", "mag", "day", block.alias("block"))
@@ -124,7 +150,14 @@ def prior_sums(cat: DataFrame, p: Parameters, reference: float, block_days: int
 
     key = ["a", "ap", "b", "bp"]
     sums = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(pairs, "event_id long, n long, triggered double, frozen double, temporal double")
-    return sums.groupBy("event_id").agg(F.sum("n").alias("n_prior"), *[F.sum(c).alias(c) for c in ("triggered", "frozen", "temporal")])
+    found = sums.groupBy("event_id").agg(F.sum("n").alias("n_prior"), *[F.sum(c).alias(c) for c in ("triggered", "frozen", "temporal")])
+    if reach >= extent[1] - extent[0]:
+        return found
+    # sources of the blocks before the reach are all earlier
+    blocks = rows.groupBy("block").agg(F.count("*").alias("n"))  # a row a block
+    before = blocks.alias("t").join(blocks.alias("s"), F.col("s.block") < F.col("t.block") - reach).groupBy(F.col("t.block").alias("block")).agg(F.sum("s.n").alias("far"))
+    far = rows.select("event_id", "block").join(F.broadcast(before), "block")
+    return found.join(far.drop("block"), "event_id", "left").withColumn("n_prior", F.col("n_prior") + F.coalesce("far", F.lit(0))).drop("far")
 
 
 def prior_intensity(cat: DataFrame, p: Parameters, reference: float, **options) -> DataFrame:
@@ -169,6 +202,27 @@ def compensator(cat: DataFrame, intervals: DataFrame, p: Parameters, reference:
     return found.groupBy("id").agg(F.sum("from_history").alias("from_history"), F.sum("from_inside").alias("from_inside"))
 
 
+def target_terms(cat: DataFrame, p: Parameters, reference: float, area: float, targets: DataFrame, start_us: int, tolerance: float | None = None) -> DataFrame:
+    """(event_id, point, temporal, corrected, strict) of each target (event_id, us, day): its intensities and its own interval.
+
+    point and temporal are the rates at its place and over the plane just before it, corrected the expected number since the
+    target before it, or since start_us for the first; strict is the same but for the first, which knows no source. Targets at
+    one time share an interval of no length, all but one of them.
+    """
+    rates = prior_sums(cat, p, reference, plane=True, tolerance=tolerance).join(targets.select("event_id"), "event_id", "left_semi")
+    order = Window.partitionBy("day").orderBy("us", "event_id")
+    last = targets.groupBy("day").agg(F.max("us").alias("last"))
+    ends = last.select("day", F.max("last").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)).alias("eve"))  # a row a day
+    timed = targets.withColumn("prev", F.lag("us").over(order)).join(ends, "day").select("event_id", "us", F.coalesce("prev", "eve").alias("prev"))
+    intervals = timed.select(F.col("event_id").alias("id"), F.coalesce("prev", F.lit(start_us)).alias("start_us"), F.col("us").alias("end_us"), F.col("prev").isNull().alias("first"))
+    masses = compensator(cat, intervals.drop("first"), p, reference)
+    own = intervals.join(masses, "id", "left").fillna(0.0, ["from_history", "from_inside"])
+    background = p.mu * area * (F.col("end_us") - F.col("start_us")) / DAY_US
+    corrected = background + F.col("from_history") + F.col("from_inside")
+    terms = own.select(F.col("id").alias("event_id"), corrected.alias("corrected"), F.when(F.col("first"), background).otherwise(corrected).alias("strict"))
+    return rates.join(terms, "event_id").select("event_id", (p.mu + F.col("triggered")).alias("point"), (p.mu * area + F.col("temporal")).alias("temporal"), "corrected", "strict")
+
+
 def daily_scores(cat: DataFrame, first_day: int, end_day: int, p: Parameters, reference: float, area: float, poisson_mu: float) -> DataFrame:
     """A row for each day from first_day on, before end_day: log likelihoods of a frozen, a sequential and a Poisson lane.
 

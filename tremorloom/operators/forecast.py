@@ -15,6 +15,19 @@ def softmax_tilt(rows: DataFrame, keys: list[str], background: str, margin: str,
     return rows.withColumn("_t", tilted).withColumn(out, F.col("_t") * F.sum(background).over(w) / F.sum("_t").over(w)).drop("_t")
 
 
+def composed(rows: DataFrame, keys: list[str], total: str, background: str, margin: str, sensitivity: float, out: str = "composed") -> DataFrame:
+    """total with its background alone redistributed within keys by the margin; the triggered rest stays where it is."""
+    tilted = softmax_tilt(rows, keys, background, margin, sensitivity, "_a")
+    return tilted.withColumn(out, kernels.triggered(F.col(total), F.col(background)) + F.col("_a")).drop("_a")
+
+
+def checked_total(rows: DataFrame, keys: list[str], before: str, after: str, tolerance: float = 1e-9) -> DataFrame:
+    """rows, if the sums of two columns agree within keys to a relative tolerance; else the query fails."""
+    w = Window.partitionBy(*keys)
+    apart = F.abs(F.sum(after).over(w) - F.sum(before).over(w)) > tolerance * F.greatest(F.abs(F.sum(before).over(w)), F.lit(1.0))
+    return rows.withColumn("_ok", F.when(apart, F.raise_error(F.lit(f"totals of {before} and {after} differ")).cast("double")).otherwise(F.col(after))).withColumn(after, F.col("_ok")).drop("_ok")
+
+
 def bounded_mixture(rows: DataFrame, keys: list[str], background: str, score: str, fraction: float, sensitivity: float, cap: float = 4.0, out: str = "mixed") -> DataFrame:
     """A share of the background tilted by the score with a capped log tilt; the background itself where nothing tilts."""
     w = Window.partitionBy(*keys)

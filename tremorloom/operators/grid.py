@@ -55,6 +55,18 @@ def latent(grid: DataFrame, size: int) -> DataFrame:
     return keyed.join(coarse, ["lx", "ly"]).select("cell", "latent", "area")
 
 
+def bounds(cells: DataFrame, size: float) -> DataFrame:
+    """One row (west, east, south, north) around cells (x, y) of a size, whose origins are x * size and y * size."""
+    return cells.agg((F.min("x") * size).alias("west"), ((F.max("x") + 1) * size).alias("east"), (F.min("y") * size).alias("south"), ((F.max("y") + 1) * size).alias("north"))
+
+
+def in_cells(points: DataFrame, cells: DataFrame, size: float, nudge: float = 1e-9) -> DataFrame:
+    """points (lon, lat, ...) that lie in one of the cells (x, y), lower edges included: the mask of a grid with holes."""
+    keyed = points.withColumns({"x_": geo.left_closed(F.col("lon") / size, nudge), "y_": geo.left_closed(F.col("lat") / size, nudge)})
+    mask = cells.select(F.col("x").cast("long").alias("x_"), F.col("y").cast("long").alias("y_")).distinct()
+    return keyed.join(mask, ["x_", "y_"], "left_semi").drop("x_", "y_")
+
+
 def nearest(points: DataFrame, sections: DataFrame, k: int) -> DataFrame:
     """The k nearest sections of each point, ties by section id, exactly and for any number of sections.
 

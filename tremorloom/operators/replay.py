@@ -177,6 +177,48 @@ def adjusted_cells(scores: DataFrame, geometry: DataFrame, cells: DataFrame, day
     return forecast.bounded_mixture(rows, ["member", "day"], "mass", "score", fraction, sensitivity, cap)
 
 
+@dataclass(frozen=True)
+class Emergence:
+    """Memory of the compensated sums, their variance floor and threshold, the neighbours' share, agreement and tilt."""
+
+    half_life: float
+    variance_floor: float
+    threshold: float
+    diffusion: float
+    consensus: float
+    fraction: float
+    sensitivity: float
+
+
+def emergence_scores(expected: DataFrame, events: DataFrame, placed: DataFrame, graph: DataFrame, first: int, end: int, rule: Emergence) -> DataFrame:
+    """(member, branch, section, day, score) before each day: excess over the expected mass that a section and its graph both show.
+
+    The excess is a one-sided sum of observed less expected mass over the root of its variance; the score the geometric mean of
+    what it and its mix with the neighbours' are above the threshold.
+    """
+    met = events.select("event_id", "day", "share").join(placed, "event_id")
+    seen = met.groupBy("branch", "section", "day").agg(F.sum(F.col("share") * F.col("p")).alias("observed"))
+    spine = expected.withColumn("member", F.lit(0).cast("long")).withColumn("day", F.explode(F.sequence(F.lit(first), F.lit(end - 1))))
+    rows = spine.join(seen, ["branch", "section", "day"], "left").select(*KEYS, "day", "mass", F.coalesce("observed", F.lit(0.0)).alias("observed"))
+    decay = 0.5 ** (1 / rule.half_life)
+    steps = {"excess": Step(F.lit(decay), F.col("observed") - F.col("mass"), F.lit(0.0), 0.0), "variance": Step(F.lit(decay * decay), F.col("mass"), F.lit(0.0))}
+    standard = scanned(rows, KEYS, "day", steps).select(*KEYS, "day", kernels.standardized_excess(F.col("excess"), F.col("variance"), rule.variance_floor).alias("z"))
+    standard = standard.join(events.select("day").distinct(), "day", "left_semi")
+    above = lambda v: F.greatest(v - rule.threshold, F.lit(0.0))
+    return _with_neighbours(standard, graph, ["z"]).select(*KEYS, "day", F.sqrt(above(F.col("z")) * above(_mixed("z", rule.diffusion))).alias("score"))
+
+
+def emerged(expected: DataFrame, events: DataFrame, placed: DataFrame, graph: DataFrame, geometry: DataFrame, cells: DataFrame, first: int, end: int, rule: Emergence, branches: int = 1, cap: float = 4.0) -> DataFrame:
+    """Events (event_id, day, cell, rate, challenger, gain) under a background tilted to where excess emerges."""
+    targets = events.where((F.col("day") >= first) & (F.col("day") < end))
+    scores = cut(emergence_scores(expected, targets, placed, graph, first, end, rule))
+    adjusted = adjusted_cells(scores, geometry, cells, targets, branches, rule.consensus, rule.fraction, rule.sensitivity, cap)
+    added = adjusted.select("day", "cell", ((F.col("mixed") - F.col("mass")) / F.col("area")).alias("rate"))
+    met = forecast.rate_of(targets.withColumnRenamed("rate", "base"), added, ["day", "cell"], "added")
+    rated = met.select("event_id", "day", "cell", F.col("base").alias("rate"), (F.col("base") + F.col("added")).alias("challenger"))
+    return rated.withColumn("gain", kernels.information_gain(F.col("challenger"), F.col("rate")))
+
+
 def evaluated(
     expected: DataFrame,
     events: DataFrame,

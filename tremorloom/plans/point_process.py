@@ -17,6 +17,8 @@ from tremorloom.session import table
 #: Triggering parameters of the queries, with the reference magnitude and area.
 P = kernels.Parameters(mu=1e-3, k0=2e-3, a=1.1, c=0.01, omega=0.1, tau=100.0, d=0.2, gamma=0.8, rho=0.6)
 M0, DAYS, FIRST, LAST = 0.0, 30, 19723, 19752
+#: What causal sums may lack at most; it sets how far back they look.
+TOLERANCE = 1e-10
 BETA = 2.1471442086213064
 
 CAT = """
@@ -208,17 +210,17 @@ def _prior_sql(order: str) -> str:
 
 @query("prior_intensity_by_ts", CAT + _prior_sql("us"))
 def prior_intensity_by_ts(spark, sf_dir):
-    return causal.prior_intensity(cat(spark, sf_dir), P, M0).select("event_id", "n_prior", r("triggered").alias("triggered"))
+    return causal.prior_intensity(cat(spark, sf_dir), P, M0, tolerance=TOLERANCE).select("event_id", "n_prior", r("triggered").alias("triggered"))
 
 
 @query("prior_intensity_by_seq", CAT + _prior_sql("seq"))
 def prior_intensity_by_seq(spark, sf_dir):
-    return causal.prior_intensity(causal.sequenced(cat(spark, sf_dir)), P, M0, ties=True).select("event_id", "n_prior", r("triggered").alias("triggered"))
+    return causal.prior_intensity(causal.sequenced(cat(spark, sf_dir)), P, M0, ties=True, tolerance=TOLERANCE).select("event_id", "n_prior", r("triggered").alias("triggered"))
 
 
 @query("incremental_intensity", "SELECT * FROM (" + CAT + _prior_sql("us") + ") WHERE event_id IN (SELECT event_id FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-26')")
 def incremental_intensity(spark, sf_dir):
-    return causal.incremental_intensity(cat(spark, sf_dir), FIRST + 25, P, M0).select("event_id", "n_prior", r("triggered").alias("triggered"))
+    return causal.incremental_intensity(cat(spark, sf_dir), FIRST + 25, P, M0, tolerance=TOLERANCE).select("event_id", "n_prior", r("triggered").alias("triggered"))
 
 
 @query(
@@ -229,10 +231,30 @@ def incremental_intensity(spark, sf_dir):
       FROM cat t LEFT JOIN cat h ON h.us < t.us GROUP BY ALL""",
 )
 def temporal_intensity(spark, sf_dir):
-    sums = causal.prior_sums(cat(spark, sf_dir), P, M0, plane=True)
+    sums = causal.prior_sums(cat(spark, sf_dir), P, M0, plane=True, tolerance=TOLERANCE)
     return sums.select("event_id", "n_prior", r(P.mu * AREA + F.col("temporal"), 6).alias("intensity"))
 
 
+_TERMS = f"""nodes(x, w) AS (VALUES {",".join(f"({x!r}::DOUBLE,{w!r}::DOUBLE)" for x, w in zip(*map(lambda a: a.tolist(), np.polynomial.legendre.leggauss(20)), strict=True))})
+  , tg AS (SELECT event_id, us, coalesce(lag(us) OVER (ORDER BY us, event_id), {FIRST} * 86400000000) AS since, row_number() OVER (ORDER BY us, event_id) = 1 AS first FROM cat WHERE mag >= 2.3)
+  , pr AS (SELECT t.event_id, sum(k * exp(-dt / 100) * pow(dt + 0.01::DOUBLE, -1.1::DOUBLE) * pow(dx * dx + dy * dy + sc, -1.6::DOUBLE)) AS point, sum(k * exp(-dt / 100) * pow(dt + 0.01::DOUBLE, -1.1::DOUBLE) * pi() / 0.6::DOUBLE * pow(sc, -0.6::DOUBLE)) AS temporal
+    FROM (SELECT t.event_id, (t.us - h.us) / 86400000000.0::DOUBLE AS dt, c.lon - h.lon AS dx, c.lat - h.lat AS dy, 2e-3::DOUBLE * exp(1.1::DOUBLE * h.mag) AS k, 0.2::DOUBLE * exp(0.8::DOUBLE * h.mag) AS sc FROM tg t JOIN cat c USING (event_id) JOIN cat h ON h.us < t.us) t GROUP BY ALL)
+  , en AS (SELECT t.event_id, 2e-3::DOUBLE * exp(1.1::DOUBLE * h.mag) * pi() / 0.6::DOUBLE * pow(0.2::DOUBLE * exp(0.8::DOUBLE * h.mag), -0.6::DOUBLE) AS mass, ln(greatest(t.since - h.us, 0) / 86400000000.0::DOUBLE + 0.01::DOUBLE) AS lo, ln((t.us - h.us) / 86400000000.0::DOUBLE + 0.01::DOUBLE) AS hi FROM tg t JOIN cat h ON h.us < t.us)
+  , it AS (SELECT event_id, sum(mass * (hi - lo) / 2 * w * exp(-(exp((hi - lo) / 2 * x + (hi + lo) / 2) - 0.01::DOUBLE) / 100 - 0.1::DOUBLE * ((hi - lo) / 2 * x + (hi + lo) / 2))) AS v FROM en CROSS JOIN nodes GROUP BY ALL)"""
+
+
+@query(
+    "target_terms",
+    CAT + ", " + _TERMS + """ SELECT t.event_id, round(1e-3::DOUBLE + coalesce(point, 0), 6) AS point, round(0.1::DOUBLE + coalesce(temporal, 0), 5) AS temporal, round(0.1::DOUBLE * (us - since) / 86400000000.0::DOUBLE + coalesce(v, 0), 5) AS corrected,
+    round(0.1::DOUBLE * (us - since) / 86400000000.0::DOUBLE + CASE WHEN first THEN 0 ELSE coalesce(v, 0) END, 5) AS strict FROM tg t LEFT JOIN pr USING (event_id) LEFT JOIN it USING (event_id)""",
+)
+def target_terms(spark, sf_dir):
+    """Both intensities of every strong event and the expected number of its own interval."""
+    c = cat(spark, sf_dir)
+    found = causal.target_terms(c, P, M0, AREA, c.where("mag >= 2.3").select("event_id", "us", "day"), FIRST * 86_400_000_000, TOLERANCE)
+    return found.select("event_id", r("point", 6).alias("point"), *[r(x, 5).alias(x) for x in ("temporal", "corrected", "strict")])
+
+
 #: Area of the 10 by 10 grid in its own units, and the rate of the Poisson lane.
 AREA, POISSON_MU = 100.0, 2e-2
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tremorloom.functions import geo, kernels, special
 from tremorloom.operators import features as feats
-from tremorloom.operators import fields, replay
+from tremorloom.operators import fields, forecast, replay
 from tremorloom.operators import grid as grids
 from tremorloom.plans import point_process as pp
 from tremorloom.plans.registry import query
@@ -139,15 +139,21 @@ def _sql(clock: replay.Clock, frailty: replay.Frailty | None, phase: replay.Phas
 , nd AS (SELECT c.member, c.branch, g.src AS section, c.day, sum(g.weight * c.debt) AS near_debt FROM graph_ g JOIN lo c ON c.branch = g.branch AND c.section = g.dst GROUP BY ALL)
 , ph AS (SELECT l.*, {1 - mix!r}::DOUBLE * debt + {mix}::DOUBLE * sqrt(debt * coalesce(near_debt, debt)) AS phase FROM lo l LEFT JOIN nd USING (member, branch, section, day))
 , sc AS (SELECT member, branch, section, day, {base} + {weight}::DOUBLE * phase AS score, phase FROM ph)
+{_scored_sql(clock.consensus, fraction, sensitivity, branches)}
+, act AS (SELECT member, day, max(score) > 0 AS active, max(phase) > 0 AS phase_active FROM fl LEFT JOIN (SELECT member, day, max(phase) AS phase FROM sc GROUP BY ALL) USING (member, day) GROUP BY ALL)
+"""
+
+
+def _scored_sql(consensus: float, fraction: float, sensitivity: float, branches: int) -> str:
+    """CTEs from bs (branches' scores of cells) to rated (events with both rates)."""
+    return f"""
 , bs AS (SELECT member, branch, day, cell, sum(p * score) AS s FROM sc JOIN geo_ USING (branch, section) GROUP BY ALL)
-, ag AS (SELECT member, day, cell, sum(s) / {branches} * least(greatest((count(*) FILTER (s > 0) / {branches}::DOUBLE - {clock.consensus}::DOUBLE) / {1 - clock.consensus!r}::DOUBLE, 0), 1) AS score FROM bs GROUP BY ALL)
+, ag AS (SELECT member, day, cell, sum(s) / {branches} * least(greatest((count(*) FILTER (s > 0) / {branches}::DOUBLE - {consensus}::DOUBLE) / {1 - consensus!r}::DOUBLE, 0), 1) AS score FROM bs GROUP BY ALL)
 , fl AS (SELECT member, day, cell, mass, area, coalesce(score, 0) AS score FROM cells_ CROSS JOIN td CROSS JOIN (SELECT DISTINCT member FROM ms) LEFT JOIN ag USING (member, day, cell))
 , ti AS (SELECT *, mass * exp(least({sensitivity}::DOUBLE * score, 4) - max(least({sensitivity}::DOUBLE * score, 4)) OVER d) AS t, max(abs(score)) OVER d AS top FROM fl WINDOW d AS (PARTITION BY member, day))
 , mx AS (SELECT *, CASE WHEN top = 0 THEN mass ELSE ({1 - fraction!r}::DOUBLE * mass / sum(mass) OVER d + {fraction}::DOUBLE * t / sum(t) OVER d) * sum(mass) OVER d END AS mixed FROM ti WINDOW d AS (PARTITION BY member, day))
 , ad AS (SELECT day, cell, avg((mixed - mass) / area) AS added FROM mx GROUP BY ALL)
-, rated AS (SELECT event_id, rate, rate + added AS challenger, ln(greatest(rate + added, 2.2250738585072014e-308::DOUBLE) / rate) AS gain FROM ev JOIN ad USING (day, cell))
-, act AS (SELECT member, day, max(score) > 0 AS active, max(phase) > 0 AS phase_active FROM fl LEFT JOIN (SELECT member, day, max(phase) AS phase FROM sc GROUP BY ALL) USING (member, day) GROUP BY ALL)
-"""
+, rated AS (SELECT event_id, rate, rate + added AS challenger, ln(greatest(rate + added, 2.2250738585072014e-308::DOUBLE) / rate) AS gain FROM ev JOIN ad USING (day, cell))"""
 
 
 _RATED = " SELECT event_id, round(rate, 7) AS rate, round(challenger, 7) AS challenger, round(gain, 7) AS gain FROM rated"
@@ -261,6 +267,41 @@ def temporal_integral(spark, sf_dir):
     return rows.select("event_id", pp.r(special.temporal_integral_column(F.lit(0.0), F.col("gap"), pp.P), 7).alias("integral"))
 
 
+RULE = replay.Emergence(half_life=6.0, variance_floor=1.0, threshold=0.2, diffusion=0.35, consensus=0.25, fraction=0.5, sensitivity=0.9)
+
+
+def _emergence_sql(rule: replay.Emergence, branches: int) -> str:
+    d = 0.5 ** (1 / rule.half_life)
+    return f"""
+, om AS (SELECT branch, section, day, sum(share * p) AS observed FROM ev JOIN placed_ USING (event_id) GROUP BY ALL)
+, st(member, branch, section, day, ex, va) AS (
+  SELECT 0, branch, section, {FIRST}, 0.0::DOUBLE, 0.0::DOUBLE FROM expected_ UNION ALL
+  SELECT s.member, s.branch, s.section, s.day + 1, greatest({d!r}::DOUBLE * s.ex + coalesce(o.observed, 0) - e.mass, 0), {d * d!r}::DOUBLE * s.va + e.mass
+  FROM st s JOIN expected_ e ON e.branch = s.branch AND e.section = s.section LEFT JOIN om o ON o.branch = s.branch AND o.section = s.section AND o.day = s.day WHERE s.day < {END - 1})
+, ms AS (SELECT 0 AS member), td AS (SELECT DISTINCT day FROM ev WHERE day >= {FIRST} AND day < {END})
+, cur AS (SELECT member, branch, section, day, ex / sqrt(va + {rule.variance_floor}::DOUBLE) AS z FROM st WHERE day IN (SELECT day FROM td))
+, nb AS (SELECT c.member, c.branch, g.src AS section, c.day, sum(g.weight * c.z) AS near_z FROM graph_ g JOIN cur c ON c.branch = g.branch AND c.section = g.dst GROUP BY ALL)
+, sc AS (SELECT member, branch, section, day, sqrt(greatest(z - {rule.threshold}::DOUBLE, 0) * greatest({1 - rule.diffusion!r}::DOUBLE * z + {rule.diffusion}::DOUBLE * coalesce(near_z, z) - {rule.threshold}::DOUBLE, 0)) AS score FROM cur LEFT JOIN nb USING (member, branch, section, day))
+{_scored_sql(rule.consensus, rule.fraction, rule.sensitivity, branches)}"""
+
+
+@query("replay_emergence", _BRANCHED + _emergence_sql(RULE, 2) + _RATED)
+def replay_emergence(spark, sf_dir):
+    """Rates under a background tilted to sections whose excess their neighbours share, over two branches."""
+    return _rated(replay.emerged(**branched(spark, sf_dir), first=FIRST, end=END, rule=RULE, branches=2))
+
+
+@query(
+    "composed_forecast",
+    pp.CAT + pp._BG + pp._MARGIN + """, c AS (SELECT cell, rate, rate + 0.01::DOUBLE * n AS total, rate * exp(0.4::DOUBLE * score - max(0.4::DOUBLE * score) OVER ()) AS t FROM mg) SELECT cell, round(total - rate + t * sum(rate) OVER () / sum(t) OVER (), 7) AS composed FROM c""",
+)
+def composed_forecast(spark, sf_dir):
+    """Rates whose background alone follows the margin; the totals are checked."""
+    rows = pp._margins(spark, sf_dir).withColumn("total", F.col("rate") + 0.01 * F.col("n"))
+    found = forecast.checked_total(forecast.composed(rows, ["all"], "total", "rate", "score", 0.4), ["all"], "total", "composed")
+    return found.select("cell", pp.r("composed", 7).alias("composed"))
+
+
 # ---------------------------------------------------------------- fields
 
 _SMOOTH, _TOLERANCE = 4.0, 1e-6

@@ -34,31 +34,52 @@ def event_text(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("event_id <> '' AND origin_time IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AND magnitude IS NOT NULL")
 
 
-def _implied(column: Column, places: int) -> Column:
-    return column.try_cast("int") / (10**places)
+def _implied(text: Column, places: int) -> Column:
+    """A number whose decimal point, if it is not written, stands before the last places."""
+    return F.when(F.contains(text, F.lit(".")), text.try_cast("double")).otherwise(text.try_cast("int") / (10**places))
 
 
-def _left_aligned(column: Column, most: float) -> Column:
-    """A whole number whose decimal point is left out: divided by ten until it is at most most."""
-    value = column.try_cast("double")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(6)), value, lambda v, _: F.when(v > most, v / 10).otherwise(v))
+def _left_aligned(text: Column, most: int) -> Column:
+    """A left-aligned number whose decimal point, if it is not written, stands where the number is first at most `most`."""
+    number = text.try_cast("int")
+    divided = F.coalesce(*[F.when(number / d <= most, number / d) for d in (1, 10, 100, 1000, 10_000)])
+    return F.when(F.contains(text, F.lit(".")), text.try_cast("double")).otherwise(divided)
 
 
-def fixed_width(spark: SparkSession, path: str, zone: str = "Asia/Tokyo") -> DataFrame:
-    """Hypocentres of fixed-width records of types J, U and I: local time to UTC, degrees and minutes to degrees."""
+def fixed_width(spark: SparkSession, path: str, zone: str = "+09:00") -> DataFrame:
+    """(origin_time, latitude, longitude, depth, magnitude, magtype, agency) of fixed-width records of types J, U and I.
+
+    Local times become UTC, degrees and minutes become degrees. A record is left out if its date does not exist, its seconds
+    reach 60, or a field that is needed is blank or no number.
+    """
     at = lambda a, n: F.trim(F.substring("value", a, n))
+    whole = lambda a, n: at(a, n).try_cast("int")
     lines = spark.read.text(path).where("length(value) >= 58 AND substring(value, 1, 1) IN ('J', 'U', 'I')")
-    seconds = _implied(F.rpad(at(14, 4), 4, "0"), 2)
-    local = F.try_to_timestamp(F.concat(at(2, 4), F.lit("-"), at(6, 2), F.lit("-"), at(8, 2), F.lit(" "), at(10, 2), F.lit(":"), at(12, 2), F.lit(":00")))
-    degrees = lambda whole, minutes: at(whole, 3 if whole == 22 else 4).try_cast("double") + _implied(F.rpad(at(minutes, 4), 4, "0"), 2) / 60
+    seconds = F.round(_left_aligned(at(14, 4), 60), 6)
+    minute = F.try_to_timestamp(F.format_string("%04d-%02d-%02d %02d:%02d:00", whole(2, 4), whole(6, 2), whole(8, 2), whole(10, 2), whole(12, 2)), F.lit("yyyy-MM-dd HH:mm:ss"))
+    local = F.when(seconds < 60, F.timestamp_micros(F.unix_micros(minute) + F.round(seconds * 1_000_000).cast("long")))
     rows = lines.select(
-        F.to_utc_timestamp(F.timestamp_micros(F.unix_micros(local) + (seconds * 1_000_000).cast("long")), zone).alias("origin_time"),
-        degrees(22, 25).alias("latitude"),
-        degrees(33, 37).alias("longitude"),
-        F.coalesce(_left_aligned(at(45, 5), 999.0), F.lit(None).cast("double")).alias("depth"),
+        F.to_utc_timestamp(local, zone).alias("origin_time"),
+        (whole(22, 3) + _left_aligned(at(25, 4), 60) / 60).alias("latitude"),
+        (whole(33, 4) + _left_aligned(at(37, 4), 60) / 60).alias("longitude"),
+        at(45, 5).try_cast("double").alias("depth"),
         _implied(at(53, 2), 1).alias("magnitude"),
+        at(55, 1).alias("magtype"),
+        at(1, 1).alias("agency"),
     )
-    return rows.where("origin_time IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AND magnitude IS NOT NULL")
+    return rows.where("origin_time IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AND depth IS NOT NULL AND magnitude IS NOT NULL")
+
+
+#: West, east, south, north and least target magnitude of the named regions; least feature magnitude, largest depth.
+REGIONS = {"A": (141.0, 145.0, 36.0, 42.0, 4.5), "B": (145.0, 154.0, 42.0, 47.0, 4.5), "C": (141.0, 154.0, 36.0, 47.0, 5.0)}
+FEATURE_MAGNITUDE, DEEPEST = 3.0, 100.0
+
+
+def in_named_region(rows: DataFrame, name: str, features: bool = False) -> DataFrame:
+    """Events of a named region: half-open in place, the depth at most DEEPEST, magnitudes from the target's or the features' on."""
+    west, east, south, north, least = REGIONS[name]
+    lon, lat = F.col("longitude"), F.col("latitude")
+    return rows.where((lon >= west) & (lon < east) & (lat >= south) & (lat < north) & (F.col("depth") <= DEEPEST) & (F.col("magnitude") >= (FEATURE_MAGNITUDE if features else least)))
 
 
 CATALOGUE_SCHEMA = "event_id string, origin_time timestamp, latitude double, longitude double, depth double, magnitude double"
