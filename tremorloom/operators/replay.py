@@ -90,22 +90,28 @@ def _observed(events: DataFrame, placed: DataFrame, clock: Clock, scale: float)
 def states(expected: DataFrame, events: DataFrame, placed: DataFrame, first: int, end: int, clock: Clock, tail: Tail, half_life: float, scale: float = 1.0, ages: DataFrame | None = None) -> DataFrame:
     """(member, branch, section, day, age, exposure, roots) before each day from first to end; the row at end is what a replay leaves.
 
-    ages: (member, branch, section, age) that members begin with; without it one member 0 begins at 0. Sections without an
-    age begin at 0.
+    ages: (member, branch, section, age) that members begin with, and with exposure and roots too if they go on from a stored
+    state; without it one member 0 begins at 0. Sections that it lacks begin at 0.
     """
     hazard = scale * kernels.expected_reset_weight(tail.beta, tail.reference, clock.full, clock.exponent)
-    members = F.array(F.lit(0).cast("long")) if ages is None else None
-    sections = expected.withColumn("member", F.explode(members)) if ages is None else expected.join(F.broadcast(ages.select(F.col("member").cast("long")).distinct()))
-    begun = sections.withColumn("start", F.lit(0.0)) if ages is None else sections.join(ages.withColumn("member", F.col("member").cast("long")), KEYS, "left").withColumn("start", F.coalesce("age", F.lit(0.0))).drop("age")
+    zero = F.lit(0.0)
+    if ages is None:
+        begun = expected.withColumns({"member": F.lit(0).cast("long"), "start": zero, "start_e": zero, "start_r": zero})
+    else:
+        stored = ages.withColumn("member", F.col("member").cast("long"))
+        members = stored.select("member").distinct()
+        own = stored.select(*KEYS, *[(F.col(c) if c in ages.columns else zero).alias(f"_{c}") for c in ("age", "exposure", "roots")])
+        begun = expected.join(F.broadcast(members)).join(own, KEYS, "left")  # a row a member
+        begun = begun.withColumns({"start": F.coalesce("_age", zero), "start_e": F.coalesce("_exposure", zero), "start_r": F.coalesce("_roots", zero)})
     spine = begun.withColumn("day", F.explode(F.sequence(F.lit(first), F.lit(end))))
     rows = spine.join(_observed(events, placed, clock, scale), ["branch", "section", "day"], "left")
     kept, r = F.exp(-F.coalesce("marked", F.lit(0.0))), F.lit(0.5 ** (1 / half_life))
     steps = {
         "age": Step(kept, hazard * F.col("mass") * kept, F.col("start")),
-        "exposure": Step(r, F.col("mass"), F.lit(0.0)),
-        "roots": Step(r, F.coalesce("observed", F.lit(0.0)), F.lit(0.0)),
+        "exposure": Step(r, F.col("mass"), F.col("start_e")),
+        "roots": Step(r, F.coalesce("observed", F.lit(0.0)), F.col("start_r")),
     }
-    return scanned(rows.select(*KEYS, "day", "mass", "start", "observed", "marked"), KEYS, "day", steps).select(*KEYS, "day", "age", "exposure", "roots")
+    return scanned(rows.select(*KEYS, "day", "mass", "start", "start_e", "start_r", "observed", "marked"), KEYS, "day", steps).select(*KEYS, "day", "age", "exposure", "roots")
 
 
 def advanced(state: DataFrame, expected: DataFrame, events: DataFrame, placed: DataFrame, clock: Clock, tail: Tail, half_life: float, scale: float = 1.0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tremorloom.functions import geo, kernels, special
 from tremorloom.operators import features as feats
-from tremorloom.operators import fields, forecast, replay
+from tremorloom.operators import causal, fields, forecast, prospective, replay
 from tremorloom.operators import grid as grids
 from tremorloom.plans import point_process as pp
 from tremorloom.plans.registry import query
@@ -346,3 +346,80 @@ def field_ensemble(spark, sf_dir):
     nodes = values.select("node")
     masks = nodes.withColumn("particle", F.explode(F.sequence(F.lit(0), F.lit(15)))).where("particle % 2 = 1 OR node % 3 <> 0")
     return fields.ensemble(nodes, graph, 16, _SMOOTH, 3, _TOLERANCE, masks)
+
+
+# ---------------------------------------------------------------- day-ahead work
+
+
+@query("carried_states", _REGIONAL + _ONE + _sql(CLOCK, FRAILTY, None) + f" SELECT section, round(age, 7) AS age, round(ex, 7) AS exposure, round(ro, 7) AS roots FROM st WHERE day = {END}")
+def carried_states(spark, sf_dir):
+    """The state after the whole month, from the stored state of its eleventh day and the days after it."""
+    i = regional(spark, sf_dir)
+    day = FIRST + 11
+    stored = replay.states(i["expected"], i["events"].where(F.col("day") < day), i["placed"], FIRST, day, CLOCK, TAIL, FRAILTY.half_life).where(F.col("day") == day)
+    stored = prospective.valid_state(cut(stored.select("branch", "section", "age", "exposure", "roots")), i["expected"])
+    found = prospective.carried(stored, i["expected"], i["events"].where(F.col("day") >= day), i["placed"], day, END, CLOCK, TAIL, FRAILTY.half_life)
+    return found.select("section", *[pp.r(c, 7).alias(c) for c in ("age", "exposure", "roots")])
+
+
+_NEXT = ", ahead AS (SELECT cell, mass, mixed, area FROM mx WHERE day = (SELECT max(day) FROM td))"
+
+
+def _ahead(spark, sf_dir, i):
+    before = replay.states(i["expected"], i["events"], i["placed"], FIRST, END - 1, CLOCK, TAIL, FRAILTY.half_life).where(F.col("day") == END - 1)
+    return cut(prospective.background_forecast(before, i["graph"], i["geometry"], i["cells"], END - 1, CLOCK, FRAILTY, branches=2))
+
+
+@query("forecast_artefacts", _BRANCHED + _ONE + _sql(CLOCK, FRAILTY, None, branches=2) + _NEXT + f" SELECT cell, round(5 * mass, 8) AS baseline, round(5 * mass + mixed - mass, 8) AS challenger, round(ln((5 * mass + mixed - mass) / (5 * mass)), 7) + 0.0 AS log_ratio FROM ahead WHERE (SELECT max(day) FROM td) = {END - 1}")
+def forecast_artefacts(spark, sf_dir):
+    """Both grids of the last day, made before it; the base forecast is five times the background."""
+    i = branched(spark, sf_dir)
+    base = i["cells"].select("cell", (5 * F.col("mass")).alias("rate"))
+    found = prospective.artefacts(base, _ahead(spark, sf_dir, i))
+    return found.select("cell", pp.r("baseline").alias("baseline"), pp.r("challenger").alias("challenger"), pp.r("log_ratio", 7).alias("log_ratio"))
+
+
+@query("day_ahead_scores", _BRANCHED + _ONE + _sql(CLOCK, FRAILTY, None, branches=2) + f" SELECT event_id, round(rate, 7) AS rate, round(challenger, 7) AS challenger, round(gain, 7) AS gain FROM rated WHERE event_id IN (SELECT event_id FROM ev WHERE day = {END - 1})")
+def day_ahead_scores(spark, sf_dir):
+    """The last day's events under the forecast that was made before it; equal to the replay of the whole month."""
+    i = branched(spark, sf_dir)
+    return _rated(prospective.scored_events(i["events"].where(F.col("day") == END - 1).select("event_id", "cell", "rate"), _ahead(spark, sf_dir, i)))
+
+
+@query(
+    "root_mass",
+    _BRANCHED + """, on_ AS (SELECT day, branch, section, sum(share * p) AS mass FROM ev JOIN placed_ USING (event_id) GROUP BY ALL), who AS (SELECT day, sum(share) AS w FROM ev GROUP BY ALL)
+    SELECT day, branch, section, round(mass, 7) AS mass FROM on_ UNION ALL SELECT day, branch, NULL::BIGINT, round(w - coalesce(sum(mass), 0), 7) AS mass FROM who CROSS JOIN (SELECT DISTINCT branch FROM placed_) LEFT JOIN on_ USING (day, branch) GROUP BY day, branch, w""",
+)
+def root_mass(spark, sf_dir):
+    """Background mass of every day, branch and section, and what is off the sections."""
+    i = branched(spark, sf_dir)
+    return prospective.root_mass(i["events"], i["placed"]).select("day", "branch", "section", pp.r("mass", 7).alias("mass"))
+
+
+@query(
+    "particle_backgrounds",
+    _BRANCHED + """, sp AS (SELECT particle, section, sin(section * (particle + 1)) AS margin FROM (SELECT DISTINCT section FROM geom WHERE p > 0) CROSS JOIN range(3) t(particle)), pm AS (SELECT particle, point AS cell, sum(p * margin) AS margin FROM geom JOIN sp USING (section) WHERE p > 0 GROUP BY ALL)
+    , pt AS (SELECT r.particle, c.cell, c.mass, c.mass * exp(0.8::DOUBLE * coalesce(m.margin, 0)) AS t FROM cells_ c CROSS JOIN range(3) r(particle) LEFT JOIN pm m ON m.particle = r.particle AND m.cell = c.cell)
+    , pa AS (SELECT particle, cell, t * sum(mass) OVER (PARTITION BY particle) / sum(t) OVER (PARTITION BY particle) AS adjusted FROM pt) SELECT CAST(particle AS INTEGER) AS particle, event_id, round(adjusted, 8) AS adjusted FROM ev JOIN pa USING (cell)""",
+)
+def particle_backgrounds(spark, sf_dir):
+    """Three particles' backgrounds at every event."""
+    near = pp.geometry(spark, sf_dir).where("p > 0")
+    particle = F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("particle")
+    states = near.select("section").distinct().select("section", particle).withColumn("margin", F.sin(F.col("section") * (F.col("particle") + 1)))
+    found = prospective.particle_backgrounds(near, states, cells(spark, sf_dir).select("cell", "mass"), events(spark, sf_dir), 0.8)
+    return found.select("particle", "event_id", pp.r("adjusted").alias("adjusted"))
+
+
+@query(
+    "likelihood_score",
+    pp.CAT + ", " + pp._TERMS + """, tm AS (SELECT 1e-3::DOUBLE + coalesce(point, 0) AS pt, 0.1::DOUBLE + coalesce(temporal, 0) AS te, 0.1::DOUBLE * (us - since) / 86400000000.0::DOUBLE + coalesce(v, 0) AS co FROM tg t LEFT JOIN pr USING (event_id) LEFT JOIN it USING (event_id))
+    SELECT count(*) AS targets, round(avg(ln(pt) - co), 5) AS point_ll, round(avg(ln(te) - co), 5) AS temporal_ll, round(avg(ln(pt) - ln(te)), 5) AS spatial_ll FROM tm""",
+)
+def likelihood_score(spark, sf_dir):
+    """Mean log likelihoods of the strong events."""
+    c = pp.cat(spark, sf_dir)
+    terms = causal.target_terms(c, pp.P, pp.M0, pp.AREA, c.where("mag >= 2.3").select("event_id", "us", "day"), FIRST * 86_400_000_000, pp.TOLERANCE)
+    s = prospective.mean_log_likelihoods(terms)
+    return s.select("targets", *[pp.r(x, 5).alias(x) for x in ("point_ll", "temporal_ll", "spatial_ll")])
