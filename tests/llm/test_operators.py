@@ -498,3 +498,14 @@ def test_fingerprint_likeness_is_the_cosine_of_trigram_counts():
     assert fingerprints.likeness(pick([6]), pick([7]))[0] > 0.999
     back = fingerprints.read(fingerprints.written(*v))
     assert all((a == b).all() for a, b in zip(v, back, strict=True))
+
+
+def test_clashing_names_are_kept(docs):
+    names = ["mix_key", "mix_hash", "mix_copy", "target", "copies", "threshold", "source_size", "rest", "salt", "given", "kept", "doc_", "text_", "spans_", "row_hash_", "doc", "row_hash", "a.b"]
+    more = docs.withColumns({n: F.lit(f"mine {n}") for n in names})
+    for found, count in ((mixing.mixed_documents(more), None), (substrings.without_repeats(more), len(corpus()))):
+        assert found.columns == more.columns and (count is None or found.count() == count)
+        kept = found.select(*[f"`{n}`" for n in names]).distinct().collect()
+        assert [tuple(r) for r in kept] == [tuple(f"mine {n}" for n in names)]
+    plain = sorted(map(str, substrings.without_repeats(docs).collect()))
+    assert plain == sorted(map(str, substrings.without_repeats(more).select(docs.columns).collect()))

@@ -139,9 +139,10 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The documents of the mix, each as often as the mix takes it."""
     slim = cut(measured(docs))
     plan = thresholds(slim, budgets(slim, **parameters))
-    rows = docs.withColumns({"mix_key": key_of(), "mix_hash": hash_of()})
+    # the row is carried as one column, so no name of it can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), key_of().alias("mix_key"), hash_of().alias("mix_hash"))
     taken = _with_plan(rows, plan).withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), _copies().cast("int"))))
-    return taken.select(docs.columns)
+    return taken.select("given.*")
 
 
 ORACLE = """

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tremorloom.llm.common import cut, mixed, partitions, run_hashes, text_steps, words
 
@@ -152,8 +153,7 @@ def _with_spans(docs: DataFrame, window: int, seed: int, *columns: str | Column)
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """docs with the repeated words taken out of text; a text that loses words is the rest joined by single spaces."""
-    names = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*names, "text").schema
+    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given")  # one column, so no name of it can clash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,9 +164,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
                     out.append(b" ".join(compress(every, _mask(len(every), spans.values))).decode())
                 else:
                     out.append(text.as_py())
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.string())], [*names, "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("given"), pa.array(out, pa.string())], ["given", "kept"])
 
-    return _with_spans(docs, window, seed, *names).mapInArrow(run, schema).select(docs.columns)
+    rows = _with_spans(docs, window, seed, given)
+    cleaned = rows.mapInArrow(run, StructType([rows.schema["given"], StructField("kept", StringType())]))
+    return cleaned.select(*[F.col("kept").alias("text") if c == "text" else F.col("given").getField(c).alias(c) for c in docs.columns])
 
 
 def removal_report(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
