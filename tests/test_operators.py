@@ -91,9 +91,9 @@ def test_later_days_change_no_feature(spark):
 
 def test_states_equal_a_loop(spark):
     d = features.spine(cat(spark, DATA), grid.cells(spark)).where("cell < 5")
-    e = d.withColumns({"o": F.col("n") * 0.3, "x": F.col("n") - 0.4})
+    e = d.withColumn("o", F.col("n") * 0.3)
     age = state.hazard_age(e, ["cell"], "day", 0.05, "o").orderBy("cell", "day").toPandas()
-    s = state.cusum(e, ["cell"], "day", "x", 0.9).orderBy("cell", "day").toPandas()
+    s = state.cusum(e, ["cell"], "day", F.col("n"), F.lit(0.4), 0.9).orderBy("cell", "day").toPandas()
     m = state.decayed_sum(e, ["cell"], "day", F.col("n").cast("double"), 5.0, "m").orderBy("cell", "day").toPandas()
     raw = d.orderBy("cell", "day").toPandas()
     for _, at in raw.groupby("cell").indices.items():
