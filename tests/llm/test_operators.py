@@ -509,3 +509,28 @@ def test_clashing_names_are_kept(docs):
         assert [tuple(r) for r in kept] == [tuple(f"mine {n}" for n in names)]
     plain = sorted(map(str, substrings.without_repeats(docs).collect()))
     assert plain == sorted(map(str, substrings.without_repeats(more).select(docs.columns).collect()))
+
+
+def test_rare_languages_are_named(spark):
+    """Three rows of a language among twelve hundred, and codes that one row each declares, with declarations hidden from some."""
+    rng = random.Random(8)
+    parts = {"en": "the with house which from where".split(), "de": "und nicht straße schön wenn durch".split(), "pl": "który został dlatego wszystkich przez się".split(), "fi": "kaikki tämä mutta niin että ovat".split()}
+    text = lambda x, n=25: " ".join(rng.choice(parts[x]) for _ in range(n))
+    rows = [(i, text("en" if i % 3 else "de"), "en" if i % 3 else "de", "s") for i in range(1200)]
+    rows += [(2000 + i, text("pl"), "pl", "s") for i in range(3)] + [(3000 + i, text("fi"), c, "s") for i, c in enumerate(["fi", "fin", "qx"])]
+    hidden = [(4000 + i, text(x), None, "s") for i, x in enumerate(["pl", "en", "de", "pl"])]
+    df = spark.createDataFrame(rows + hidden, "doc_id long, text string, lang string, source string").repartition(3)
+    assert language.languages(language.document_evidence(df)) == ["de", "en", "pl", "other"]
+    got = {r["doc_id"]: (r["language"], r["accepted"]) for r in language.identified(language.document_evidence(df), ["doc_id"]).collect()}
+    assert len(got) == len(rows) + 4 and all(got[i] == ("en" if i % 3 else "de", True) for i in range(1200))
+    assert [got[2000 + i] for i in range(3)] == [("pl", True)] * 3 and [got[3000 + i][0] for i in range(3)] == ["other"] * 3
+    assert [got[4000 + i][0] for i in range(4)] == ["pl", "en", "de", "pl"]
+
+
+def test_languages_with_declarations_hidden(spark):
+    """Half of the real rows lose their declaration; the model names nearly all of them as they declared."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    hide = F.col("doc_id") % 2 == 0
+    got = language.identified(language.document_evidence(docs.withColumn("lang", F.when(~hide, F.col("lang")))), ["doc_id"])
+    met = got.join(docs.where(hide).select("doc_id", "lang"), "doc_id").where("length(lang) > 0")
+    assert met.where("language = lang").count() >= 0.98 * met.count() > 300

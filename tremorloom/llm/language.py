@@ -1,8 +1,8 @@
 """Language ID by Bayesian fusion of text, declared language, address suffix and host.
 
 Text: a multinomial model of hashed byte trigrams for every language, counted over all rows that declare one. The languages
-are the declared ones that MIN_SHARE of the declaring rows have, so at most 1 / MIN_SHARE. Declared language: its likelihood
-comes from counts of (declared, best by text). Host: a prior smoothed hierarchically, host towards registered domain towards
+are all declared ones of LEAST_ROWS rows or more, the MOST_LANGUAGES most declared if there are more; rows of the others train one
+language more, OTHER, so no row is left out. Declared language: its likelihood comes from counts of (declared, best by text). Host: a prior smoothed hierarchically, host towards registered domain towards
 address suffix towards all rows, from grouped counts of the best language by text. The posterior multiplies them.
 
 A row with nothing but separators, or null, has no text evidence, counts for no language, and goes by the rest; without a declared language, address or
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from tremorloom.llm.common import cut, mixed, text_steps
 
 BUCKET_BITS = 14
-MIN_SHARE = 0.005
+#: Rows that a language is declared by at least, languages of their own at most, and what the rest is called together.
+LEAST_ROWS, MOST_LANGUAGES, OTHER = 3, 200, "other"
 ALPHA = 0.5
 #: Trigrams are not independent: a text's evidence is its mean log likelihood times at most this many.
 MOST_EVIDENCE = 60.0
@@ -76,10 +77,17 @@ _FOLD[128:] = np.arange(128, 256)
 
 
 def languages(rows: DataFrame) -> list[str]:
-    """Declared languages with their share or more of the declaring rows, by code."""
+    """Declared languages by code, OTHER the last if some are too rare or too many to be of their own."""
     counts = rows.where("declared IS NOT NULL").groupBy("declared").count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    return sorted(r["declared"] for r in counts.where(F.col("count") >= max(1, total * MIN_SHARE)).select("declared").collect())
+    common = counts.where(F.col("count") >= LEAST_ROWS).orderBy(F.col("count").desc(), "declared").limit(MOST_LANGUAGES)
+    known = sorted(r["declared"] for r in common.collect() if r["declared"] != OTHER)
+    rest = counts.where(~F.col("declared").isin(known)) if known else counts
+    return known if rest.isEmpty() else [*known, OTHER]
+
+
+def language_of(declared: Column, known: list[str]) -> Column:
+    """The language that a declaration stands for, null without one."""
+    return F.when(declared.isin(known), declared).when(declared.isNotNull(), OTHER)
 
 
 def text_model(rows: DataFrame, known: list[str]) -> np.ndarray:
@@ -97,7 +105,7 @@ def text_model(rows: DataFrame, known: list[str]) -> np.ndarray:
         a, b = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(counts[a, b], pa.int64())], schema=fields)
 
-    seen = rows.where(F.col("declared").isin(known)).select("declared", "text").mapInArrow(run, "language int, bucket int, n long")
+    seen = rows.where("declared IS NOT NULL").select(language_of(F.col("declared"), known).alias("declared"), "text").mapInArrow(run, "language int, bucket int, n long")
     table = seen.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most languages * 2**BUCKET_BITS rows
     counts = np.full((len(known), 1 << BUCKET_BITS), ALPHA)
     counts[np.asarray(table["language"]), np.asarray(table["bucket"])] += np.asarray(table["n"])
@@ -156,7 +164,7 @@ def identified(rows: DataFrame, ids: list[str]) -> DataFrame:
     by_domain = _log_prior(counts, ["suffix", "domain"], by_suffix, ["suffix"], n)
     by_host = cut(_log_prior(counts, ["suffix", "domain", "host"], by_domain, ["suffix", "domain"], n).select("host", F.transform("p", lambda x: F.log(x)).alias("host_prior")))
     # likelihood of the declared language: at most n + 1 by n counts
-    said = F.when(F.col("declared").isin(known), F.col("declared"))
+    said = language_of(F.col("declared"), known)
     confusion = np.full((n, n + 1), DECLARED_PSEUDO)
     for r in slim.where("best IS NOT NULL").groupBy(said.alias("said"), "best").count().collect():
         if r["said"] is not None:
@@ -164,9 +172,10 @@ def identified(rows: DataFrame, ids: list[str]) -> DataFrame:
         else:
             confusion[r["best"], n] += r["count"]
     stated = np.log(confusion / confusion.sum(axis=1, keepdims=True))
-    likelihood = F.array(*[F.lit(0.0) for _ in range(n)])
-    for i, x in enumerate(known):
-        likelihood = F.when(F.col("declared") == x, F.array(*[F.lit(float(v)) for v in stated[:, i]])).otherwise(likelihood)
+    spark = rows.sparkSession
+    table = spark.createDataFrame([(x, [float(v) for v in stated[:, i]]) for i, x in enumerate(known)], "stated string, likelihood array<double>")  # a row a language
+    slim = slim.withColumn("stated", said).join(F.broadcast(table), "stated", "left")
+    likelihood = F.coalesce("likelihood", F.array_repeat(F.lit(0.0), n))
     if by_host.count() <= BROADCAST_HOSTS:
         joined = slim.join(F.broadcast(by_host), "host")
     else:
