@@ -118,15 +118,38 @@ def test_particles_take_every_region_and_cell(spark):
     assert {tuple(r) for r in got} == {(r["region"], 100, 8, r["d"]) for r in cat(spark, DATA).groupBy("region").agg(F.count_distinct("day").alias("d")).collect()}
 
 
-def test_particles_by_region_equal_the_broadcast_ones(spark):
-    e = cat(spark, DATA).where("region = 'click' AND y = 0").select("day", F.col("us").alias("order"), "event_id", F.col("mag").alias("magnitude"), F.lit(0.8).alias("probability"), "x").toPandas()
-    states = spark.range(20).select(F.floor(F.col("id") / 10).alias("particle"), (F.col("id") % 10).cast("int").alias("section"), F.sin("id").alias("margin"))
-    args = (np.linspace(-0.01, 0.01, 10), 0.2, 0.02, 0.75, 0.0)
-    want = particles.assimilate(states, e.assign(weights=[list(0.7 * (np.arange(10) == x)) for x in e["x"]]).drop(columns=["x", "event_id"]), *args)
-    events = spark.createDataFrame(e.rename(columns={"x": "section"}).assign(region="click", weight=0.7))
-    got = particles.assimilate_regions(states.withColumn("region", F.lit("click")), events, *args)
-    a, b = (x.select("particle", "day", "section", "margin").orderBy("particle", "day", "section").toPandas() for x in (want, got))
-    assert len(a) and np.allclose(a, b, rtol=0, atol=1e-9)
+def test_particles_equal_a_loop(spark):
+    """Every particle on its own, with masks, events of several sections, and rows that count for nothing."""
+    rng = np.random.default_rng(4)
+    margins = rng.normal(size=(3, 6))
+    active = rng.random((3, 6)) < 0.7
+    active[:, 0] = True
+    events = [("r", d, o, 10 * d + o, float(rng.uniform(0, 3)), float(rng.random()), int(k), float(rng.uniform(0, 0.5))) for d in range(4) for o in range(3) for k in rng.choice(6, 2, replace=False)]
+    events += [("r", 2, 9, 99, None, 0.5, 1, 0.5), ("r", 5, 0, 98, 1.0, 0.5, None, 0.5), ("other", 1, 0, 97, 1.0, 0.5, 1, 0.5)]
+    load = np.linspace(-0.1, 0.2, 6)
+    states = spark.createDataFrame([("r", p, s, float(margins[p, s]), bool(active[p, s])) for p in range(3) for s in range(6)], "region string, particle long, section int, margin double, active boolean")
+    table = spark.createDataFrame(events, "region string, day int, order int, event_id long, magnitude double, probability double, section int, weight double").repartition(3)
+    for masked in (True, False):
+        got = {(r["particle"], r["day"], r["section"]): r["margin"] for r in particles.assimilate_regions(states if masked else states.drop("active"), table, load, 0.3, 0.05, 0.5, 1.0).collect()}
+        assert {d for _, d, _ in got} == {0, 1, 2, 3, 5} and len(got) == 3 * 5 * 6
+        for p in range(3):
+            m, on = margins[p].copy(), active[p] if masked else np.ones(6, bool)
+            for d in (0, 1, 2, 3, 5):
+                m = m + load * on
+                for key in sorted({e[2:4] for e in events if e[0] == "r" and e[1] == d and e[4] is not None and e[6] is not None}):
+                    before = m.copy()
+                    for e in events:
+                        if e[0] == "r" and e[1] == d and e[2:4] == key and on[e[6]]:
+                            m[e[6]] += 0.3 * e[5] * e[7] / (1 + np.exp(before[e[6]])) - 0.05 * 10 ** (0.5 * (e[4] - 1.0)) * e[7]
+                m = np.where(on, m - m[on].mean(), m)
+                assert [got[p, d, s] for s in range(6)] == pytest.approx(m.tolist(), abs=1e-12)
+
+
+def test_coupling_is_whole_without_a_reach(spark):
+    sections = spark.createDataFrame([(i, float(i % 5), float(i // 5), float(7 * i % 180), "ab"[i % 2]) for i in range(20)], "section int, sx double, sy double, strike double, model string")
+    whole = particles.coupling(sections, 1.0, 0.3)
+    assert whole.count() == 2 * 10 * 9 and particles.coupling(sections, 1.0, 0.3, 1.5).count() < 180
+    assert whole.where("weight <= 0").count() == 0
 
 
 def test_a_busy_block_is_dealt_into_parts(spark, monkeypatch):

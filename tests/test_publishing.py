@@ -5,7 +5,6 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tremorloom.operators import late, resume, scoring
@@ -65,7 +64,7 @@ def test_killed_and_resumed(spark, tmp_path):
         rows = spark.range(5).select((F.col("id") * int(chunk)).alias("v"))
         return rows.withColumn("v", F.when(F.col("v") == fail, F.raise_error(F.lit("killed")).cast("long")).otherwise(F.col("v"))) if chunk == "2" and fail is not None else rows
 
-    with pytest.raises(PySparkException, match="killed"):
+    with pytest.raises(Exception, match="killed"):
         resume.resumed(spark, folder, "s", ["0", "1", "2", "3"], lambda c: compute(c, 8))
     assert resume.finished(spark, folder) == {"0", "1"}  # the half-written chunk is not there
     got = resume.resumed(spark, folder, "s", ["0", "1", "2", "3"], compute)
@@ -90,11 +89,11 @@ def test_forecast_text(spark, tmp_path):
     assert sorted((r["catalog"], round(r["t"], 3), r["mag"]) for r in got.collect()) == [(1, 0.25, 3.0), (1, 0.5, 3.0), (4, 0.999, 5.0)]
     assert forecasts.read_forecast(spark, folder, "2024-03-01 00:00:00", 0.3, 3.0)[0].count() == 1
     assert "GreaterThanOrEqual(magnitude,3.0)" in got._jdf.queryExecution().executedPlan().toString()
-    with pytest.raises(PySparkException, match="unknown catalogue"):
+    with pytest.raises(Exception, match="unknown catalogue"):
         forecasts.write_forecast(events, spark.range(2).withColumnRenamed("id", "catalog"), f"{tmp_path}/g", "2024-03-01 00:00:00")
     (tmp_path / "h").mkdir()
     (tmp_path / "h/x.csv").write_text("lon,lat,magnitude,time_string,depth,catalog_id,event_id\n1.0,,3.0,2024-03-01T06:00:00.000,,1,1-0\n")
-    with pytest.raises(PySparkException, match="half an event"):
+    with pytest.raises(Exception, match="half an event"):
         forecasts.read_forecast(spark, f"{tmp_path}/h", "2024-03-01 00:00:00", 1.0, 3.0)[1].collect()
 
 
@@ -116,7 +115,7 @@ def test_versions_and_json(spark):
     changes = spark.createDataFrame([(1, "n"), (2, "z"), (3, "m"), (9, "q")], "id int, name string")
     assert sorted(tuple(r) for r in late.versions(log, changes, ["id"]).collect()) == [(1, "n", 1.0, 3), (3, "m", 3.0, 2)]
     assert late.versions(late.latest(log, ["id"]), changes.where("false"), ["id"]).count() == 0
-    with pytest.raises(PySparkException, match="several changes"):
+    with pytest.raises(Exception, match="several changes"):
         late.versions(log, changes.unionByName(changes), ["id"]).collect()
     rows = spark.createDataFrame([('{"b": 1.5, "a": {"x": [1, 2]}, "k": "old", "n": null, "t": "q\\"u"}', "é"), (None, "1"), ("[1]", None), ("no json", "x")], "t string, v string")
     assert [r[0] for r in rows.select(late.json_set(F.col("t"), "k", F.col("v"))).collect()] == ['{"a":{"x":[1,2]},"b":1.5,"k":"é","n":null,"t":"q\\"u"}', '{"k":"1"}', '{"k":null}', '{"k":"x"}']
@@ -135,7 +134,7 @@ def test_strata(spark):
     for r in one:
         part = d[d["s"] == r["s"]]
         assert r["lower"] < part["gain"].sum() / part["events"].sum() < r["upper"]
-    with pytest.raises(PySparkException, match="without events"):
+    with pytest.raises(Exception, match="without events"):
         scoring.block_bootstrap(df.withColumn("events", F.when(F.col("day") == 60, 1).otherwise(0)), ["s"], [30.0], 100).collect()
     gains = spark.createDataFrame([(1, "x", 10, 0.5), (2, "x", 13, -0.25), (3, "y", 11, 0.0)], "event_id int, s string, day int, gain double")
     dense = scoring.dense_days(gains, ["s"]).orderBy("s", "day").collect()
@@ -145,5 +144,5 @@ def test_strata(spark):
     other = spark.createDataFrame([(1, 0.25), (2, 0.25), (3, -1.0)], "event_id int, gain double")
     assert {r["event_id"]: r["gain"] for r in scoring.paired(gains, other).collect()} == {1: 0.25, 2: -0.5, 3: 1.0}
     for bad in (other.where("event_id < 3"), other.unionByName(other.limit(1))):
-        with pytest.raises(PySparkException, match="not one pair"):
+        with pytest.raises(Exception, match="not one pair"):
             scoring.paired(gains, bad).collect()

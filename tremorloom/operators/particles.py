@@ -7,62 +7,50 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def assimilate(states: DataFrame, events: pd.DataFrame, loading: np.ndarray, gain: float, release: float, exponent: float, reference: float) -> DataFrame:
-    """(particle, day, section, margin) after each day. states: (particle, section, margin), sections numbered from 0.
-
-    events: day, order, magnitude, probability and weights (an array over sections) of one region, broadcast after a check of
-    its size. A day first loads every section, then takes its events in order: each adds evidence that falls with the margin
-    it meets and takes away a release that grows with magnitude; at the day's end the margins are centred. Particles are
-    independent, so each is a group of its own.
-    """
-    if len(events) * len(loading) > 50_000_000:
-        raise ValueError("too many event weights to broadcast; cut the period or the region")
-    held = states.sparkSession.sparkContext.broadcast((events.sort_values(["day", "order"]), loading))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, load = held.value
-        margin = pdf.sort_values("section")["margin"].to_numpy(float)
-        out = []
-        for day, group in rows.groupby("day"):
-            margin = margin + load
-            for magnitude, probability, weights in zip(group["magnitude"], group["probability"], group["weights"], strict=True):
-                w = np.asarray(weights)
-                margin = margin + gain * probability * w / (1 + np.exp(margin)) - release * 10 ** (exponent * (magnitude - reference)) * w
-            margin = margin - margin.mean()
-            out.append(pd.DataFrame({"particle": pdf["particle"].iloc[0], "day": int(day), "section": np.arange(len(margin)), "margin": margin}))
-        return pd.concat(out) if out else pd.DataFrame({"particle": [], "day": [], "section": [], "margin": []})
-
-    return states.groupBy("particle").applyInPandas(run, "particle long, day int, section int, margin double")
+from tremorloom.operators.traces import UNDERFLOW
 
 
 def assimilate_regions(states: DataFrame, events: DataFrame, loading: np.ndarray, gain: float, release: float, exponent: float, reference: float) -> DataFrame:
     """(region, particle, day, section, margin) after each day with events. states: (region, particle, section, margin), sections from 0.
 
-    events: (region, day, order, event_id, magnitude, probability, section, weight), each of one section; those without a
-    section or magnitude count for nothing but their day. As assimilate, but regions and particles meet their events by key:
-    nothing is collected or broadcast, and a task holds one region's events.
+    events: (region, day, order, event_id, magnitude, probability, section, weight), a row for each section that an event may be
+    of. A day first loads every section, then takes its events in order: each adds evidence that falls with the margin it meets and
+    takes away a release that grows with magnitude; at the day's end the margins are centred. Where states have a column active,
+    only active sections change and count for the centre. Rows without a section or magnitude count for nothing but their day.
+    Particles are one axis of a region's array: events meet a region by key and are not copied. A task holds one region.
     """
-    particles = states.select("region", "particle").distinct()
-    copies = events.join(particles, "region").select(F.col("region").alias("of"), F.col("particle").alias("by"), "day", "order", "event_id", "magnitude", "probability", F.col("section").alias("at"), "weight")
+    masked = "active" in states.columns
 
     def run(s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        if s.empty:
-            return pd.DataFrame({"region": [], "particle": [], "day": [], "section": [], "margin": []})
-        margin = s.sort_values("section")["margin"].to_numpy(float)
-        out = []
-        for day, group in e.sort_values(["day", "order", "event_id"]).groupby("day"):
-            margin = margin + loading
+        if s.empty or e.empty:
+            return pd.DataFrame({"region": np.zeros(0, object), "particle": np.zeros(0, np.int64), "day": np.zeros(0, np.int32), "section": np.zeros(0, np.int32), "margin": np.zeros(0)})
+        table = s.pivot(index="particle", columns="section", values="margin").sort_index()
+        margin = table.to_numpy(float).copy()
+        active = s.pivot(index="particle", columns="section", values="active").sort_index().to_numpy(bool) if masked else np.ones(margin.shape, bool)
+        count, out = active.sum(axis=1, keepdims=True), []
+        for day, group in e.sort_values(["day", "order", "event_id"], kind="stable").groupby("day"):
+            margin = margin + np.where(active, loading, 0.0)
             known = group[group["at"].notna() & group["magnitude"].notna()]
-            lost = release * 10 ** (exponent * (known["magnitude"].to_numpy() - reference)) * known["weight"].to_numpy()
-            added = gain * known["probability"].to_numpy() * known["weight"].to_numpy()
-            for i, up, down in zip(known["at"].to_numpy(int), added, lost, strict=True):
-                margin[i] += up / (1 + np.exp(margin[i])) - down
-            margin = margin - margin.mean()
-            out.append(pd.DataFrame({"region": s["region"].iloc[0], "particle": s["particle"].iloc[0], "day": int(day), "section": np.arange(len(margin)), "margin": margin}))
-        return pd.concat(out) if out else pd.DataFrame({"region": [], "particle": [], "day": [], "section": [], "margin": []})
-
-    met = states.groupBy("region", "particle").cogroup(copies.groupBy("of", "by"))
+            for (_, _, magnitude, probability), rows in known.groupby(["order", "event_id", "magnitude", "probability"], sort=False):
+                at, w = rows["at"].to_numpy(int), rows["weight"].to_numpy(float)
+                change = gain * probability * w / (1 + np.exp(margin[:, at])) - release * 10 ** (exponent * (magnitude - reference)) * w
+                np.add.at(margin, (slice(None), at), np.where(active[:, at], change, 0.0))
+            centre = np.where(active, margin, 0.0).sum(axis=1, keepdims=True) / np.maximum(count, 1)
+            margin = np.where(active, margin - centre, margin)
+            out.append((int(day), margin))
+        n, days = margin.size, np.array([d for d, _ in out])
+        return pd.DataFrame(
+            {
+                "region": np.full(n * len(out), s["region"].iloc[0], object),
+                "particle": np.tile(np.repeat(table.index.to_numpy(), margin.shape[1]), len(out)),
+                "day": np.repeat(days, n),
+                "section": np.tile(table.columns.to_numpy(), len(margin) * len(out)),
+                "margin": np.concatenate([m.ravel() for _, m in out]),
+            }
+        )
+
+    slim = events.select(F.col("region").alias("of"), "day", "order", "event_id", "magnitude", "probability", F.col("section").alias("at"), "weight")
+    met = states.groupBy("region").cogroup(slim.groupBy("of"))
     return met.applyInPandas(run, "region string, particle long, day int, section int, margin double")
 
 
@@ -75,12 +63,14 @@ def centred_loading(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return centred.withColumn("loading", F.col("_c") / F.sqrt(F.avg(F.col("_c") * F.col("_c")).over(w))).drop("_c")
 
 
-def coupling(sections: DataFrame, length: float, floor: float, reach: float) -> DataFrame:
+def coupling(sections: DataFrame, length: float, floor: float, reach: float | None = None) -> DataFrame:
     """(src, dst, weight) of a symmetric section graph. sections: (section, sx, sy, strike, model).
 
     Weight falls with distance as a Gaussian and with the angle between strikes; sections of different models are not joined.
-    Sections meet in square bins of the reach and their neighbours, so far pairs are never formed; reach bounds the distance.
+    Sections meet in square bins of the reach and their neighbours, so far pairs are never formed. Without a reach the graph is
+    whole: beyond UNDERFLOW lengths weights are 0.
     """
+    reach = UNDERFLOW * length if reach is None else reach
     binned = sections.withColumns({"bx": F.floor(F.col("sx") / reach), "by": F.floor(F.col("sy") / reach)})
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     left = binned.select("*", around.alias("o")).select(F.col("section").alias("src"), F.col("sx").alias("ax"), F.col("sy").alias("ay"), F.col("strike").alias("a"), "model", (F.col("bx") + F.col("o.i")).alias("bx"), (F.col("by") + F.col("o.j")).alias("by"))
