@@ -135,6 +135,12 @@ def _mixed(own: str, mix: float) -> Column:
     return (1 - mix) * F.col(own) + mix * F.col(f"near_{own}")
 
 
+def graph_coherent(rows: DataFrame, graph: DataFrame, score: str, threshold: float) -> DataFrame:
+    """rows (member, branch, section, day, score) with coherent: the geometric mean of what the score and its neighbours' are above a threshold."""
+    above = lambda c: F.greatest(F.col(c) - threshold, F.lit(0.0))
+    return _with_neighbours(rows, graph, [score]).withColumn("coherent", F.sqrt(above(score) * above(f"near_{score}"))).drop(f"near_{score}")
+
+
 def section_scores(state: DataFrame, graph: DataFrame, days: DataFrame, clock: Clock, frailty: Frailty | None = None, phase: Phase | None = None, ablation: str = "full") -> DataFrame:
     """(member, branch, section, day, score, phase) of the days to score.
 

@@ -57,6 +57,13 @@ def dense_days(gains: DataFrame, keys: list[str], day: str = "day", gain: str =
     return spine.join(daily, [*keys, "day"], "left").fillna(0, ["gain", "events"])
 
 
+def wide_days(daily: DataFrame, stratum: str, strata: list[str]) -> DataFrame:
+    """(day, events_s, gain_s, ...) with a pair of columns for each named stratum, in their order, 0 where it has nothing; days ascend."""
+    wide = daily.groupBy("day").pivot(stratum, strata).agg(F.sum("events").alias("events"), F.sum("gain").alias("gain"))
+    columns = [F.coalesce(F.col(f"`{x}_{c}`"), F.lit(0)).alias(f"{c}_{x}") for x in strata for c in ("events", "gain")]
+    return wide.select("day", *columns).orderBy("day")
+
+
 #: Replicates that one task draws; the least share of them that must have events.
 REPLICATES_A_TASK, VALID = 100, 0.99
 

@@ -628,6 +628,12 @@ def complete_days(spark, sf_dir):
     return oplog.complete_days(cat(spark, sf_dir).where("mag >= 2.25"), "day", "region", 5)
 
 
+@query("complete_days_low", CAT + "SELECT day FROM cat WHERE mag >= 2.0 GROUP BY day HAVING count(DISTINCT region) = 5")
+def complete_days_low(spark, sf_dir):
+    """The same at a magnitude that some days of a small catalogue reach too."""
+    return oplog.complete_days(cat(spark, sf_dir).where("mag >= 2.0"), "day", "region", 5)
+
+
 @query("incident_fold", "SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus, arg_min(o_orderpriority, o_orderkey) AS o_orderpriority, max(o_totalprice) AS o_totalprice, bool_or(o_orderstatus = 'F') AS settled, count(*) AS attempts FROM orders GROUP BY ALL")
 def incident_fold(spark, sf_dir):
     log = table(spark, sf_dir, "orders").withColumn("settled", F.col("o_orderstatus") == "F")

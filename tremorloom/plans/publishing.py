@@ -166,3 +166,14 @@ def paired_days(spark, sf_dir):
 def paired_bootstrap(spark, sf_dir):
     """Intervals of the mean difference of every stratum by blocks of three, seven and fourteen days."""
     return scoring.block_bootstrap(scoring.dense_days(paired_gains(spark, sf_dir), ["region"]), ["region"], [3.0, 7.0, 14.0], 400)
+
+
+STRATA = ["click", "error", "purchase"]
+
+
+@query("wide_days", pp.CAT + pp._TRAIL + _GAINS + " SELECT day, " + ", ".join(f"count(gain) FILTER (region = '{x}') AS events_{x}, round(coalesce(sum(gain) FILTER (region = '{x}'), 0), 6) + 0.0 AS gain_{x}" for x in STRATA) + " FROM g GROUP BY ALL")
+def wide_days(spark, sf_dir):
+    """The differences' daily counts and sums of three strata side by side."""
+    daily = paired_gains(spark, sf_dir).groupBy("region", "day").agg(F.count("gain").alias("events"), F.sum("gain").alias("gain"))
+    wide = scoring.wide_days(daily, "region", STRATA)
+    return wide.select("day", *[c for x in STRATA for c in (F.col(f"events_{x}"), pp.r(f"gain_{x}", 6).alias(f"gain_{x}"))])

@@ -423,3 +423,16 @@ def likelihood_score(spark, sf_dir):
     terms = causal.target_terms(c, pp.P, pp.M0, pp.AREA, c.where("mag >= 2.3").select("event_id", "us", "day"), FIRST * 86_400_000_000, pp.TOLERANCE)
     s = prospective.mean_log_likelihoods(terms)
     return s.select("targets", *[pp.r(x, 5).alias(x) for x in ("point_ll", "temporal_ll", "spatial_ll")])
+
+
+@query(
+    "coherent_counts",
+    _REGIONAL + """, q AS (SELECT cell, day, n / 10.0::DOUBLE AS z FROM dense), near AS (SELECT g.src AS cell, q.day, sum(weight * z) AS near_z FROM graph_ g JOIN q ON q.cell = g.dst GROUP BY ALL)
+    SELECT cell, day, round(sqrt(greatest(z - 0.2::DOUBLE, 0) * greatest(near_z - 0.2::DOUBLE, 0)), 7) AS coherent FROM q JOIN near USING (cell, day)""",
+)
+def coherent_counts(spark, sf_dir):
+    """Daily counts that a cell and its neighbours both have above a threshold."""
+    dense = feats.spine(pp.cat(spark, sf_dir), pp.grid(spark))
+    rows = dense.select(F.lit(0).cast("long").alias("member"), F.lit(0).alias("branch"), F.col("cell").alias("section"), "day", (F.col("n") / 10.0).alias("z"))
+    graph = grids.transition(pp.grid(spark)).select(F.lit(0).alias("branch"), F.col("cell").alias("src"), F.col("neighbour").alias("dst"), "weight")
+    return replay.graph_coherent(rows, graph, "z", 0.2).select(F.col("section").alias("cell"), "day", pp.r("coherent", 7).alias("coherent"))
