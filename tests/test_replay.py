@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tremorloom.functions import kernels, special
-from tremorloom.operators import replay, state
+from tremorloom.operators import replay, scoring, state
 from tremorloom.operators.scan import Step, scanned
 
 
@@ -181,3 +181,24 @@ def test_overdue_at_great_ages():
     got = special.overdue(ages, 0.5)
     assert (np.diff(got) < 0).all() or np.isfinite(got).all()
     assert abs(got[-1] - math.log(2.0)) < 1e-3 and np.abs(np.diff(got)).max() < 0.1
+
+
+def test_criticality_and_rejections(spark):
+    rows = spark.createDataFrame([(k, d, 0.1 * k, float(d % 3 == 0), 0.05 * d) for k in range(3) for d in range(50)], "k int, day int, load double, release double, transfer double")
+    got = {(r["k"], r["day"]): r["state"] for r in state.criticality(rows, ["k"], "day", F.col("load"), F.col("release"), F.col("transfer"), 2.0, 0.5).collect()}
+    for k in range(3):
+        m = 0.5
+        for d in range(50):
+            assert abs(got[k, d] - m) < 1e-12
+            m += 0.2 * k - float(d % 3 == 0) + 0.05 * d
+    with pytest.raises(Exception, match="negative"):
+        state.criticality(rows, ["k"], "day", F.col("load"), F.lit(-1.0), F.col("transfer")).collect()
+    tests = spark.createDataFrame([("n", [0.01, 0.99]), ("m", [0.03, 0.99]), ("s", [0.01]), ("t", [0.99]), ("u", [0.5]), ("v", [None]), ("w", None), ("x", [None, 0.01])], "name string, quantiles array<double>")
+    assert {r["name"]: r["rejected"] for r in scoring.rejections(tests, 0.025).collect()} == {"n": True, "m": False, "s": True, "t": True, "u": False, "v": False, "w": False, "x": True}
+
+
+def test_graph_coherent(spark):
+    rows = spark.createDataFrame([(0, 0, s, 1, float(s)) for s in range(4)], "member long, branch int, section int, day int, z double")
+    graph = spark.createDataFrame([(0, 0, 3, 1.0), (0, 3, 0, 0.5), (0, 3, 2, 0.5)], "branch int, src int, dst int, weight double")
+    got = {r["section"]: r["coherent"] for r in replay.graph_coherent(rows, graph, "z", 0.5).collect()}
+    assert got == pytest.approx({0: 0.0, 1: 0.5, 2: 1.5, 3: math.sqrt(2.5 * 0.5)})

@@ -57,6 +57,17 @@ def dense_days(gains: DataFrame, keys: list[str], day: str = "day", gain: str =
     return spine.join(daily, [*keys, "day"], "left").fillna(0, ["gain", "events"])
 
 
+def rejections(tests: DataFrame, level: float) -> DataFrame:
+    """tests (name, quantiles array<double>) with rejected: two one-sided quantiles by either below the level, a single one by both tails.
+
+    Null quantiles reject nothing.
+    """
+    known = F.filter("quantiles", lambda q: q.isNotNull())
+    low = F.exists(known, lambda q: q < level)
+    high = F.exists(known, lambda q: q > 1 - level)
+    return tests.withColumn("rejected", F.coalesce(F.when(F.size("quantiles") > 1, low).otherwise(low | high), F.lit(False)))
+
+
 def wide_days(daily: DataFrame, stratum: str, strata: list[str]) -> DataFrame:
     """(day, events_s, gain_s, ...) with a pair of columns for each named stratum, in their order, 0 where it has nothing; days ascend."""
     wide = daily.groupBy("day").pivot(stratum, strata).agg(F.sum("events").alias("events"), F.sum("gain").alias("gain"))

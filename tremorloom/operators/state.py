@@ -42,6 +42,13 @@ def cusum(rows: DataFrame, keys: list[str], day: str, observed: Column, expected
     return scanned(slim, keys, day, steps).drop("_o", "_e")
 
 
+def criticality(rows: DataFrame, keys: list[str], day: str, loading: Column, release: Column, transfer: Column, elapsed: float = 1.0, start: float = 0.0) -> DataFrame:
+    """Margin before each day, as `state`: M <- M + loading * elapsed - release + transfer. A negative release is an error."""
+    below = F.raise_error(F.lit("a release must not be negative")).cast("double")
+    step = loading * elapsed - F.when(release < 0, below).otherwise(release) + transfer
+    return scanned(rows.select(*keys, day, step.alias("_m")), keys, day, {"state": Step(F.lit(1.0), F.col("_m"), F.lit(float(start)))}).drop("_m")
+
+
 def runs(rows: DataFrame, keys: list[str], day: str) -> DataFrame:
     """Islands of consecutive days: (keys, first, last, length)."""
     days = rows.select(*keys, day).distinct()
