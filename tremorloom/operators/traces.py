@@ -114,11 +114,12 @@ def nearest_traces(points: DataFrame, traces: DataFrame, k: int) -> DataFrame:
     """
     segs = cut(segments(traces))
     length = F.sqrt(F.pow(F.col("dlat") * DEGREE, 2) + F.pow(F.col("dlon") * DEGREE * F.col("cosine"), 2))
-    n, low, high, west, east, total = segs.agg(F.count("*"), F.min("lat0"), F.max("lat0"), F.min("lon0"), F.max("lon0"), F.sum(length)).first()
+    east_of_0 = F.pmod("lon0", F.lit(360.0))  # traces on both sides of the antimeridian are near each other on this scale
+    n, low, high, west, east, west_0, east_0, total = segs.agg(F.count("*"), F.min("lat0"), F.max("lat0"), F.min("lon0"), F.max("lon0"), F.min(east_of_0), F.max(east_of_0), F.sum(length)).first()
     by = Window.partitionBy("point").orderBy("distance", "section")
     if not n:
         return points.select("point").join(segs.select("section"), F.lit(False)).select("point", "section", F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
-    side = max(min(high - low, 180.0), min(east - west, 360.0), 0.1) * DEGREE
+    side = max(high - low, min(east - west, east_0 - west_0), 0.1) * DEGREE
     reach = max(side * math.sqrt(k / n) / 2, total / (4 * n), 0.1)
     found, left = [], points.select("point", "lat", "lon")
     while True:
