@@ -534,3 +534,38 @@ def test_languages_with_declarations_hidden(spark):
     got = language.identified(language.document_evidence(docs.withColumn("lang", F.when(~hide, F.col("lang")))), ["doc_id"])
     met = got.join(docs.where(hide).select("doc_id", "lang"), "doc_id").where("length(lang) > 0")
     assert met.where("language = lang").count() >= 0.98 * met.count() > 300
+
+
+def test_lines_of_a_wide_family_are_verified_by_their_sets(spark):
+    """200 lines in one bucket, most of them not similar: bounds are right, and no line is dealt again by its shingles."""
+    rng = random.Random(5)
+    stem = [f"w{rng.randrange(10**4)}" for _ in range(40)]
+    texts = []
+    for _ in range(200):
+        own = stem[:]
+        for at in rng.sample(range(40), rng.randrange(1, 7)):
+            own[at] = f"v{rng.randrange(10**4)}"
+        texts.append(" ".join(own))
+    texts[0] = "abababab" * 30
+    sets = [frozenset(x[i : i + lines.SHINGLE] for i in range(len(x) - lines.SHINGLE + 1)) for x in texts]
+    apart = lambda a, b: 1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    table = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    sketches = lines.sketched(table).cache()
+    pairs = [(a, b) for a in range(0, 200, 10) for b in range(a + 1, 200, 3)]
+    near = {(r["a"], r["b"]): (r["lo"], r["hi"]) for r in lines._distance(table, sketches)(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert set(near) == set(pairs)
+    for (a, b), (lo, hi) in near.items():
+        assert lo - 1e-9 <= apart(a, b) <= hi + 1e-9
+        assert apart(a, b) > 1 - lines.SIMILARITY or lo == hi
+
+    def never(ids):
+        raise AssertionError("dealt again")
+
+    members = spark.createDataFrame([(7, i) for i in range(200)], "key long, id long")
+    links = graph.bucket_links(members, lines._distance(table, sketches), never, lines.SIMILARITY, lines.DIRECT, sketch=(sketches, lines._apart()))
+    got = {r["id"]: r["root"] for r in graph.components(links).collect()}
+    root = union(200, [(a, b) for a in range(200) for b in range(a) if apart(a, b) <= 1 - lines.SIMILARITY + 1e-9])
+    assert len(set(root)) > 2
+    for a in range(200):
+        for b in range(a):
+            assert (root[a] == root[b]) == (got.get(a, a) == got.get(b, b))

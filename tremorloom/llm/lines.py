@@ -29,9 +29,10 @@ ROWS, BANDS = 4, 10
 HASHES = ROWS * BANDS
 SIMILARITY = 0.8
 #: Words of 64 bits of a line's parity sketch, a power of two.
-SKETCH = 16
+SKETCH = 64
 #: Members of a bucket that are compared pair by pair; the rest of a larger bucket is dealt again, see graph.bucket_links.
-DIRECT = 128
+#: Dealing a line again takes a row for each of a fifth of its shingles, as dear as some thousand comparisons of sketches.
+DIRECT = 1024
 _LAST = (1 << 63) - 1
 
 
@@ -72,7 +73,9 @@ def shingle_hashes(lines: DataFrame, *keep: str) -> DataFrame:
 def signatures(lines: DataFrame) -> DataFrame:
     """(id, m0, m1, ...): the least hash of each bin of each line's shingles; empty bins filled from the next ones, by doubling."""
     placed = shingle_hashes(lines, "id").withColumn("bin", F.pmod(F.shiftrightunsigned("h", 40), F.lit(HASHES)).cast("int"))
-    signed = placed.groupBy("id").agg(*[F.min(F.when(F.col("bin") == i, F.col("h"))).alias(f"m{i}") for i in range(HASHES)])
+    # one minimum a row and bin first, so that the comparisons with every bin are made for bins and not for shingles
+    least = placed.groupBy("id", "bin").agg(F.min("h").alias("h"))
+    signed = least.groupBy("id").agg(*[F.min(F.when(F.col("bin") == i, F.col("h"))).alias(f"m{i}") for i in range(HASHES)])
     step = 1
     while step < HASHES:
         signed = signed.select("id", *[F.coalesce(F.col(f"m{i}"), F.col(f"m{(i + step) % HASHES}").bitwiseXOR(F.lit(_mark(step)))).alias(f"m{i}") for i in range(HASHES)])
@@ -91,8 +94,15 @@ def sketched(lines: DataFrame) -> DataFrame:
     spread = lines.repartition(partitions(lines.sparkSession), "id")
     place = shingle_hashes(spread, "id").select("id", F.shiftrightunsigned("h", 40).alias("place"))
     bit = F.expr("shiftleft(1L, cast(place & 63 AS int))")
-    words = [F.bit_or(F.when(F.shiftright("place", 6).bitwiseAND(F.lit(SKETCH - 1)) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(SKETCH)]
-    return place.groupBy("id").agg(F.count("*").alias("most"), *words)
+    word = F.shiftright("place", 6).bitwiseAND(F.lit(SKETCH - 1)).cast("int")
+    set_bits = place.groupBy("id", word.alias("word")).agg(F.count("*").alias("c"), F.bit_or(bit).alias("bits"))
+    words = [F.coalesce(F.max(F.when(F.col("word") == i, F.col("bits"))), F.lit(0).cast("long")).alias(f"w{i}") for i in range(SKETCH)]
+    return set_bits.groupBy("id").agg(F.sum("c").alias("most"), *words)
+
+
+def shingle_sets(lines: DataFrame) -> DataFrame:
+    """(id, set): the hashes of the shingles of each line, each once."""
+    return shingle_hashes(lines, "id").groupBy("id").agg(F.collect_set("h").alias("set"))
 
 
 def _apart() -> Column:
@@ -109,16 +119,17 @@ def _apart() -> Column:
 def _distance(texts: DataFrame, sketches: DataFrame):
     """Bounds of the Jaccard distance of pairs: sketches first, and the sets themselves where these leave a link possible."""
     side = lambda x: sketches.select(*[F.col(c).alias(f"{c}_{x}") for c in sketches.columns]).withColumnRenamed(f"id_{x}", x)
-    line = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"))
 
     def of(pairs: DataFrame) -> DataFrame:
         reach = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _apart().alias("lo")))
         near = reach.where(F.col("lo") <= 1.0 - SIMILARITY + 1e-9).select("a", "b")
-        # dealt by b, so the counts of a pair's shingles need no further exchange
-        both = near.join(line("a"), "a").join(line("b").hint("shuffle_hash"), "b")
-        each = both.select("a", "b", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("line_a").alias("line")), F.struct(F.lit(2).alias("side"), F.col("line_b").alias("line")))).alias("s")).select("a", "b", "s.*")
-        met = shingle_hashes(each, "a", "b", "side").groupBy("a", "b", "h").agg(F.bit_or("side").alias("sides"))
-        exact = met.groupBy("a", "b").agg((1.0 - F.avg(F.when(F.col("sides") == 3, 1.0).otherwise(0.0))).alias("lo"))
+        # each line's set is taken once, however many pairs it is in
+        met = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sets = cut(shingle_sets(texts.join(met, "id", "left_semi")))
+        given = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")).hint("shuffle_hash")
+        both = near.join(given("a"), "a").join(given("b"), "b")
+        sizes = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("shared"), (F.size("set_a") + F.size("set_b")).alias("sum"))
+        exact = sizes.select("a", "b", (1.0 - F.col("shared") / (F.col("sum") - F.col("shared"))).alias("lo"))
         return exact.withColumn("hi", F.col("lo")).unionByName(reach.where(F.col("lo") > 1.0 - SIMILARITY + 1e-9).withColumn("hi", F.lit(1.0)))
 
     return of
