@@ -569,3 +569,17 @@ def test_lines_of_a_wide_family_are_verified_by_their_sets(spark):
     for a in range(200):
         for b in range(a):
             assert (root[a] == root[b]) == (got.get(a, a) == got.get(b, b))
+
+
+def test_bpe_takes_a_step_of_words_in_one_query():
+    with bpe.codec(PATH) as mine:
+        calls = []
+        learn = mine._learn
+        mine._learn = lambda part, raw: (calls.append(len(part)), learn(part, raw))
+        words = [f" q{i}z" for i in range(40_000)]
+        ((ids, back),) = mine.documents(["".join(words)])
+        assert calls == [len({x for w in words for x in mine.pretokens(w)})] and back.decode() == "".join(words)
+        assert b"".join(mine.decode([[int(x) for x in ids.split()]])) == back
+        # what does not decode to itself comes out as decoded
+        mine.changed[" q"] = " other"
+        assert [back for _, back in mine.documents([" q1z", "z"])] == [b" other1z", b"z"]

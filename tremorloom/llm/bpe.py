@@ -14,7 +14,6 @@ Null and empty texts have no tokens. Repeated rows stay repeated and agree. Text
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -27,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tremorloom.llm.common import trim
+
 #: Bytes of pretokens and ids kept in each of two generations of a task's memo; the older one goes when the younger is full.
 MEMO_BYTES = 48_000_000
 #: Words, and bytes of words, that one recursive query takes, and the memory that it may use.
-WORDS_PER_QUERY, BYTES_PER_QUERY = 32_000, 300_000
+WORDS_PER_QUERY, BYTES_PER_QUERY = 64_000, 600_000
 MEMORY = "256MB"
 #: Bytes of a word above which it is contracted from a heap.
 LONG = 512
@@ -97,8 +98,10 @@ class Codec:
         self.by_byte = [self.ranks[bytes([i])] for i in range(256)]
         self.slow, self.odd = regex.compile(pattern), _odd()
         self.plain = pattern == PATTERN
-        self.young: dict[str, tuple[str, str]] = {}
-        self.old: dict[str, tuple[str, str]] = {}
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        #: What words decode to, of those that do not decode to themselves.
+        self.changed: dict[str, str] = {}
         self.held = 0
         pairs = [(self.ranks[t[:i]] * 65536 + self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
@@ -156,7 +159,7 @@ class Codec:
 
     def close(self) -> None:
         self.db.close()
-        self.young, self.old = {}, {}
+        self.young, self.old, self.changed = {}, {}, {}
 
     def _spell(self) -> Iterator[tuple[int, str, bytes]]:
         """Rows of encoded: number, ids in decimals, and the bytes that the ids give by ordered aggregation."""
@@ -193,8 +196,9 @@ class Codec:
     def _learn(self, part: list[str], raw: list[bytes]) -> None:
         self._encode(raw)
         for i, ids, back in self._spell():
-            # a decoded copy of the word is not kept twice
-            self.young[part[i]] = ids, part[i] if back == raw[i] else back.decode("utf-8", "surrogateescape")
+            self.young[part[i]] = ids
+            if back != raw[i]:
+                self.changed[part[i]] = back.decode("utf-8", "surrogateescape")
             self.held += len(ids) + 2 * len(back) + 250
 
     def documents(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
@@ -206,15 +210,16 @@ class Codec:
             if x not in young:
                 if x in old:
                     young[x] = old[x]
-                    self.held += len(old[x][0]) + 2 * len(x) + 250
+                    self.held += len(old[x]) + 2 * len(x) + 250
                 else:
                     unknown.add(x)
         self.learn(unknown)
         for x in split:
-            found = [young[w] for w in x]
-            yield " ".join([a for a, _ in found]), "".join([b for _, b in found]).encode("utf-8", "surrogateescape")
+            back = [self.changed.get(w, w) for w in x] if self.changed else x
+            yield " ".join(map(young.__getitem__, x)), "".join(back).encode("utf-8", "surrogateescape")
         if self.held > MEMO_BYTES:
             self.old, self.young, self.held = young, {}, 0
+            self.changed = {w: back for w, back in self.changed.items() if w in young}
 
 
 #: Texts without these go to the plain pattern at once: control separators, raised digits, fractions, other scripts.
@@ -231,7 +236,7 @@ def codec(path: str, pattern: str = PATTERN) -> Iterator[Codec]:
         yield mine
     finally:
         mine.close()
-        gc.collect()
+        trim()
 
 
 #: Characters of text that one step takes; a longer text is a step of its own.
