@@ -40,6 +40,14 @@ def test_stages_chain(spark, folder):
     assert last.count() == sizes[-1]
 
 
+def test_lines_are_not_sorted_in_the_filter(spark, folder):
+    """The filter of the lines stage reads the lines that stay; it does not find them again for each of its conditions."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plan = corpus_pipeline.deduplicate_lines(spark, docs, folder)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x.split("+-")[0] for x in plan.split("Filter ")[1:] if "array_join" in x.split("+-")[0]]
+    assert filters and not any("sort_array" in x for x in filters)
+
+
 def test_run_equals_the_stages(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     docs = spark.read.parquet(f"{folder}/documents.parquet")

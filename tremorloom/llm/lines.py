@@ -193,7 +193,8 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     first = lambda x, i: (i == 0) | (before(i)["id"] != x["id"]) | (before(i)["check"] != x["check"])
     stays = F.filter("parts", lambda x, i: (x["i"] >= 0) & ((bare(x["line"]) == "") | first(x, i)))
     ordered = F.sort_array(F.transform(stays, lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line"))))
-    cleaned = sorted_rows.withColumn("stays", ordered)
+    # the generator keeps a filter on the result from sorting the lines anew for each of its conditions
+    cleaned = sorted_rows.select("given", "text", F.explode(F.array(ordered)).alias("stays"))
     removed = F.size(F.split("text", "\n")) - F.size("stays")
     return cleaned.select(*[F.col("given").getField(c).alias(c) for c in names], F.array_join(F.transform("stays", lambda x: x["line"]), "\n").alias("text"), removed.cast("long").alias("lines_removed"))
 
