@@ -536,6 +536,46 @@ def test_languages_with_declarations_hidden(spark):
     assert met.where("language = lang").count() >= 0.98 * met.count() > 300
 
 
+def test_sketch_bounds_hold_for_lines_that_repeat_words(spark):
+    """Sizes are those of the sets, so lines of few different words, said often, make no pair that their sketches can rule out."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(40):
+        own = [f"w{rng.randrange(10**6)} " * 30 for _ in range(12)]
+        texts.append("".join(own).strip())
+        own[:2] = [f"v{rng.randrange(10**6)} " * 30 for _ in range(2)]
+        texts.append("".join(own).strip())
+    sets = [{x[i : i + lines.SHINGLE] for i in range(len(x) - lines.SHINGLE + 1)} for x in texts]
+    table = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    sketches = lines.sketched(table).cache()
+    assert {r["id"]: r["most"] for r in sketches.collect()} == {i: len(x) for i, x in enumerate(sets)}
+    met, distance = [], lines._distance(table, sketches)
+
+    def seen(pairs):
+        met.append((pairs.columns, pairs.count()))
+        return distance(pairs)
+
+    members = spark.createDataFrame([(7, i) for i in range(len(texts))], "key long, id long")
+    links = graph.bucket_links(members, seen, lines._tokens(table), lines.SIMILARITY, lines.DIRECT, sketch=(sketches, lines._apart()))
+    want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert {tuple(sorted((r["a"], r["b"]))) for r in links.collect()} == want
+    # what the sketches have let through is not joined with them again
+    assert [c for c, _ in met] == [["a", "b"], ["a", "b", "lo"]] and met[1][1] <= len(want) + 10
+
+
+def test_components_are_joined_further_by_new_links_alone(spark):
+    rng = random.Random(9)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    frame = lambda x: spark.createDataFrame(x, "a long, b long")
+    roots = graph.components(frame(links[:120]))
+    for part in (links[120:160], links[160:220], links[:5]):
+        roots = graph.linked(roots, frame(part))
+    got = {r["id"]: r["root"] for r in roots.collect()}
+    root = union(300, links)
+    assert roots.count() == len(got) and set(got) == {x for a, b in links if a != b for x in (a, b)}
+    assert all((got[a] == got[b]) == (root[a] == root[b]) for a in got for b in got)
+
+
 def test_lines_of_a_wide_family_are_verified_by_their_sets(spark):
     """200 lines in one bucket, most of them not similar: bounds are right, and no line is dealt again by its shingles."""
     rng = random.Random(5)

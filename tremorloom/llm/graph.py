@@ -37,6 +37,16 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(out)
 
 
+def linked(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, root) of the components that links join further. roots: as components gives them, of the links before."""
+    of = lambda x: roots.select(F.col("id").alias(x), F.col("root").alias(f"r{x}"))
+    ends = links.join(of("a"), "a", "left").select("b", F.coalesce("ra", "a").alias("ra"))
+    ends = ends.join(of("b"), "b", "left").select(F.col("ra").alias("a"), F.coalesce("rb", "b").alias("b"))
+    tops = components(ends)
+    moved = roots.join(tops.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
+    return cut(moved.unionByName(tops.join(roots, "id", "left_anti")))
+
+
 def shared_buckets(keys: DataFrame, *more: str) -> DataFrame:
     """(key, id, more) of the keys that more than one id has. keys: (key, id, more). One shuffle."""
     bucket = Window.partitionBy("key")
@@ -106,7 +116,8 @@ def _unsettled_pairs(members: DataFrame, least: float, pivots: int, sketch: Sket
         alike &= (F.col(f"p{r}_a") != F.col(f"p{r}_b")) | within
     if sketch is not None:
         alike &= sketch[1] <= far + 1e-9
-    return left.join(right, "key").where(alike).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    bound = [] if sketch is None else [sketch[1].alias("lo")]
+    return left.join(right, "key").where(alike).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), *bound).distinct()
 
 
 def _with_sketch(members: DataFrame, sketch: Sketch | None) -> DataFrame:
@@ -118,7 +129,7 @@ def bucket_links(members: DataFrame, distance: Callable[[DataFrame], DataFrame],
 
     members: (key, id) of shared buckets. distance: pairs (a, b) -> (a, b, lo, hi), bounds of 1 - similarity that are equal
     where it is known; it has to be known where it is 1 - least or less. tokens: (id) -> (id, n, token), the sets themselves.
-    sketch, if given, keeps pairs that cannot be similar from being made at all.
+    sketch, if given, keeps pairs that cannot be similar from being made at all; its bound goes to distance with them, as lo.
     First every id is compared with one member of its buckets. Where a bucket then is in several components, one of `direct`
     members or fewer is compared pair by pair, which costs each member so many comparisons at most. The ids of larger ones are
     dealt again by the rare part of their sets, exactly (rare_prefix), and again compared with one pivot each, in some rounds.
@@ -142,10 +153,12 @@ def bucket_links(members: DataFrame, distance: Callable[[DataFrame], DataFrame],
         alike = (F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b"))
         if sketch is not None:
             alike &= sketch[1] <= far
-        pairs = side("a").join(side("b"), "key").where(alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-        links = cut(links.unionByName(distance(pairs).where(F.col("hi") <= far).select("a", "b")))
+        bound = [] if sketch is None else [sketch[1].alias("lo")]
+        pairs = side("a").join(side("b"), "key").where(alike).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), *bound).distinct()
+        found = cut(distance(pairs).where(F.col("hi") <= far).select("a", "b"))
+        links = links.unionByName(found)
         release(spark)
-        roots = components(links)
+        roots = linked(roots, found)
         members = _open(members.join(sizes.where(F.col("g") > direct).select("key"), "key", "left_semi"), roots)
     if members.isEmpty():
         return links
@@ -156,11 +169,12 @@ def bucket_links(members: DataFrame, distance: Callable[[DataFrame], DataFrame],
         if members.isEmpty():
             return links
         known = compared(_pivots(members, r))
-        links = cut(links.unionByName(known.where(F.col("hi") <= far).select("a", "b")))
+        found = known.where(F.col("hi") <= far).select("a", "b")
+        links, roots = links.unionByName(found), linked(roots, found)
         place = known.select(F.col("b").alias("id"), F.col("a").alias(f"p{r}"), F.col("lo").alias(f"lo{r}"), F.col("hi").alias(f"hi{r}"))
         # an id that is its own pivot is at distance 0
         placed = members.join(place, "id", "left").withColumns({f"p{r}": F.coalesce(f"p{r}", "id"), f"lo{r}": F.coalesce(f"lo{r}", F.lit(0.0)), f"hi{r}": F.coalesce(f"hi{r}", F.lit(0.0))})
-        members = _open(placed, components(links))
+        members = _open(placed, roots)
         release(spark)
     pairs = _unsettled_pairs(members, least, rounds, sketch)
     return links.unionByName(distance(pairs).where(F.col("hi") <= far).select("a", "b"))

@@ -90,9 +90,9 @@ def band_keys(lines: DataFrame) -> DataFrame:
 
 
 def sketched(lines: DataFrame) -> DataFrame:
-    """(id, most, w0, w1, ...): the most shingles that each line can have, and SKETCH words of bits that its shingles set."""
+    """(id, most, w0, w1, ...): the number of different shingles of each line, and SKETCH words of bits that they set."""
     spread = lines.repartition(partitions(lines.sparkSession), "id")
-    place = shingle_hashes(spread, "id").select("id", F.shiftrightunsigned("h", 40).alias("place"))
+    place = shingle_hashes(spread, "id").distinct().select("id", F.shiftrightunsigned("h", 40).alias("place"))
     bit = F.expr("shiftleft(1L, cast(place & 63 AS int))")
     word = F.shiftright("place", 6).bitwiseAND(F.lit(SKETCH - 1)).cast("int")
     set_bits = place.groupBy("id", word.alias("word")).agg(F.count("*").alias("c"), F.bit_or(bit).alias("bits"))
@@ -109,19 +109,23 @@ def _apart() -> Column:
     """Least Jaccard distance that the sketches of a line a and a line b leave.
 
     A bit that one of them alone has stands for a shingle that the other has not, so the sets differ in as many shingles at
-    least; and the fewer shingles there are, the farther they are apart.
+    least; and the fewer shingles there are, the farther they are apart. A quarter of the words is enough for most pairs.
     """
     bits = [F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(SKETCH)]
-    apart = sum(bits[1:], bits[0])
-    return 2.0 * apart / (F.col("most_a") + F.col("most_b") + apart)
+    bound = lambda apart: 2.0 * apart / (F.col("most_a") + F.col("most_b") + apart)
+    few = bound(sum(bits[1 : SKETCH // 4], bits[0]))
+    return F.when(few > 1.0 - SIMILARITY + 1e-9, few).otherwise(bound(sum(bits[1:], bits[0])))
 
 
 def _distance(texts: DataFrame, sketches: DataFrame):
-    """Bounds of the Jaccard distance of pairs: sketches first, and the sets themselves where these leave a link possible."""
+    """Bounds of the Jaccard distance of pairs: sketches first, and the sets themselves where these leave a link possible.
+
+    Pairs that bring the sketches' bound lo are not compared by sketches again.
+    """
     side = lambda x: sketches.select(*[F.col(c).alias(f"{c}_{x}") for c in sketches.columns]).withColumnRenamed(f"id_{x}", x)
 
     def of(pairs: DataFrame) -> DataFrame:
-        reach = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _apart().alias("lo")))
+        reach = cut(pairs if "lo" in pairs.columns else pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _apart().alias("lo")))
         near = reach.where(F.col("lo") <= 1.0 - SIMILARITY + 1e-9).select("a", "b")
         # each line's set is taken once, however many pairs it is in
         met = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
