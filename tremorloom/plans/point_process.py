@@ -231,7 +231,7 @@ def incremental_intensity(spark, sf_dir):
       FROM cat t LEFT JOIN cat h ON h.us < t.us GROUP BY ALL""",
 )
 def temporal_intensity(spark, sf_dir):
-    sums = causal.prior_sums(cat(spark, sf_dir), P, M0, plane=True, tolerance=TOLERANCE)
+    sums = causal.prior_sums(cat(spark, sf_dir), P, M0, plane=True, tolerance=TOLERANCE, place=False)
     return sums.select("event_id", "n_prior", r(P.mu * AREA + F.col("temporal"), 6).alias("intensity"))
 
 
