@@ -117,13 +117,13 @@ _ASSIGNED = f"""
 """
 
 
-def assignment(spark, sf_dir) -> DataFrame:
-    return traces.section_assignment(event_points(spark, sf_dir), section_traces(spark, sf_dir), BANDWIDTH, CUTOFF, ODDS)
+def assignment(spark, sf_dir) -> traces.Assignment:
+    return traces.assigned(event_points(spark, sf_dir), section_traces(spark, sf_dir), BANDWIDTH, CUTOFF, ODDS)
 
 
 @query("section_assignment", CAT + _TRACES + _ASSIGNED + "SELECT point, section, round(p, 8) AS p, round(off, 8) AS off FROM assigned")
 def section_assignment(spark, sf_dir):
-    return assignment(spark, sf_dir).select("point", "section", r("p").alias("p"), r("off").alias("off"))
+    return assignment(spark, sf_dir).rows().select("point", "section", r("p").alias("p"), r("off").alias("off"))
 
 
 @query(
@@ -133,8 +133,9 @@ def section_assignment(spark, sf_dir):
 )
 def margin_projection(spark, sf_dir):
     t = section_traces(spark, sf_dir)
-    near = traces.nearest_traces(event_points(spark, sf_dir), t, NEAREST)
-    return traces.projected_margin(near, t, BANDWIDTH, CUTOFF).select("point", r("margin").alias("margin"))
+    places, at = traces.places(event_points(spark, sf_dir))
+    margins = traces.projected_margin(traces.nearest_traces(places, t, NEAREST), t, BANDWIDTH, CUTOFF)
+    return at.join(margins.withColumnRenamed("point", "place"), "place").select("point", r("margin").alias("margin"))
 
 
 @query(
@@ -146,10 +147,10 @@ def state_projection(spark, sf_dir):
     """Three particles' section states at every event."""
     particle = F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("particle")
     states = section_traces(spark, sf_dir).select(particle, "section", "margin").withColumn("margin", F.col("margin") + F.col("particle") * F.sin("section"))
-    return traces.projected_states(assignment(spark, sf_dir), states).select("particle", "point", r("margin", 7).alias("margin"))
+    return assignment(spark, sf_dir).states(states).select("particle", "point", r("margin", 7).alias("margin"))
 
 
 @query("scattered_mass", CAT + _TRACES + _ASSIGNED + "SELECT section, round(sum(p * mag), 6) AS mass FROM assigned JOIN cat ON event_id = point WHERE section IS NOT NULL GROUP BY ALL UNION ALL SELECT NULL::BIGINT, round((SELECT sum(mag) FROM cat) - sum(p * mag), 6) FROM assigned JOIN cat ON event_id = point")
 def scattered_mass(spark, sf_dir):
     mass = cat(spark, sf_dir).select(F.col("event_id").alias("point"), F.col("mag").alias("mass"))
-    return traces.scattered_mass(assignment(spark, sf_dir), mass).select("section", r("mass", 6).alias("mass"))
+    return assignment(spark, sf_dir).scattered(mass).select("section", r("mass", 6).alias("mass"))
