@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tremorloom.operators.traces import UNDERFLOW
 
+#: Sections of one list of alike ones, on average at most; sections of a bin that meet others in one task.
+GROUP_ROWS, BIN_ROWS = 256, 1_024
+
 
 def assimilate_regions(states: DataFrame, events: DataFrame, loading: np.ndarray, gain: float, release: float, exponent: float, reference: float) -> DataFrame:
     """(region, particle, day, section, margin) after each day with events. states: (region, particle, section, margin), sections from 0.
@@ -70,12 +73,35 @@ def coupling(sections: DataFrame, length: float, floor: float, reach: float | No
     Sections meet in square bins of the reach and their neighbours, so far pairs are never formed. Without a reach the graph is
     whole: beyond UNDERFLOW lengths weights are 0.
     """
+    return each_pair(coupled_lists(sections, length, floor, reach))
+
+
+def each_pair(lists: DataFrame) -> DataFrame:
+    """(src, dst, weight) of all pairs of different sections of coupled lists (srcs, dsts, weight)."""
+    return lists.select(F.explode("srcs").alias("src"), "dsts", "weight").select("src", F.explode("dsts").alias("dst"), "weight").where("src != dst")
+
+
+def coupled_lists(sections: DataFrame, length: float, floor: float, reach: float | None = None) -> DataFrame:
+    """(srcs, dsts, weight) of coupling, for lists of sections that have one weight.
+
+    Sections of one place, strike and model meet others as one, in lists of some
+    GROUP_ROWS, so a weight is found once for all pairs of two lists; a busy bin is dealt to several tasks.
+    """
     reach = UNDERFLOW * length if reach is None else reach
-    binned = sections.withColumns({"bx": F.floor(F.col("sx") / reach), "by": F.floor(F.col("sy") / reach)})
+    alike = ["sx", "sy", "strike", "model"]
+    most = sections.groupBy(*alike).count().agg(F.max("count")).first()[0] or 1
+    piece = F.pmod(F.xxhash64("section"), F.lit(-(-most // GROUP_ROWS))).alias("_piece")
+    lists = sections.groupBy(*alike, piece).agg(F.collect_list("section").alias("members"))
+    binned = lists.withColumns({"bx": F.floor(F.col("sx") / reach), "by": F.floor(F.col("sy") / reach)})
+    busiest = sections.groupBy("model", F.floor(F.col("sx") / reach), F.floor(F.col("sy") / reach)).count().agg(F.max("count")).first()[0] or 1
+    salts = min(-(-busiest // BIN_ROWS), 4 * int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    left = binned.select("*", around.alias("o")).select(F.col("section").alias("src"), F.col("sx").alias("ax"), F.col("sy").alias("ay"), F.col("strike").alias("a"), "model", (F.col("bx") + F.col("o.i")).alias("bx"), (F.col("by") + F.col("o.j")).alias("by"))
-    right = binned.select(F.col("section").alias("dst"), F.col("sx").alias("cx"), F.col("sy").alias("cy"), F.col("strike").alias("c"), "model", "bx", "by")
+    salt = F.pmod(F.xxhash64("sx", "sy", "strike", "_piece"), F.lit(salts)).cast("int").alias("salt")
+    left = binned.select("*", around.alias("o")).select(F.col("members").alias("srcs"), F.col("sx").alias("ax"), F.col("sy").alias("ay"), F.col("strike").alias("a"), "model", (F.col("bx") + F.col("o.i")).alias("bx"), (F.col("by") + F.col("o.j")).alias("by"), salt)
+    right = binned.select(F.col("members").alias("dsts"), F.col("sx").alias("cx"), F.col("sy").alias("cy"), F.col("strike").alias("c"), "model", "bx", "by", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     d2 = F.pow(F.col("ax") - F.col("cx"), 2) + F.pow(F.col("ay") - F.col("cy"), 2)
     aligned = floor + (1 - floor) * F.pow(F.cos(F.radians(F.col("a") - F.col("c"))), 2)
-    pairs = left.join(right, ["model", "bx", "by"]).where((F.col("src") != F.col("dst")) & (d2 <= reach**2))
-    return pairs.select("src", "dst", (F.exp(-0.5 * d2 / length**2) * aligned).alias("weight"))
+    key, tasks = ["model", "bx", "by", "salt"], 4 * int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a number of tasks of its own: lists are few bytes, but many pairs
+    met = left.repartition(tasks, *key).join(right.repartition(tasks, *key).hint("merge"), key).where(d2 <= reach**2)
+    return met.select("srcs", "dsts", (F.exp(-0.5 * d2 / length**2) * aligned).alias("weight"))

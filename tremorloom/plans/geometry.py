@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,7 +125,9 @@ def assignment(spark, sf_dir) -> traces.Assignment:
 
 @query("section_assignment", CAT + _TRACES + _ASSIGNED + "SELECT point, section, round(p, 8) AS p, round(off, 8) AS off FROM assigned")
 def section_assignment(spark, sf_dir):
-    return assignment(spark, sf_dir).rows().select("point", "section", r("p").alias("p"), r("off").alias("off"))
+    found = assignment(spark, sf_dir)
+    rounded = found.chances.withColumns({"p": r("p"), "off": r("off")})  # once a place and shape
+    return replace(found, chances=rounded).rows()
 
 
 @query(

@@ -684,7 +684,7 @@ _GRAPH = f", sec AS ({_SECTIONS}), sg AS (SELECT *, (section * 53 % 180)::DOUBLE
 )
 def section_coupling(spark, sf_dir):
     s = sections(spark, sf_dir).withColumns({"strike": (F.col("section") * 53 % 180).cast("double"), "model": F.col("section") % 2})
-    return particles.coupling(s, 1.5, 0.3, 3.0).select("src", "dst", r("weight").alias("weight"))
+    return particles.each_pair(particles.coupled_lists(s, 1.5, 0.3, 3.0).withColumn("weight", r("weight")))  # rounded once a list
 
 
 @query("loading_vector", CAT + _GRAPH + ", c AS (SELECT section, model, sx - avg(sx) OVER (PARTITION BY model) AS c FROM sg) SELECT section, round(c / sqrt(avg(c * c) OVER (PARTITION BY model)), 8) + 0.0 AS loading FROM c")
